@@ -11,12 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ROOT = -1
-
+from .binding import let
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, also where lambdas inside use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+ROOT = -1
 
 
 def links(idx: Column, parents: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import pagearrays as pa
+from ..functions.binding import let
 from ..functions.constants import GRID_SIZE, OVERLAP_THRESHOLD, PATCH_SIZE
 from .pages import CHECK, IDX, PAGE_LIMIT, SID, by_page_size, cut, node_rows, page_rows
 from .ranks import rank_within
@@ -29,6 +30,13 @@ def patch_grid(spark: SparkSession, size: int = PATCH_SIZE, n: int = GRID_SIZE)
     return cells.select("patch_idx", *[c.alias(e) for e, c in zip(EDGES, patch_box(patch, size, n))])
 
 
+def _cells(low: Column, high: Column, size: int, n: int) -> Column:
+    """Rows (or columns) of the grid that an edge pair touches; null when it touches none."""
+    first = F.greatest(F.floor(low / size), F.lit(0)).cast("int")
+    last = F.least(F.ceil(high / size) - 1, F.lit(n - 1)).cast("int")
+    return F.when(last >= first, F.sequence(first, last))
+
+
 def align_nodes_patches(
     nodes: DataFrame, threshold: float = OVERLAP_THRESHOLD, size: int = PATCH_SIZE, n: int = GRID_SIZE
 ) -> DataFrame:
@@ -38,18 +46,12 @@ def align_nodes_patches(
     With a threshold of 0 or less every cell qualifies and is listed.
     """
     b = g.box()
-
-    def cells(low: Column, high: Column) -> Column:
-        first = F.greatest(F.floor(low / size), F.lit(0)).cast("int")
-        last = F.least(F.ceil(high / size) - 1, F.lit(n - 1)).cast("int")
-        return F.when(last >= first, F.sequence(first, last))
-
     if threshold <= 0:
         placed = nodes.withColumn("patch_idx", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
     else:
         placed = (
-            nodes.withColumn("_row", F.explode(cells(b[1], b[3])))
-            .withColumn("_col", F.explode(cells(b[0], b[2])))
+            nodes.withColumn("_row", F.explode(_cells(b[1], b[3], size, n)))
+            .withColumn("_col", F.explode(_cells(b[0], b[2], size, n)))
             .withColumn("patch_idx", (F.col("_row") * n + F.col("_col")).cast("int"))
         )
     score = g.overlap_coefficient(b, patch_box(F.col("patch_idx"), size, n))
@@ -58,6 +60,39 @@ def align_nodes_patches(
     )
 
 
+def positive_patches(
+    b: g.Box, threshold: float = OVERLAP_THRESHOLD, size: int = PATCH_SIZE, n: int = GRID_SIZE
+) -> Column:
+    """The node's patches at a positive threshold, as a sorted list: its row of the label matrix
+    without the zeros.
+
+    Overlap factors into its two axes, so each touched row and column is measured once.
+    """
+    def spans(low: Column, high: Column) -> Column:
+        def span(i: Column) -> Column:
+            start = i * float(size)
+            return F.least(high, start + float(size)) - F.greatest(low, start)
+
+        return F.transform(
+            _cells(low, high, size, n), lambda i: F.struct(i.alias("i"), span(i).alias("w"))
+        )
+
+    smaller = F.least(g.box_area(b), F.lit(float(size * size)))
+    axes = F.struct(
+        spans(b[1], b[3]).alias("rows"), spans(b[0], b[2]).alias("cols"),
+        (smaller * threshold).alias("least"),
+    )
+
+    def pick(s: Column) -> Column:
+        def in_row(r: Column) -> Column:
+            met = F.filter(s["cols"], lambda c: (r["w"] * c["w"] > 0) & (r["w"] * c["w"] >= s["least"]))
+            return F.transform(met, lambda c: r["i"] * n + c["i"])
+
+        return F.flatten(F.transform(s["rows"], in_row))
+
+    return F.coalesce(let(axes, pick), F.array().cast("array<int>"))
+
+
 def label_threshold(pairs: DataFrame, threshold: float = OVERLAP_THRESHOLD) -> DataFrame:
     return pairs.where(F.col("score") >= threshold)
 

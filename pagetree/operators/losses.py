@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..functions.binding import let
 from ..functions.constants import LOSS_WEIGHTS, NCE_TEMPERATURE, POS_WEIGHT_CAP, STYLE_CHOICES, STYLE_COLORS
 from .metrics import _at, _terms, masked_mean, reg_error
 from .pages import IDX, SID
@@ -48,58 +49,57 @@ def parent_cross_entropy(
     )
 
 
-def _patches(nodes: DataFrame, sim: str, labels: str) -> DataFrame:
-    """One row per node and patch: logit and 0/1 label."""
-    return nodes.select(
-        F.inline(
-            F.zip_with(
-                sim, labels, lambda s, l: F.struct(s.cast("double").alias("x"), l.cast("double").alias("y"))
-            )
-        )
-    )
+def positives_of(labels: Column) -> Column:
+    """Dense 0/1 labels to the list of positive positions."""
+    marked = F.transform(labels, lambda y, i: F.when(y == 1, i))
+    return F.array_compact(marked)
 
 
 def weighted_bce(
     nodes: DataFrame,
     sim: str = "sim",
-    labels: str = "labels",
+    positives: str = "positives",
     max_nodes: int | None = None,
     pages: int | None = None,
 ) -> DataFrame:
     """Binary cross entropy with logits; positives weigh min(neg/pos, 20).
 
-    ``sim`` and ``labels`` are fixed-length arrays over the patch grid.  The weight enters the sum
-    linearly, so one pass collects counts and both partial sums.  With ``max_nodes`` the negatives
-    also count the padding rows up to that many nodes per page (``pages`` pages), as padded
-    tensors do.
+    ``sim`` is a fixed-length array over the patch grid, ``positives`` the sparse labels.  The loss
+    of the zeros is summed over all cells and taken back for the positive ones, and the weight
+    enters linearly, so one pass without a shuffle of cells collects everything.  With
+    ``max_nodes`` the negatives also count the padding rows up to that many nodes per page
+    (``pages`` pages), as padded tensors do.
     """
-    x, y = F.col("x"), F.col("y")
-    sums = _patches(nodes, sim, labels).agg(
-        F.count("*").alias("cells"),
-        F.sum(y).alias("pos"),
-        F.sum(y * v.softplus(-x)).alias("pos_loss"),
-        F.sum((1 - y) * v.softplus(x)).alias("neg_loss"),
+    def cell(x: Column, positive: bool) -> Column:
+        return F.struct(x.cast("double").alias("x"), F.lit(positive).alias("positive"))
+
+    every = F.transform(sim, lambda x: cell(x, False))
+    marked = let(F.col(sim), lambda s: F.transform(positives, lambda p: cell(F.get(s, p), True)))
+    x, hit = F.col("x"), F.col("positive")
+    sums = nodes.select(F.inline(F.concat(every, marked))).agg(
+        F.count_if(~hit).cast("double").alias("cells"),
+        F.count_if(hit).cast("double").alias("pos"),
+        F.sum(F.when(hit, v.softplus(-x)).otherwise(0.0)).alias("pos_loss"),
+        F.sum(F.when(hit, -v.softplus(x)).otherwise(v.softplus(x))).alias("neg_loss"),
     )
-    cells = F.col("cells").cast("double")
+    cells = F.col("cells")
     if max_nodes is not None:
         width = nodes.select(F.size(sim)).first()[0]
         cells = F.lit(float(max_nodes * pages * width))
     pos = F.greatest(F.col("pos"), F.lit(1.0))
     neg = F.greatest(cells - F.col("pos"), F.lit(1.0))
     weight = F.least(neg / pos, F.lit(POS_WEIGHT_CAP))
-    return sums.select(
-        ((weight * F.col("pos_loss") + F.col("neg_loss")) / F.greatest("cells", F.lit(1))).alias("align_bce")
-    )
+    loss = weight * F.coalesce("pos_loss", F.lit(0.0)) + F.coalesce("neg_loss", F.lit(0.0))
+    return sums.select((loss / F.greatest("cells", F.lit(1.0))).alias("align_bce"))
 
 
 def infonce(
-    nodes: DataFrame, sim: str = "sim", labels: str = "labels", temperature: float = NCE_TEMPERATURE
+    nodes: DataFrame, sim: str = "sim", positives: str = "positives", temperature: float = NCE_TEMPERATURE
 ) -> DataFrame:
     """Mean of log-sum-exp minus the score of the first positive patch; 0 without positives."""
     scaled = F.transform(sim, lambda s: s / temperature)
-    first = F.array_position(labels, F.lit(1)) - 1
-    loss = v.log_sum_exp(scaled) - F.get(scaled, first.cast("int"))
-    with_pos = nodes.where(F.array_contains(labels, 1))
+    loss = v.cross_entropy(scaled, F.array_min(positives))
+    with_pos = nodes.where(F.size(positives) > 0)
     return with_pos.agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("align_nce"))
 
 

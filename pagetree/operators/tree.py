@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pagearrays as pa
+from ..functions.binding import let
 from ..functions.constants import MAX_DEPTH_INDEX, MAX_NODES
 from .pages import CHECK, IDX, PAGE_LIMIT, SID, by_page_size, cut, node_rows, page_rows
 from .ranks import rank_within
@@ -205,7 +206,7 @@ def nearest_kept_ancestor(
                 F.transform(F.col("page")[keep], lambda k: F.coalesce(k, F.lit(False))),
             ),
         )
-        found = pa.let(
+        found = let(
             F.col("page")[IDX],
             lambda idx: F.transform(
                 "at", lambda j: F.when(j < 0, F.lit(-1)).otherwise(F.get(idx, j)).cast("int")
@@ -236,7 +237,7 @@ def subtree_size(
 
     def small(part: DataFrame) -> DataFrame:
         reached = F.filter(pa.paths(page_links(parent)), lambda p: p.isNotNull())
-        above = pa.let(
+        above = let(
             F.col("page")[IDX],
             lambda idx: F.transform(F.flatten(reached), lambda at: F.get(idx, at)),
         )
@@ -348,7 +349,7 @@ def bfs_truncate(
                 ),
             )
 
-        rows = pa.let(
+        rows = let(
             F.struct(F.col("page").alias("page"), F.col("links").alias("links"), order.alias("order")),
             lambda s: renumber(s["page"], s["links"], s["order"]),
         )
@@ -424,7 +425,7 @@ def tree_layout(
         )
 
     def small(part: DataFrame) -> DataFrame:
-        rows = pa.let(
+        rows = let(
             F.struct(F.col("page")[IDX].alias("idx"), pa.paths(page_links(parent)).alias("paths")),
             lambda s: F.transform(
                 pa.breadth_first(s["paths"]),
