@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .binding import let
 from .constants import STYLE_CHOICES, STYLE_COLORS, STYLE_NORMS, VISIBLE_ALPHA
 
 COLOR = T.ArrayType(T.DoubleType())
@@ -22,17 +25,14 @@ STYLE_SCHEMA = T.StructType(
 def parse_color(css: Column) -> Column:
     """``rgb()/rgba()`` to [r, g, b, a] in 0..1; null when there is no such colour."""
     inside = F.nullif(F.regexp_extract(css, r"rgba?\(([^)]+)\)", 1), F.lit(""))
-    parts = F.transform(F.split(inside, ","), lambda p: F.trim(p).try_cast("double"))
-    channel = lambda i: F.get(parts, F.lit(i))
-    return F.when(
-        F.size(parts) >= 3,
-        F.array(
-            channel(0) / 255,
-            channel(1) / 255,
-            channel(2) / 255,
-            F.when(F.size(parts) > 3, channel(3)).otherwise(F.lit(1.0)),
-        ),
-    )
+
+    def rgba(parts: Column) -> Column:
+        number = F.transform(parts, lambda p: F.trim(p).try_cast("double"))
+        alpha = F.when(F.size(parts) > 3, F.get(number, F.lit(3))).otherwise(F.lit(1.0))
+        scaled = F.transform(F.slice(number, 1, 3), lambda v: v / 255)
+        return F.when(F.size(parts) >= 3, F.concat(scaled, F.array(alpha)))
+
+    return let(F.split(inside, ","), rgba)
 
 
 def parse_px(css: Column) -> Column:
@@ -54,14 +54,17 @@ def style_default(value: Column, default, falsy_zero: bool = False) -> Column:
 def hex_to_rgba(code: Column) -> Column:
     """``#RGB`` or ``#RRGGBB`` to [r, g, b, 1.0]."""
     digits = F.ltrim(code, F.lit("#"))
-    full = F.when(F.length(digits) == 3, F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
+    doubled = F.regexp_replace(digits, "(.)", "$1$1")
 
-    def channel(start: int) -> Column:
-        return F.conv(F.substring(full, start, 2), 16, 10).cast("double") / 255
+    def rgba(full: Column) -> Column:
+        def channel(start: int) -> Column:
+            return F.conv(F.substring(full, start, 2), 16, 10).cast("double") / 255
 
-    return F.when(
-        full.rlike("^[0-9a-fA-F]{5}"), F.array(channel(1), channel(3), channel(5), F.lit(1.0))
-    )
+        return F.when(
+            full.rlike("^[0-9a-fA-F]{5}"), F.array(channel(1), channel(3), channel(5), F.lit(1.0))
+        )
+
+    return let(F.when(F.length(digits) == 3, doubled).otherwise(digits), rgba)
 
 
 # --- fixed values: patterns of inline colours
@@ -72,48 +75,42 @@ INLINE_RGB = r"(?:background(?:-color)?|color)\s*:\s*rgb\(\s*(\d+)\s*,\s*(\d+)\s
 def inline_color(node_text: Column) -> Column:
     """First inline hex colour of a node, else its first inline rgb colour, else null."""
     by_hex = hex_to_rgba(F.nullif(F.regexp_extract(node_text, INLINE_HEX, 1), F.lit("")))
-    red = F.nullif(F.regexp_extract(node_text, INLINE_RGB, 1), F.lit("")).cast("double")
-    by_rgb = F.when(
-        red.isNotNull(),
-        F.array(
-            red / 255,
-            F.regexp_extract(node_text, INLINE_RGB, 2).cast("double") / 255,
-            F.regexp_extract(node_text, INLINE_RGB, 3).cast("double") / 255,
-            F.lit(1.0),
+    parts = F.array(*[F.regexp_extract(node_text, INLINE_RGB, i) for i in (1, 2, 3)])
+    by_rgb = let(
+        parts,
+        lambda p: F.when(
+            F.get(p, F.lit(0)) != "",
+            F.concat(F.transform(p, lambda v: v.try_cast("double") / 255), F.array(F.lit(1.0))),
         ),
     )
     return F.coalesce(by_hex, by_rgb)
 
 
-def _rgba(color: Column) -> Column:
-    return F.struct(*[F.get(color, F.lit(i)).alias(c) for i, c in enumerate("rgba")])
-
-
-def solid(color: Column) -> Column:
-    """One-element list holding a SOLID paint."""
-    return F.array(F.struct(F.lit("SOLID").alias("type"), _rgba(color).alias("color")))
+def rgba_struct(color: Column) -> Column:
+    return let(
+        color, lambda c: F.struct(*[F.get(c, F.lit(i)).alias(n) for i, n in enumerate("rgba")])
+    )
 
 
-def paints(color: Column, shown: Column) -> Column:
-    empty = F.slice(solid(color), 1, 0)
-    return F.when(F.coalesce(shown, F.lit(False)), solid(color)).otherwise(empty)
+def paints(color: Column, shown: Callable[[Column], Column]) -> Column:
+    """A SOLID paint where the colour is to be shown, else an empty list."""
+    listed = F.filter(F.array(color), lambda c: F.coalesce(shown(c), F.lit(False)))
+    return F.transform(
+        listed, lambda c: F.struct(F.lit("SOLID").alias("type"), rgba_struct(c).alias("color"))
+    )
 
 
 def inline_fill(node_text: Column) -> Column:
     """Fill list of the first inline colour; empty when there is none."""
-    color = inline_color(node_text)
-    return paints(color, color.isNotNull())
+    return paints(inline_color(node_text), lambda c: c.isNotNull())
 
 
 def fills_strokes(background: Column, border: Column) -> tuple[Column, Column]:
     """Background and border paints, shown above an alpha of 0.05."""
-    def alpha(c: Column) -> Column:
-        return F.get(c, F.lit(3))
+    def shown(c: Column) -> Column:
+        return F.get(c, F.lit(3)) > VISIBLE_ALPHA
 
-    return (
-        paints(background, alpha(background) > VISIBLE_ALPHA),
-        paints(border, alpha(border) > VISIBLE_ALPHA),
-    )
+    return paints(background, shown), paints(border, shown)
 
 
 # ---------------------------------------------------------------- encoding

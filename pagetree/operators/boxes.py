@@ -37,26 +37,45 @@ def _cells(low: Column, high: Column, size: int, n: int) -> Column:
     return F.when(last >= first, F.sequence(first, last))
 
 
+def _spans(low: Column, high: Column, size: int, n: int) -> Column:
+    """Touched rows (or columns) of the grid with the length shared with each."""
+    def span(i: Column) -> Column:
+        start = i * float(size)
+        return F.least(high, start + float(size)) - F.greatest(low, start)
+
+    return F.transform(
+        _cells(low, high, size, n), lambda i: F.struct(i.alias("i"), span(i).alias("w"))
+    )
+
+
 def align_nodes_patches(
     nodes: DataFrame, threshold: float = OVERLAP_THRESHOLD, size: int = PATCH_SIZE, n: int = GRID_SIZE
 ) -> DataFrame:
     """(node, patch) pairs with an overlap coefficient of at least the threshold.
 
-    Each box lists the cells it touches, at most n² of them, so there is neither join nor shuffle.
+    Each box lists the cells it touches, at most n² of them, so there is neither join nor shuffle;
+    the shared area factors into the two axes, so rows and columns are measured once per box.
     With a threshold of 0 or less every cell qualifies and is listed.
     """
     b = g.box()
     if threshold <= 0:
         placed = nodes.withColumn("patch_idx", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
-    else:
-        placed = (
-            nodes.withColumn("_row", F.explode(_cells(b[1], b[3], size, n)))
-            .withColumn("_col", F.explode(_cells(b[0], b[2], size, n)))
-            .withColumn("patch_idx", (F.col("_row") * n + F.col("_col")).cast("int"))
+        score = g.overlap_coefficient(b, patch_box(F.col("patch_idx"), size, n))
+        return placed.select(SID, IDX, "patch_idx", score.alias("score"))
+    smaller = F.least(g.box_area(b), F.lit(float(size * size)))
+    rows = nodes.select(
+        SID, IDX, smaller.alias("_a"), _spans(b[0], b[2], size, n).alias("_cols"),
+        F.inline(_spans(b[1], b[3], size, n)).alias("_row", "_h"),
+    )
+    cells = rows.select(SID, IDX, "_a", "_row", "_h", F.inline("_cols").alias("_col", "_w"))
+    return (
+        cells.where(F.col("_w") * F.col("_h") >= F.col("_a") * threshold)
+        .select(
+            SID,
+            IDX,
+            (F.col("_row") * n + F.col("_col")).cast("int").alias("patch_idx"),
+            (F.col("_w") * F.col("_h") / F.col("_a")).alias("score"),
         )
-    score = g.overlap_coefficient(b, patch_box(F.col("patch_idx"), size, n))
-    return placed.select(SID, IDX, "patch_idx", score.alias("score")).where(
-        F.col("score") >= threshold
     )
 
 
@@ -64,28 +83,17 @@ def positive_patches(
     b: g.Box, threshold: float = OVERLAP_THRESHOLD, size: int = PATCH_SIZE, n: int = GRID_SIZE
 ) -> Column:
     """The node's patches at a positive threshold, as a sorted list: its row of the label matrix
-    without the zeros.
-
-    Overlap factors into its two axes, so each touched row and column is measured once.
-    """
-    def spans(low: Column, high: Column) -> Column:
-        def span(i: Column) -> Column:
-            start = i * float(size)
-            return F.least(high, start + float(size)) - F.greatest(low, start)
-
-        return F.transform(
-            _cells(low, high, size, n), lambda i: F.struct(i.alias("i"), span(i).alias("w"))
-        )
-
+    without the zeros."""
     smaller = F.least(g.box_area(b), F.lit(float(size * size)))
     axes = F.struct(
-        spans(b[1], b[3]).alias("rows"), spans(b[0], b[2]).alias("cols"),
+        _spans(b[1], b[3], size, n).alias("rows"),
+        _spans(b[0], b[2], size, n).alias("cols"),
         (smaller * threshold).alias("least"),
     )
 
     def pick(s: Column) -> Column:
         def in_row(r: Column) -> Column:
-            met = F.filter(s["cols"], lambda c: (r["w"] * c["w"] > 0) & (r["w"] * c["w"] >= s["least"]))
+            met = F.filter(s["cols"], lambda c: r["w"] * c["w"] >= s["least"])
             return F.transform(met, lambda c: r["i"] * n + c["i"])
 
         return F.flatten(F.transform(s["rows"], in_row))

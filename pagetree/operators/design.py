@@ -41,7 +41,7 @@ def design_nodes(nodes: DataFrame, mode: str = "strict") -> DataFrame:
     if "color" in have:
         background, front, border = (F.get("color", F.lit(i)) for i in range(3))
         fills, strokes = st.fills_strokes(background, border)
-        style.append(st._rgba(front).alias("fontColor"))
+        style.append(st.rgba_struct(front).alias("fontColor"))
     else:
         fills = st.inline_fill(F.coalesce("node_text", F.lit("")))
         strokes = F.slice(fills, 1, 0)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.constants import NO_TOTAL
 
@@ -89,13 +91,18 @@ def run_table(runs: DataFrame, log: DataFrame, metrics: DataFrame) -> DataFrame:
     return table.na.fill(0, ["epochs"])
 
 
-def fixed(value: Column, digits: int = 3) -> Column:
-    """Fixed decimals, a dash for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit("—"))
+@F.pandas_udf(T.StringType())
+def _three_decimals(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if pd.isna(v) else f"{v:.3f}")
 
 
-def _or_dash(value: Column) -> Column:
-    return F.when(value.isNull(), F.lit("—")).otherwise(fixed(value))
+def fixed(value: Column) -> Column:
+    """Three decimals, a dash for null.
+
+    Rounds the binary value, as C and Python do; ``format_string`` rounds its decimal text and
+    differs on ties.  Reports have one row per run, so a Python function is fine here.
+    """
+    return F.coalesce(_three_decimals(value.cast("double")), F.lit("—"))
 
 
 def run_comparison(table: DataFrame) -> DataFrame:
@@ -103,9 +110,9 @@ def run_comparison(table: DataFrame) -> DataFrame:
     return table.select(
         "run",
         F.col("epochs").cast("string").alias("epochs"),
-        _or_dash(F.col("best_val_total")).alias("best_val_total"),
-        _or_dash(F.col("best_val_type_acc")).alias("best_val_type_acc"),
-        *[_or_dash(metric(m)).alias(m) for m in REPORT_METRICS],
+        fixed(F.col("best_val_total")).alias("best_val_total"),
+        fixed(F.col("best_val_type_acc")).alias("best_val_type_acc"),
+        *[fixed(metric(m)).alias(m) for m in REPORT_METRICS],
     )
 
 

@@ -183,10 +183,10 @@ _DE = " + ".join(f"sqrt({_SQ(i, 'rgb')}) * w{i}" for i in range(3))
 _COLOR_SQ = " + ".join(f"({_SQ(i, 'rgba')}) * w{i}" for i in range(3))
 _COLOR_N = "w0 + w1 + w2"
 SQL_STYLE_ERRORS = f"""
-  round(sum({_REG}) / greatest(sum({_REG_N}), 1), 6) AS style_reg_mae,
-  round(sum({_DE}) / greatest(sum({_COLOR_N}), 1), 6) AS color_de,
-  round(avg((cls_align = pred_align)::INT), 6) AS "cls_textAlign_acc",
-  round(avg((cls_display = pred_display)::INT), 6) AS cls_display_acc"""
+  round(sum({_REG}) / greatest(sum({_REG_N}), 1), 9) AS style_reg_mae,
+  round(sum({_DE}) / greatest(sum({_COLOR_N}), 1), 9) AS color_de,
+  round(avg((cls_align = pred_align)::INT), 9) AS "cls_textAlign_acc",
+  round(avg((cls_display = pred_display)::INT), 9) AS cls_display_acc"""
 
 
 @query("style_metrics", f"{WITH}, {t.SQL_STYLED} SELECT sample_id, {SQL_STYLE_ERRORS} FROM styled GROUP BY sample_id")
@@ -194,7 +194,7 @@ def style_metrics(spark, sf_dir):
     styled = t.styled(spark, sf_dir)
     joined = metrics.style_reg_mae(styled).join(metrics.color_delta_e(styled), SID)
     joined = joined.join(metrics.style_class_accuracy(styled), SID)
-    return joined.select(SID, *[r6(c, c) for c in joined.columns if c != SID])
+    return joined.select(SID, *[F.round(c, 9).alias(c) for c in joined.columns if c != SID])
 
 
 SQL_FULL = f"""{t.SQL_STYLED}, {SQL_TED},
@@ -204,13 +204,13 @@ SELECT sample_id, count(*) AS n_nodes, avg((gold_type = pred_type)::INT) AS type
 
 
 @query("full_metrics", f"""{WITH}, {SQL_FULL}
-SELECT sample_id, n_nodes, round(type_acc, 6) AS type_acc, round(parent_p, 6) AS parent_p, round(parent_p, 6) AS parent_r,
-  round(parent_p, 6) AS parent_f1, style_reg_mae, color_de, "cls_textAlign_acc", cls_display_acc, tree_edit
+SELECT sample_id, n_nodes, round(type_acc, 9) AS type_acc, round(parent_p, 9) AS parent_p, round(parent_p, 9) AS parent_r,
+  round(parent_p, 9) AS parent_f1, style_reg_mae, color_de, "cls_textAlign_acc", cls_display_acc, tree_edit
 FROM per_page JOIN ted USING (sample_id)""")
 def full_metrics(spark, sf_dir):
     per_page = metrics.full_metrics(t.styled(spark, sf_dir), **t.page_sizes(spark, sf_dir))
     whole = (SID, "n_nodes", "tree_edit")
-    return per_page.select(*[c if c in whole else r6(c, c) for c in per_page.columns])
+    return per_page.select(*[c if c in whole else F.round(c, 9).alias(c) for c in per_page.columns])
 
 
 @query("macro_average", f"""{WITH}, {SQL_TED},

@@ -303,10 +303,9 @@ FROM met)"""
 
 def patch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with a similarity logit for each of the 196 patches and the list of those they overlap."""
-    patches = F.sequence(F.lit(0), F.lit(195))
-    sim = F.transform(
-        patches, lambda p: ((F.col(IDX) * 31 + p * 17 + F.col(SID)) % 101).cast("double") / 10 - 5
-    )
+    start = F.col(IDX) * 31 + F.col(SID)
+    steps = F.sequence(start, start + 195 * 17, F.lit(17).cast("long"))
+    sim = F.transform(steps, lambda q: (q % 101).cast("double") / 10 - 5)
     positives = positive_patches(g.box())
     return nodes(spark, sf_dir).select(SID, IDX, sim.alias("sim"), positives.alias("positives"))
 
