@@ -6,7 +6,7 @@ column.  ``types`` is (sample_id, node_idx, type_idx).  Ties go to the lower can
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import LEAF_TYPES, MASKED_SCORE, MIN_CONFIDENCE, NODE_TYPES
@@ -26,15 +26,30 @@ def is_leaf(type_idx: Column) -> Column:
     return type_idx.isin(*LEAF_INDEX)
 
 
+def _whole(table: DataFrame, *keys: str) -> DataFrame:
+    """Rows with all keys set.  Stated up front, so that every use of the table plans the same
+    exchange and the shuffle is reused."""
+    for k in keys:
+        table = table.where(F.col(k).isNotNull())
+    return table
+
+
 def candidate_parents(scores: DataFrame, types: DataFrame, leaf_prior: bool = True) -> DataFrame:
     """Scores with ``allowed``: a node of the page other than itself and, with the leaf prior, not
-    of a leaf type; the root is always allowed."""
-    cand = types.select(SID, F.col(IDX).alias(CAND), is_leaf(F.col(TYPE)).alias("_leaf"))
+    of a leaf type; the root is always allowed.
+
+    A page of n nodes has n² scores but n types, so the types are the side that is hashed and the
+    scores are not sorted.
+    """
+    cand = _whole(types, SID, IDX).select(
+        SID, F.col(IDX).alias(CAND), is_leaf(F.col(TYPE)).alias("_leaf")
+    )
     other = F.col("_leaf").isNotNull() & (F.col(CAND) != F.col(IDX))
     if leaf_prior:
         other = other & ~F.col("_leaf")
     allowed = (F.col(CAND) < 0) | F.coalesce(other, F.lit(False))
-    return scores.join(cand, [SID, CAND], "left").select(*scores.columns, allowed.alias("allowed"))
+    joined = _whole(scores, SID, IDX, CAND).join(cand.hint("shuffle_hash"), [SID, CAND], "left")
+    return joined.select(*scores.columns, allowed.alias("allowed"))
 
 
 def mask_scores(scores: DataFrame) -> DataFrame:
@@ -64,22 +79,30 @@ def decode_parents(
     offers each open node some root, so depth never exceeds one.  Two aggregations replace the
     full sort.  ``masked`` states that the scores went through ``mask_scores``.
     """
-    if not masked:
-        scores = mask_scores(candidate_parents(scores, types))
-    best = best_candidates(scores)
-    roots = best.where("best < 0").select(SID, IDX)
+    given = _whole(scores, SID, IDX, CAND)
+    ranked = given if masked else mask_scores(candidate_parents(given, types))
+    root = F.col(CAND) < 0
+    tops = ranked.groupBy(SID, IDX).agg(
+        F.max(F.when(root, F.col(SCORE))).alias("_root"),
+        F.max(F.when(~root, F.col(SCORE))).alias("_other"),
+    )
+    decided = tops.select(
+        SID, IDX, F.coalesce(F.col("_other").isNull() | (F.col("_root") > F.col("_other")), F.lit(False)).alias("_first")
+    )
     hosts = (
-        roots.join(types.where(~is_leaf(F.col(TYPE))).select(SID, IDX), [SID, IDX], "left_semi")
+        decided.where("_first")
+        .join(types.where(~is_leaf(F.col(TYPE))).select(SID, IDX), [SID, IDX], "left_semi")
         .select(SID, F.col(IDX).alias(CAND))
     )
+    # a root of another type than leaf is allowed for every open node: its score is never masked
     hosted = best_candidates(
-        scores.join(hosts, [SID, CAND], "left_semi").select(SID, IDX, CAND, SCORE)
-    ).select(SID, IDX, F.col("best").alias("host"))
-    return best.join(hosted, [SID, IDX], "left").select(
+        given.join(hosts.hint("shuffle_hash"), [SID, CAND], "left_semi").select(SID, IDX, CAND, SCORE)
+    )
+    return decided.join(hosted, [SID, IDX], "left").select(
         SID,
         IDX,
-        F.when(F.col("best") < 0, F.lit(-1))
-        .otherwise(F.coalesce("host", F.lit(-1)))
+        F.when(F.col("_first"), F.lit(-1))
+        .otherwise(F.coalesce("best", F.lit(-1)))
         .cast("int")
         .alias(out),
     )
@@ -117,12 +140,17 @@ def decode_parents_layered(
 
 
 def softmax_confidence(scores: DataFrame, out: str = "confidence") -> DataFrame:
-    """Largest softmax probability per node over its (masked) candidates."""
-    top = F.max(SCORE).over(Window.partitionBy(SID, IDX))
+    """Largest softmax probability per node over its (masked) candidates.
+
+    The scores are shuffled to their nodes once; top and sum are hash aggregations over the same
+    exchange, without a sort.
+    """
+    placed = _whole(scores, SID, IDX, SCORE).select(SID, IDX, SCORE).repartition(SID, IDX)
+    tops = placed.groupBy(SID, IDX).agg(F.max(SCORE).alias("_top"))
     return (
-        scores.select(SID, IDX, F.exp(F.col(SCORE) - top).alias("_e"))
+        placed.join(tops.hint("shuffle_hash"), [SID, IDX])
         .groupBy(SID, IDX)
-        .agg((1 / F.sum("_e")).alias(out))
+        .agg((1 / F.sum(F.exp(F.col(SCORE) - F.col("_top")))).alias(out))
     )
 
 

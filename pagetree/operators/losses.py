@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.binding import let
-from ..functions.constants import LOSS_WEIGHTS, NCE_TEMPERATURE, POS_WEIGHT_CAP, STYLE_CHOICES, STYLE_COLORS
-from .metrics import _at, _terms, masked_mean, reg_error
+from ..functions.constants import LOSS_WEIGHTS, NCE_TEMPERATURE, POS_WEIGHT_CAP, STYLE_CHOICES
+from .metrics import _sum, masked_mean, reg_error, squares
 from .pages import IDX, SID
 
 
@@ -25,15 +28,16 @@ def parent_cross_entropy(
 ) -> DataFrame:
     """Mean cross entropy at the true parent; a parent that is no candidate counts as root.
 
-    One shuffle on the node: log-sum-exp, root score and target score come from the same groups.
+    Log-sum-exp and root score are hash aggregations over one exchange on the node.
     """
     target = nodes.select(SID, IDX, F.col(parent).alias("_t"))
-    top = F.max("score").over(Window.partitionBy(SID, IDX))
+    placed = scores.where(F.col("score").isNotNull()).repartition(SID, IDX)
+    tops = placed.groupBy(SID, IDX).agg(F.max("score").alias("_top"))
     per_node = (
-        scores.withColumn("_top", top)
+        placed.join(tops.hint("shuffle_hash"), [SID, IDX])
         .groupBy(SID, IDX)
         .agg(
-            (F.first("_top") + F.log(F.sum(F.exp(F.col("score") - F.col("_top"))))).alias("_lse"),
+            (F.max("_top") + F.log(F.sum(F.exp(F.col("score") - F.col("_top"))))).alias("_lse"),
             F.max(F.when(F.col("cand_idx") < 0, F.col("score"))).alias("_root"),
         )
     )
@@ -110,16 +114,9 @@ def style_mse(styled: DataFrame) -> DataFrame:
 def color_mse(styled: DataFrame, mode: str = "strict") -> DataFrame:
     """Masked squared error over the four channels; ``reference`` divides by colours instead of
     channels and so is four times as large."""
-    def err(i: int) -> Column:
-        def square(c: int) -> Column:
-            d = _at("pred_color", i, c) - _at("color", i, c)
-            return d * d
-
-        return _terms(4, square) * _at("color_valid", i)
-
-    n = len(STYLE_COLORS)
-    weight = _terms(n, lambda i: _at("color_valid", i))
-    mean = F.sum(_terms(n, err)) / F.greatest(F.sum(weight), F.lit(1.0))
+    off = F.zip_with("pred_color", "color", lambda p, t: squares(p, t, 4))
+    error = _sum(F.zip_with(off, "color_valid", lambda d, w: d * w))
+    mean = masked_mean(error, _sum(F.col("color_valid")))
     return styled.agg((mean if mode == "reference" else mean / 4).alias("style_color"))
 
 
@@ -129,7 +126,7 @@ def style_cross_entropy(styled: DataFrame) -> DataFrame:
         F.sum(v.cross_entropy(F.col(f"scores_{k}"), F.col(f"cls_{k}"))) / F.greatest(F.count("*"), F.lit(1))
         for k in STYLE_CHOICES
     ]
-    return styled.agg((_terms(len(parts), lambda i: parts[i]) / len(parts)).alias("style_cls"))
+    return styled.agg((reduce(add, parts) / len(parts)).alias("style_cls"))
 
 
 def weighted_total(terms: Column, weights: dict[str, float] | None = None) -> Column:

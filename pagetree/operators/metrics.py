@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pagearrays as pa
-from ..functions.constants import NODE_TYPES, STYLE_CHOICES, STYLE_COLORS, STYLE_NORMS
+from ..functions.constants import NODE_TYPES, STYLE_CHOICES
 from .pages import CHECK, IDX, PAGE_LIMIT, SID, by_page_size
 from .tree import tree_edit_distance
 
@@ -97,39 +97,26 @@ def parent_prf(
 # ---------------------------------------------------------------- style
 
 
-def _terms(n: int, term) -> Column:
-    total = term(0)
-    for i in range(1, n):
-        total = total + term(i)
-    return total
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _at(column: str, *path: int) -> Column:
-    value = F.col(column)
-    for i in path:
-        value = F.get(value, F.lit(i))
-    return value
-
-
-def reg_error(n: int = len(STYLE_NORMS), power: int = 1) -> tuple[Column, Column]:
+def reg_error(power: int = 1) -> tuple[Column, Column]:
     """Summed (absolute or squared) error of the valid numbers of a node, and their count."""
-    def err(i: int) -> Column:
-        d = _at("pred_reg", i) - _at("reg", i)
-        return (F.abs(d) if power == 1 else d * d) * _at("reg_valid", i)
+    off = F.zip_with("pred_reg", "reg", lambda p, t: F.abs(p - t) if power == 1 else (p - t) * (p - t))
+    return _sum(F.zip_with(off, "reg_valid", lambda d, v: d * v)), _sum(F.col("reg_valid"))
 
-    return _terms(n, err), _terms(n, lambda i: _at("reg_valid", i))
 
+def squares(p: Column, t: Column, channels: int) -> Column:
+    """Summed squared difference of the first channels of two colours."""
+    first = [F.slice(c, 1, channels) for c in (p, t)]
+    return _sum(F.zip_with(*first, lambda a, b: (a - b) * (a - b)))
 
-def color_error(n: int = len(STYLE_COLORS)) -> tuple[Column, Column]:
-    """Summed RGB distance of the valid colours of a node, and their count."""
-    def distance(i: int) -> Column:
-        def square(c: int) -> Column:
-            d = _at("pred_color", i, c) - _at("color", i, c)
-            return d * d
 
-        return F.sqrt(_terms(3, square)) * _at("color_valid", i)
-
-    return _terms(n, distance), _terms(n, lambda i: _at("color_valid", i))
+def color_error() -> tuple[Column, Column]:
+    """Summed RGB distance of the valid colours of a node, and their count."""
+    off = F.zip_with("pred_color", "color", lambda p, t: F.sqrt(squares(p, t, 3)))
+    return _sum(F.zip_with(off, "color_valid", lambda d, v: d * v)), _sum(F.col("color_valid"))
 
 
 def masked_mean(error: Column, weight: Column) -> Column:
