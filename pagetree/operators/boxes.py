@@ -31,10 +31,11 @@ def patch_grid(spark: SparkSession, size: int = PATCH_SIZE, n: int = GRID_SIZE)
 
 
 def _cells(low: Column, high: Column, size: int, n: int) -> Column:
-    """Rows (or columns) of the grid that an edge pair touches; null when it touches none."""
+    """Rows (or columns) of the grid that an edge pair touches; null when it touches none or has
+    no extent."""
     first = F.greatest(F.floor(low / size), F.lit(0)).cast("int")
     last = F.least(F.ceil(high / size) - 1, F.lit(n - 1)).cast("int")
-    return F.when(last >= first, F.sequence(first, last))
+    return F.when((high > low) & (last >= first), F.sequence(first, last))
 
 
 def _spans(low: Column, high: Column, size: int, n: int) -> Column:

@@ -40,12 +40,7 @@ def corpus_html(corpus: DataFrame) -> DataFrame:
 
 def read_files_of(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(sample_id, value): whole files of one name, the sample id being their folder."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name)
-        .text(path)
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
     return files.select(_folder(F.col("_metadata.file_path")).alias(SID), "value")
 
 
@@ -163,18 +158,12 @@ def read_run_log(spark: SparkSession, path: str, name: str = "*.jsonl") -> DataF
     All number fields but epoch become metrics, so new losses need no new schema.  ``seq`` keeps
     the order of the lines of a file.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name)
-        .text(path)
-        .select(
-            _folder(F.col("_metadata.file_path")).alias("run"),
-            (F.col("_metadata.file_block_start")).alias("_block"),
-            F.monotonically_increasing_id().alias("seq"),
-            "value",
-        )
+    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=name).select(
+        _folder(F.col("_metadata.file_path")).alias("run"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
     )
-    return parse_log_lines(lines).drop("_block")
+    return parse_log_lines(lines)
 
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:
