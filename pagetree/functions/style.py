@@ -127,7 +127,7 @@ def color_valid(color: Column) -> Column:
     return F.when(F.get(normalize_color(color), F.lit(3)) > 0, 1.0).otherwise(0.0)
 
 
-def encode_number(value: Column, norm: float) -> Column:
+def encode_number(value: Column, norm: Column) -> Column:
     """Value over its norm, clamped to [0, 1]; 0 when missing."""
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.cast("double") / norm))
     return F.when(value.isNull(), 0.0).otherwise(scaled)
@@ -141,15 +141,15 @@ def encode_choice(value: Column, choices: tuple[str, ...]) -> Column:
 
 def encode_styles_struct(style: Column) -> Column:
     """Encoded form of one style struct: reg, reg_valid, color, color_valid, cls_*."""
-    field = style.getField
-    reg = [(field(k), n) for k, n in STYLE_NORMS.items()]
-    colors = [field(k) for k in STYLE_COLORS]
+    numbers = F.array(*[style.getField(k).cast("double") for k in STYLE_NORMS])
+    norms = F.array(*[F.lit(n) for n in STYLE_NORMS.values()])
+    colors = F.array(*[style.getField(k).cast(COLOR) for k in STYLE_COLORS])
     return F.struct(
-        F.array(*[encode_number(v, n) for v, n in reg]).alias("reg"),
-        F.array(*[F.when(v.isNull(), 0.0).otherwise(1.0) for v, _ in reg]).alias("reg_valid"),
-        F.array(*[normalize_color(c) for c in colors]).alias("color"),
-        F.array(*[color_valid(c) for c in colors]).alias("color_valid"),
-        *[encode_choice(field(k), ch).alias(f"cls_{k}") for k, ch in STYLE_CHOICES.items()],
+        F.zip_with(numbers, norms, encode_number).alias("reg"),
+        F.transform(numbers, lambda v: F.when(v.isNull(), 0.0).otherwise(1.0)).alias("reg_valid"),
+        F.transform(colors, normalize_color).alias("color"),
+        F.transform(colors, color_valid).alias("color_valid"),
+        *[encode_choice(style.getField(k), ch).alias(f"cls_{k}") for k, ch in STYLE_CHOICES.items()],
     )
 
 

@@ -38,17 +38,6 @@ def _cells(low: Column, high: Column, size: int, n: int) -> Column:
     return F.when((high > low) & (last >= first), F.sequence(first, last))
 
 
-def _spans(low: Column, high: Column, size: int, n: int) -> Column:
-    """Touched rows (or columns) of the grid with the length shared with each."""
-    def span(i: Column) -> Column:
-        start = i * float(size)
-        return F.least(high, start + float(size)) - F.greatest(low, start)
-
-    return F.transform(
-        _cells(low, high, size, n), lambda i: F.struct(i.alias("i"), span(i).alias("w"))
-    )
-
-
 def align_nodes_patches(
     nodes: DataFrame, threshold: float = OVERLAP_THRESHOLD, size: int = PATCH_SIZE, n: int = GRID_SIZE
 ) -> DataFrame:
@@ -64,19 +53,36 @@ def align_nodes_patches(
         score = g.overlap_coefficient(b, patch_box(F.col("patch_idx"), size, n))
         return placed.select(SID, IDX, "patch_idx", score.alias("score"))
     smaller = F.least(g.box_area(b), F.lit(float(size * size)))
+    x1, y1, x2, y2 = b
     rows = nodes.select(
-        SID, IDX, smaller.alias("_a"), _spans(b[0], b[2], size, n).alias("_cols"),
-        F.inline(_spans(b[1], b[3], size, n)).alias("_row", "_h"),
+        SID, IDX, x1, x2, y1, y2, smaller.alias("_a"),
+        _cells(x1, x2, size, n).alias("_cols"),
+        F.explode(_cells(y1, y2, size, n)).alias("_row"),
     )
-    cells = rows.select(SID, IDX, "_a", "_row", "_h", F.inline("_cols").alias("_col", "_w"))
-    return (
-        cells.where(F.col("_w") * F.col("_h") >= F.col("_a") * threshold)
-        .select(
-            SID,
-            IDX,
-            (F.col("_row") * n + F.col("_col")).cast("int").alias("patch_idx"),
-            (F.col("_w") * F.col("_h") / F.col("_a")).alias("score"),
-        )
+    top = F.col("_row") * float(size)
+    cells = rows.select(
+        SID, IDX, x1, x2, "_a", "_row",
+        (F.least(y2, top + float(size)) - F.greatest(y1, top)).alias("_h"),
+        F.explode("_cols").alias("_col"),
+    )
+    left = F.col("_col") * float(size)
+    width = F.least(x2, left + float(size)) - F.greatest(x1, left)
+    return cells.select(
+        SID,
+        IDX,
+        (F.col("_row") * n + F.col("_col")).cast("int").alias("patch_idx"),
+        (width * F.col("_h") / F.col("_a")).alias("score"),
+    ).where(F.col("score") >= threshold)
+
+
+def _spans(low: Column, high: Column, size: int, n: int) -> Column:
+    """Touched rows (or columns) of the grid with the length shared with each."""
+    def span(i: Column) -> Column:
+        start = i * float(size)
+        return F.least(high, start + float(size)) - F.greatest(low, start)
+
+    return F.transform(
+        _cells(low, high, size, n), lambda i: F.struct(i.alias("i"), span(i).alias("w"))
     )
 
 

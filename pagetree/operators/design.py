@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,16 +52,27 @@ def design_nodes(nodes: DataFrame, mode: str = "strict") -> DataFrame:
     return nodes.select(*columns)
 
 
-def nest(parents: list[int], documents: list[str]) -> list[dict]:
-    """Roots with their children, in node order; leaves carry no ``children`` key."""
-    made = [json.loads(d) for d in documents]
-    roots = []
-    for node, parent in zip(made, parents):
-        if 0 <= parent < len(made):
-            made[parent].setdefault("children", []).append(node)
-        else:
-            roots.append(node)
-    return roots
+def nest(ids: list[int], parents: list[int], documents: list[str]) -> str:
+    """JSON list of the roots with their children, in node order; leaves get no ``children`` key.
+
+    Children are spliced into their parent's text, deepest first; nodes on a cycle hang under no
+    root and are left out.
+    """
+    place = {node: i for i, node in enumerate(ids)}
+    children: dict[int, list[int]] = {}
+    for i, p in enumerate(parents):
+        children.setdefault(place.get(p, -1), []).append(i)
+    order = list(children.get(-1, ()))
+    for i in order:
+        order.extend(children.get(i, ()))
+    text = list(documents)
+    for i in reversed(order):
+        if i in children:
+            inside = ",".join(text[c] for c in children[i])
+            text[i] = f'{text[i][:-1]},"children":[{inside}]}}'
+            for c in children[i]:
+                text[c] = ""
+    return "[" + ",".join(text[i] for i in children.get(-1, ())) + "]"
 
 
 def to_design_tree(
@@ -78,19 +87,19 @@ def to_design_tree(
     rows = design.select(SID, IDX, "parent_idx", F.to_json(F.struct(*fields)).alias("doc"))
 
     @F.pandas_udf("string")
-    def build(pages: pd.Series) -> pd.Series:
-        def one(page) -> str:
-            place = {n["node_idx"]: i for i, n in enumerate(page)}
-            parents = [place.get(n["parent_idx"], -1) for n in page]
-            return json.dumps(nest(parents, [n["doc"] for n in page]), ensure_ascii=False)
-
-        return pages.map(one)
+    def build(ids: pd.Series, parents: pd.Series, documents: pd.Series) -> pd.Series:
+        return pd.Series([nest(*page) for page in zip(ids, parents, documents)], dtype=object)
 
     def small(part: DataFrame) -> DataFrame:
         pages = part.groupBy(SID).agg(
             F.sort_array(F.collect_list(F.struct(IDX, "parent_idx", "doc"))).alias("page")
         )
-        return pages.select(SID, F.lit(0).alias("part"), build("page").alias("design"))
+        page = F.col("page")
+        return pages.select(
+            SID,
+            F.lit(0).alias("part"),
+            build(page[IDX], page["parent_idx"], page["doc"]).alias("design"),
+        )
 
     if large_ids is CHECK:
         large_ids = large_page_ids(design, page_limit)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..functions.binding import let
 from ..functions.constants import LOSS_WEIGHTS, NCE_TEMPERATURE, POS_WEIGHT_CAP, STYLE_CHOICES
 from .metrics import _sum, masked_mean, reg_error, squares
 from .pages import IDX, SID
@@ -59,52 +58,55 @@ def positives_of(labels: Column) -> Column:
     return F.array_compact(marked)
 
 
-def weighted_bce(
-    nodes: DataFrame,
-    sim: str = "sim",
-    positives: str = "positives",
-    max_nodes: int | None = None,
-    pages: int | None = None,
-) -> DataFrame:
-    """Binary cross entropy with logits; positives weigh min(neg/pos, 20).
+def cells_of(nodes: DataFrame, sim: str = "sim", positives: str = "positives") -> DataFrame:
+    """Fixed-length score arrays and sparse labels to one row per node and patch: x, positive."""
+    listed = nodes.select(positives, F.posexplode(sim).alias("_p", "x"))
+    return listed.select("x", F.array_contains(positives, F.col("_p")).alias("positive"))
 
-    ``sim`` is a fixed-length array over the patch grid, ``positives`` the sparse labels.  The loss
-    of the zeros is summed over all cells and taken back for the positive ones, and the weight
-    enters linearly, so one pass without a shuffle of cells collects everything.  With
-    ``max_nodes`` the negatives also count the padding rows up to that many nodes per page
-    (``pages`` pages), as padded tensors do.
-    """
-    def cell(x: Column, positive: bool) -> Column:
-        return F.struct(x.cast("double").alias("x"), F.lit(positive).alias("positive"))
 
-    every = F.transform(sim, lambda x: cell(x, False))
-    marked = let(F.col(sim), lambda s: F.transform(positives, lambda p: cell(F.get(s, p), True)))
+def weighted_bce(cells: DataFrame, padded_cells: float | None = None) -> DataFrame:
+    """Binary cross entropy with logits over (x, positive) rows; positives weigh min(neg/pos, 20).
+
+    The weight enters linearly, so one pass collects the counts and both partial sums.  With
+    ``padded_cells`` the negatives are counted in so many cells, as in padded tensors; the mean is
+    still over the cells given.
+    """
     x, hit = F.col("x"), F.col("positive")
-    sums = nodes.select(F.inline(F.concat(every, marked))).agg(
-        F.count_if(~hit).cast("double").alias("cells"),
+    sums = cells.agg(
+        F.count("*").cast("double").alias("n"),
         F.count_if(hit).cast("double").alias("pos"),
         F.sum(F.when(hit, v.softplus(-x)).otherwise(0.0)).alias("pos_loss"),
-        F.sum(F.when(hit, -v.softplus(x)).otherwise(v.softplus(x))).alias("neg_loss"),
+        F.sum(F.when(hit, 0.0).otherwise(v.softplus(x))).alias("neg_loss"),
     )
-    cells = F.col("cells")
-    if max_nodes is not None:
-        width = nodes.select(F.size(sim)).first()[0]
-        cells = F.lit(float(max_nodes * pages * width))
+    counted = F.col("n") if padded_cells is None else F.lit(float(padded_cells))
     pos = F.greatest(F.col("pos"), F.lit(1.0))
-    neg = F.greatest(cells - F.col("pos"), F.lit(1.0))
+    neg = F.greatest(counted - F.col("pos"), F.lit(1.0))
     weight = F.least(neg / pos, F.lit(POS_WEIGHT_CAP))
     loss = weight * F.coalesce("pos_loss", F.lit(0.0)) + F.coalesce("neg_loss", F.lit(0.0))
-    return sums.select((loss / F.greatest("cells", F.lit(1.0))).alias("align_bce"))
+    return sums.select((loss / F.greatest("n", F.lit(1.0))).alias("align_bce"))
 
 
 def infonce(
     nodes: DataFrame, sim: str = "sim", positives: str = "positives", temperature: float = NCE_TEMPERATURE
 ) -> DataFrame:
-    """Mean of log-sum-exp minus the score of the first positive patch; 0 without positives."""
-    scaled = F.transform(sim, lambda s: s / temperature)
-    loss = v.cross_entropy(scaled, F.array_min(positives))
-    with_pos = nodes.where(F.size(positives) > 0)
-    return with_pos.agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("align_nce"))
+    """Mean of log-sum-exp minus the score of the first positive patch; 0 without positives.
+
+    The array's maximum keeps the exponentials in range, and the rows of one node meet again in the
+    map-side aggregation.  A node without positives has a null loss, which the mean leaves out.
+    """
+    cells = nodes.select(
+        SID, IDX,
+        F.array_max(sim).alias("_top"),
+        F.get(sim, F.array_min(positives)).alias("_hit"),
+        F.explode(sim).alias("x"),
+    )
+    per_node = cells.groupBy(SID, IDX).agg(
+        F.sum(F.exp((F.col("x") - F.col("_top")) / temperature)).alias("_s"),
+        F.max("_top").alias("_top"),
+        F.max("_hit").alias("_hit"),
+    )
+    loss = F.log("_s") + (F.col("_top") - F.col("_hit")) / temperature
+    return per_node.agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("align_nce"))
 
 
 def style_mse(styled: DataFrame) -> DataFrame:

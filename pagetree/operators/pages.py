@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 SID, IDX = "sample_id", "node_idx"
 PAGE_LIMIT = 2048
+BROADCAST_IDS = 100_000
 CHECK = object()
 
 
@@ -33,11 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def large_page_ids(nodes: DataFrame, page_limit: int = PAGE_LIMIT) -> DataFrame | None:
-    """Ids of the pages above the limit (at most rows/limit of them), or None without any."""
+    """Ids of the pages above the limit, or None without any.
+
+    There are at most rows/limit of them; they are broadcast only if they are few.
+    """
     ids = nodes.groupBy(SID).count().where(F.col("count") > page_limit).select(SID)
     if ids.isEmpty():
         return None
-    return cut(ids)
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def by_page_size(

@@ -175,9 +175,15 @@ def child_counts(nodes: DataFrame, parent: str = PARENT) -> DataFrame:
 
 
 def root_nodes(nodes: DataFrame, parent: str = PARENT) -> DataFrame:
-    """Nodes whose parent is negative, out of range or not in the table."""
+    """Nodes whose parent is negative, out of range or not in the table.
+
+    Nodes that say themselves that they are roots stay out of the join: on a flat page they would
+    all meet under one key.
+    """
+    says_so = F.coalesce(F.col(parent) < 0, F.lit(True))
     here = nodes.select(SID, F.col(IDX).alias(parent))
-    return nodes.join(here, [SID, parent], "left_anti")
+    orphans = nodes.where(~says_so).join(here, [SID, parent], "left_anti")
+    return nodes.where(says_so).unionByName(orphans)
 
 
 def root_count(nodes: DataFrame, parent: str = PARENT) -> DataFrame:

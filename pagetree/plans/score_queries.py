@@ -313,15 +313,15 @@ FROM sums"""
 
 @query("weighted_bce", f"{WITH}, {_sql_bce('n')}")
 def weighted_bce(spark, sf_dir):
-    return losses.weighted_bce(t.patch_scores(spark, sf_dir)).select(r6("align_bce", "align_bce"))
+    return losses.weighted_bce(t.patch_cells(spark, sf_dir)).select(r6("align_bce", "align_bce"))
 
 
 @query("weighted_bce_padded", f"{WITH}, {_sql_bce('(SELECT count(DISTINCT sample_id) * 96.0::DOUBLE * 196 FROM nodes)')}")
 def weighted_bce_padded(spark, sf_dir):
     """Negatives count the padding up to 96 nodes per page."""
-    scored = t.patch_scores(spark, sf_dir)
     pages = t.nodes(spark, sf_dir).select(SID).distinct().count()
-    return losses.weighted_bce(scored, max_nodes=96, pages=pages).select(r6("align_bce", "align_bce"))
+    padded = pages * 96 * 196
+    return losses.weighted_bce(t.patch_cells(spark, sf_dir), padded).select(r6("align_bce", "align_bce"))
 
 
 @query("infonce", f"""{WITH}, {t.SQL_PATCHES}, per_node AS (

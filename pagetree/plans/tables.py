@@ -6,12 +6,12 @@ runs alike in Spark SQL and DuckDB; the ``SQL_*`` strings are the same views as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.constants import STYLE_CHOICES
-from ..operators.boxes import positive_patches
+from ..operators.boxes import EDGES, patch_box, positive_patches
 from ..operators.dataset import encode_styles
 from ..operators.pages import IDX, PAGE_LIMIT, SID, large_page_ids
 from ..operators.ranks import rank_within
@@ -254,8 +254,13 @@ def parent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates from the size of its page.
     """
     rows = nodes(spark, sf_dir).select(SID, IDX)
-    sizes = rows.groupBy(SID).agg(F.count("*").cast("int").alias("n"))
-    listed = rows.join(sizes, SID).select(
+    if page_sizes(spark, sf_dir)["large_ids"] is None:
+        # the window of the node view has already placed each page in one partition
+        size = F.count("*").over(Window.partitionBy(SID)).cast("int")
+        sized = rows.select(SID, IDX, size.alias("n"))
+    else:
+        sized = rows.join(rows.groupBy(SID).agg(F.count("*").cast("int").alias("n")), SID)
+    listed = sized.select(
         SID, IDX, F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("cand_idx")
     )
     cand = F.col("cand_idx")
@@ -310,6 +315,25 @@ def patch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select(SID, IDX, sim.alias("sim"), positives.alias("positives"))
 
 
+def patch_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores and labels with one row per node and patch."""
+    patch = F.col("patch_idx")
+    b, cell = g.box(), patch_box(patch)
+    cells = nodes(spark, sf_dir).select(
+        SID, IDX, *EDGES, F.least(g.box_area(b), F.lit(256.0)).alias("_a"),
+        F.explode(F.sequence(F.lit(0), F.lit(195))).alias("patch_idx"),
+    )
+
+    def span(low: int, high: int):
+        return F.greatest(F.lit(0.0), F.least(b[high], cell[high]) - F.greatest(b[low], cell[low]))
+
+    x = ((F.col(IDX) * 31 + patch * 17 + F.col(SID)) % 101).cast("double") / 10 - 5
+    shared = span(0, 2) * span(1, 3)
+    return cells.select(
+        SID, IDX, "patch_idx", x.alias("x"), ((shared > 0) & (shared >= F.col("_a") * 0.3)).alias("positive")
+    )
+
+
 def choice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Styled nodes with a score array per style choice."""
     sizes = {k: len(c) for k, c in STYLE_CHOICES.items()}

@@ -162,8 +162,8 @@ def test_weighted_bce(cells, padded):
     for *_, sim, pos in rows:
         for j, x in enumerate(sim):
             total += weight * _softplus(-x) if j in pos else _softplus(x)
-    extra = {"max_nodes": 20, "pages": 3} if padded else {}
-    assert losses.weighted_bce(df, **extra).first().align_bce == pytest.approx(total / (12 * 9))
+    got = losses.weighted_bce(losses.cells_of(df), n_cells if padded else None)
+    assert got.first().align_bce == pytest.approx(total / (12 * 9))
 
 
 def _softplus(x):
@@ -178,7 +178,7 @@ def test_infonce(spark, cells):
             s = [x / 0.1 for x in sim]
             want.append(max(s) + math.log(sum(math.exp(x - max(s)) for x in s)) - s[pos[0]])
     assert losses.infonce(df).first().align_nce == pytest.approx(sum(want) / len(want))
-    none = spark.createDataFrame([([1.0], [])], "sim array<double>, positives array<int>")
+    none = spark.createDataFrame([(0, 0, [1.0], [])], "sample_id int, node_idx int, sim array<double>, positives array<int>")
     assert losses.infonce(none).first().align_nce == 0.0
     dense = spark.createDataFrame([([0, 1, 1, 0],)], "labels array<int>")
     assert dense.select(losses.positives_of(F.col("labels")).alias("p")).first().p == [1, 2]
