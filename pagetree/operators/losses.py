@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..functions.binding import let
 from ..functions.constants import LOSS_WEIGHTS, NCE_TEMPERATURE, POS_WEIGHT_CAP, STYLE_CHOICES
 from .metrics import _sum, masked_mean, reg_error, squares
 from .pages import IDX, SID
@@ -91,22 +92,17 @@ def infonce(
 ) -> DataFrame:
     """Mean of log-sum-exp minus the score of the first positive patch; 0 without positives.
 
-    The array's maximum keeps the exponentials in range, and the rows of one node meet again in the
-    map-side aggregation.  A node without positives has a null loss, which the mean leaves out.
+    A node's scores are one short array, so its loss is computed inside the row and nothing is
+    grouped by node.  A node without positives has a null loss, which the mean leaves out.
     """
-    cells = nodes.select(
-        SID, IDX,
-        F.array_max(sim).alias("_top"),
-        F.get(sim, F.array_min(positives)).alias("_hit"),
-        F.explode(sim).alias("x"),
-    )
-    per_node = cells.groupBy(SID, IDX).agg(
-        F.sum(F.exp((F.col("x") - F.col("_top")) / temperature)).alias("_s"),
-        F.max("_top").alias("_top"),
-        F.max("_hit").alias("_hit"),
-    )
-    loss = F.log("_s") + (F.col("_top") - F.col("_hit")) / temperature
-    return per_node.agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("align_nce"))
+    def loss(scores: Column, top: Column) -> Column:
+        total = F.aggregate(
+            scores, F.lit(0.0), lambda acc, x: acc + F.exp((x - top) / temperature)
+        )
+        return F.log(total) + (top - F.get(scores, F.array_min(positives))) / temperature
+
+    per_node = let(F.col(sim), lambda s: let(F.array_max(s), lambda top: loss(s, top)))
+    return nodes.agg(F.coalesce(F.avg(per_node), F.lit(0.0)).alias("align_nce"))
 
 
 def style_mse(styled: DataFrame) -> DataFrame:
