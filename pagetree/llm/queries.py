@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import NearDuplicates, near_duplicates
+from .mixing import mix_sources, sized
+from .stage import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +65,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), NearDuplicates(shingle=3, percent=85))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query(
+    "op10_mixing",
+    r"""
+    WITH d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 10))::BIGINT AS h
+        FROM documents),
+    s AS (
+        SELECT source, sum(size)::BIGINT AS source_size,
+               1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+        FROM d GROUP BY source),
+    r AS (
+        SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (
+                      ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / (sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level
+        FROM s),
+    t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target FROM r),
+    c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
+    h AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
+    u AS (SELECT source, h, words, sum(words) OVER (PARTITION BY source ORDER BY h) - words AS before FROM h),
+    x AS (
+        SELECT u.source, h, (before + words <= target - copies * source_size)
+               OR (before <= target - copies * source_size AND (target - copies * source_size - before) * 2 > words) AS extra
+        FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source)
+    SELECT d.doc_id, d.size, c.source_size, c.target, (d.size * (c.copies + x.extra::BIGINT))::BIGINT AS taken
+    FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+    JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h
+    """,
+)
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    narrow = staged(sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "_hash"))
+    return mix_sources(narrow).select("doc_id", "size", "source_size", "target", "taken")
