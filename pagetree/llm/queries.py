@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import NearDuplicates, near_duplicates
 from .mixing import mix_sources, sized
+from .packing import pack
 from .stage import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +100,9 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = staged(sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "_hash"))
     return mix_sources(narrow).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), longest=4096, with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
