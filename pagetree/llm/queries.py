@@ -8,16 +8,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .minhash import NearDuplicates, near_duplicates
 from .mixing import mix_sources, sized
 from .packing import pack
 from .stage import staged
+from .winnow import dedup_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-_WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER_WORDS_SQL = _WORDS_SQL.replace(
     "coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
@@ -45,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         SELECT DISTINCT doc_id, unnest(CASE
             WHEN len(w) = 0 THEN []::VARCHAR[]
             WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-            ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh
         FROM w),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
     p AS (
@@ -106,3 +108,47 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), longest=4096, with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+_REACH_SQL = "list_position(list_transform(range(1, 51), lambda k: list_sum(n[i:i + k - 1]) >= 50), true)"
+
+
+@query(
+    "op9_line_dedup",
+    f"""
+    WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+    flat AS (
+        SELECT doc_id, unnest(range(0, len(ls))) AS idx, unnest(ls) AS line FROM raw),
+    counted AS (
+        SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM flat),
+    docs AS (
+        SELECT doc_id, list(line ORDER BY idx) AS l, list(n ORDER BY idx) AS n, list(idx ORDER BY idx) AS x
+        FROM counted WHERE n > 0 GROUP BY doc_id),
+    starts AS (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM docs),
+    reach AS (SELECT *, {_REACH_SQL} AS k FROM starts),
+    win AS (
+        SELECT doc_id, i, x[i:i + k - 1] AS own, array_to_string(l[i:i + k - 1], chr(10)) AS key,
+               x[i + k:i + k + t - 1] AS rest, l[i + k:i + k + t - 1] AS tail
+        FROM (SELECT a.*, coalesce(b.k, len(a.l) - a.i - a.k + 1) AS t
+              FROM reach a LEFT JOIN reach b ON b.doc_id = a.doc_id AND b.i = a.i + a.k WHERE a.k IS NOT NULL)),
+    firsts AS (
+        SELECT key, arg_min(tail, doc_id * 1000000 + i) AS tail, min(doc_id * 1000000 + i) AS at FROM win GROUP BY key),
+    later AS (
+        SELECT w.doc_id, w.own, w.rest,
+               coalesce(list_position(list_transform(range(1, len(w.tail) + 1), lambda j: w.tail[j] IS NOT DISTINCT FROM f.tail[j]), false) - 1,
+                        len(w.tail)) AS ext
+        FROM win w JOIN firsts f USING (key) WHERE w.doc_id * 1000000 + w.i <> f.at),
+    gone AS (
+        SELECT DISTINCT doc_id, unnest(list_concat(own, rest[1:ext])) AS idx FROM later),
+    kept AS (
+        SELECT f.doc_id, string_agg(f.line, chr(10) ORDER BY f.idx) FILTER (WHERE g.idx IS NULL) AS text,
+               count(*) AS n_lines, count(g.idx) AS n_removed
+        FROM flat f LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.idx = f.idx GROUP BY f.doc_id)
+    SELECT raw.doc_id, CASE WHEN raw.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+           coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
+    FROM raw LEFT JOIN kept USING (doc_id)
+    """.replace("\\\\", "\\"),
+)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"), words=50, gram_words=20)
+    return found.select("doc_id", "text", "n_lines", F.size("removed").cast("long").alias("n_removed"))
