@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .minhash import NearDuplicates, near_duplicates
 from .mixing import mix_sources, sized
+from .outliers import quality_rules
 from .packing import pack
 from .stage import staged
 from .winnow import dedup_lines
@@ -152,3 +153,10 @@ _REACH_SQL = "list_position(list_transform(range(1, 51), lambda k: list_sum(n[i:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"), words=50, gram_words=20)
     return found.select("doc_id", "text", "n_lines", F.size("removed").cast("long").alias("n_removed"))
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
