@@ -10,12 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import compression, ordinal
 from .minhash import NearDuplicates, near_duplicates
 from .mixing import mix_sources, sized
 from .outliers import quality_rules
 from .packing import pack
-from .stage import staged
+from .rollups import TokenRollup, delete, insert, revise
+from .stage import shared_folder, staged
 from .winnow import dedup_lines
+from .words import n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +163,59 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out_of_training = compression.held_out("doc_id", 3, 1)
+    model = compression.fit(docs, labels.where(~out_of_training))
+    scored = compression.score_quality(docs, model)
+    return scored.select("doc_id", out_of_training.alias("held_out"), "score", "predicted")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = ordinal.fit(docs, labels.select("doc_id", labels["toxic"].alias("grade")))
+    return ordinal.severity(docs.select("doc_id", "text"), model).select("doc_id", "severity", "p_toxic", "grade", "toxic")
+
+
+@query(
+    "op7_token_counts",
+    r"""
+    WITH firsts AS (
+        SELECT source, lang, text FROM documents
+        QUALIFY doc_id IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY coalesce(text, ''))),
+    counts AS (
+        SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM firsts
+        UNION ALL
+        SELECT source, lang, 'letters-2', len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]')) FROM firsts)
+    SELECT source, lang, version, count(*) AS docs, sum(tokens)::BIGINT AS tokens
+    FROM counts GROUP BY source, lang, version
+    """,
+)
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in with provisional counts; exact later copies go; the rest is recounted
+    exactly and counted by a second tokenizer version.  The first batch comes twice."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.md5(text).alias("digest"),
+        F.ceil(F.length(text) / 6).cast("long").alias("provisional"),
+        n_words(text).alias("words"),
+        F.regexp_count(text, F.lit("[A-Za-z]+|[0-9]")).cast("long").alias("letters"),
+    )
+    docs = staged(docs)
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    docs = staged(docs.join(first, "digest").withColumn("later", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))))
+    words, rest = docs.withColumn("version", F.lit("words-1")), docs.where("not later")
+    load = insert(words.withColumn("tokens", F.col("provisional")))
+    rollup = TokenRollup(spark, shared_folder(spark))
+    rollup.commit("load", load)
+    rollup.commit("copies", delete(words.where("later").withColumn("tokens", F.col("provisional"))))
+    rollup.commit("load", load)
+    recount = rest.select("source", "lang", F.lit("words-1").alias("version"), F.col("provisional").alias("old_tokens"), F.col("words").alias("tokens"))
+    second = rest.select("source", "lang", F.lit("letters-2").alias("version"), F.col("letters").alias("tokens"))
+    rollup.commit("recount", revise(recount).unionByName(insert(second)))
+    rollup.compact()
+    return rollup.totals()
