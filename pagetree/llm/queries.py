@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import compression, ordinal
+from .backoff import score_texts
 from .minhash import NearDuplicates, near_duplicates
 from .mixing import mix_sources, sized
 from .outliers import quality_rules
@@ -219,3 +220,40 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("recount", revise(recount).unionByName(insert(second)))
     rollup.compact()
     return rollup.totals()
+
+
+_CRC_SQL = """
+    bytes AS (SELECT range AS b FROM range(256)),
+    crcs AS (
+        SELECT list(c ORDER BY b) AS t FROM (
+            SELECT b, list_reduce(list_concat([b], range(8)), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM bytes)),
+    ids AS (
+        SELECT DISTINCT doc_id, 4294967295 - list_reduce(
+            list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) AS crc
+        FROM documents, crcs)"""
+
+
+@query(
+    "op3_lm_scoring",
+    f"""
+    WITH {_CRC_SQL},
+    w AS (
+        SELECT d.doc_id, coalesce(crc % 10 = 0, false) AS held_out, list_append(list_transform({_LOWER_WORDS_SQL}, lambda x: 'w' || x), '$') AS w
+        FROM documents d LEFT JOIN ids ON ids.doc_id = d.doc_id),
+    t AS (SELECT doc_id, held_out, unnest(w) AS b, unnest(list_prepend('^', w[1:len(w) - 1])) AS a FROM w),
+    c1 AS (SELECT b, count(*) AS c FROM t WHERE NOT held_out GROUP BY b),
+    c2 AS (SELECT a, b, count(*) AS c FROM t WHERE NOT held_out GROUP BY a, b),
+    n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c1),
+    p AS (
+        SELECT t.*, coalesce(c1.c, 0) AS cb, coalesce(ca.c, CASE WHEN t.a = '^' THEN (SELECT count(*) FROM w WHERE NOT held_out) END, 0) AS ca,
+               coalesce(c2.c, 0) AS cab, n.n, (coalesce(c1.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)) AS root
+        FROM t CROSS JOIN n LEFT JOIN c1 ON c1.b = t.b LEFT JOIN c1 ca ON ca.b = t.a LEFT JOIN c2 ON c2.a = t.a AND c2.b = t.b)
+    SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE cb > 0) AS n_known, max(n) AS train_tokens,
+           round(sum(log10(root)), 6) AS base_score, round(sum(log10((cab + 2 * root) / (ca + 2))), 6) AS score
+    FROM p GROUP BY doc_id, held_out
+    """,
+)
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
