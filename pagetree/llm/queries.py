@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import compression, ordinal
 from .backoff import score_texts
+from .balltree import top_k, usable, whole_numbers
 from .minhash import NearDuplicates, near_duplicates
 from .mixing import mix_sources, sized
 from .outliers import quality_rules
@@ -257,3 +258,22 @@ _CRC_SQL = """
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(table(spark, sf_dir, "documents"))
     return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+@query(
+    "op2_topk",
+    """
+    WITH v AS (
+        SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(usable("embedding")).select("vec_id", whole_numbers("embedding").alias("v"))
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
