@@ -71,7 +71,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", longest: int = 4
     Only counts per task and length are brought together, never pieces.
     """
     cut = staged(pieces(docs, tokenizer, longest, with_ids))
-    counts = cut.groupBy("length", "_task").agg(F.count("*").alias("_n"))
+    counts = staged(cut.groupBy("length", "_task").agg(F.count("*").alias("_n")))
     offsets = counts.select(
         "length", "_task",
         F.coalesce(F.sum("_n").over(Window.orderBy("length", "_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"),

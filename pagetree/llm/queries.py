@@ -72,7 +72,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """,
 )
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), NearDuplicates(shingle=3, percent=85))
+    found = near_duplicates(table(spark, sf_dir, "documents"), NearDuplicates(shingle=3, percent=85, bands=30, rows=6))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
