@@ -17,23 +17,30 @@ from pagetree.llm.stage import staged
 from pagetree.llm.winnow import dedup_lines
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+_NAMED = ("doc_id", "text", "source")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with names for its further columns that no operator uses."""
+    return docs.toDF(*[c if c in _NAMED else f"further_{i}" for i, c in enumerate(docs.columns)])
+
+
+def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under their own names."""
+    return found.select(*_plain(docs).columns).toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are more likely toxic than not."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = ordinal.fit(docs, labels.select("doc_id", F.col("toxic").alias("grade")))
-    return ordinal.severity(docs, model).where("not toxic").select(*_columns(docs))
+    return _restored(ordinal.severity(_plain(docs), model).where("not toxic"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the later places of runs of 50 words or more in whole lines; documents stay."""
-    found = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*_columns(docs))
+    found = _restored(dedup_lines(_plain(docs)), docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +49,16 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     Rows without a doc_id stay as they are.
     """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    rows = _plain(docs)
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    return chosen.select(*_columns(docs)).union(docs.where("doc_id is null").select(*_columns(docs)))
+    chosen = rows.join(kept, "doc_id", "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return _restored(chosen.drop("place").unionByName(rows.where("doc_id is null")), docs)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mix_sources(sized(docs)).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*_columns(docs))
+    mixed = mix_sources(sized(_plain(docs))).where("copies > 0")
+    return _restored(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
 
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: CompressionSettings = Compressi
         return None
     good, bad = (_dictionary(samples[q], how) for q in (1, 0))
     ids = others.orderBy(*order).limit(how.calibration_rows).select("doc_id", "quality")
-    rows = _differences(docs.join(F.broadcast(ids), "doc_id"), good, bad, how, "quality").collect()
+    rows = _differences(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), good, bad, how, "quality").collect()
     if {r["quality"] for r in rows} != {0, 1}:
         return None
     x, y = (np.array([float(r[c]) for r in rows]) for c in ("difference", "quality"))

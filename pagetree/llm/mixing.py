@@ -117,14 +117,14 @@ def mix_sources(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     target 0.  Null sources are a source of their own; rows that are equal in id and text are taken
     together; an empty table gives an empty result.  Columns of these names are replaced.
     """
-    rows = rows.withColumn("_key", _key("source"))
-    narrow = rows.select("source", "_key", "size", "_hash")
+    extra = ["source_size", "target", "copies", "taken"]
+    kept = [c for c in rows.columns if c not in (*extra, "_hash")]
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "source", _key("source").alias("_key"), "size", "_hash")
+    narrow = rows.drop("_row")
     state = thresholds(narrow, source_targets(narrow, weights, most))
     salted = state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    extra = ["source_size", "target", "copies", "taken"]
-    kept = [c for c in rows.columns if c not in (*extra, "_key", "_hash")]
-    joined = rows.drop(*extra).withColumn("_salt", F.pmod("_hash", F.lit(_SALTS)).cast("int")).join(salted, ["_key", "_salt"])
+    joined = rows.withColumn("_salt", F.pmod("_hash", F.lit(_SALTS)).cast("int")).join(salted, ["_key", "_salt"])
     copies = F.col("_copies") + (F.col("_hash") < F.col("_threshold")).cast("long")
     return joined.withColumn("copies", copies).select(
-        *[F.col(f"`{c}`") for c in kept], "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        *[F.col(f"_row.`{c}`").alias(c) for c in kept], "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )

@@ -197,11 +197,12 @@ def robust_outliers(rows: DataFrame, how: OutlierRules = OutlierRules()) -> Data
     replaced.
     """
     keep = [c for c in rows.columns if c not in ("distance", "outlier")]
-    rows = staged(
-        rows.select(*[F.col(f"`{c}`") for c in keep]).withColumns(
-            {"_group": _group_key(), "_salt": F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(_SALTS)).cast("int"), **_vector()}
-        )
+    rows = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "n_words", _group_key().alias("_group"),
+        F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(_SALTS)).cast("int").alias("_salt"),
+        *[v.alias(k) for k, v in _vector().items()],
     )
+    rows = staged(rows)
     narrow = rows.where("n_words > 0").select("_group", "_salt", *_FEATURES)
     estimate = _medians(narrow)
     for _ in range(how.steps):
@@ -210,7 +211,7 @@ def robust_outliers(rows: DataFrame, how: OutlierRules = OutlierRules()) -> Data
     measured = _with_distance(rows, estimate.join(sizes, "_group", "right"), "_size", how="left")
     distance = F.when(F.col("n_words") > 0, F.col("_d"))
     return measured.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col(f"_row.`{c}`").alias(c) for c in keep],
         distance.alias("distance"),
         F.coalesce((F.col("_size") >= how.least) & (distance > how.cutoff), F.lit(False)).alias("outlier"),
     )

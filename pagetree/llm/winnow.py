@@ -109,16 +109,13 @@ def dedup_lines(docs: DataFrame, words: int = 50, gram_words: int = 20) -> DataF
     if not 1 <= gram_words <= words:
         raise ValueError("gram_words must be between 1 and words")
     found = repeated_lines(docs, words, gram_words)
-    lines = F.split("text", "\n")
-    kept = "transform(array_except(sequence(0, size(_all) - 1), removed), i -> get(_all, i))"
-    key, text = _doc_key()
     columns = [c for c in docs.columns if c not in ("removed", "n_lines")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in columns], key, text).join(found, ["_doc", "_text"], "left")
-    return joined.withColumn("_all", lines).select(
-        *[
-            F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.expr(kept), "\n")).alias("text") if c == "text" else F.col(f"`{c}`")
-            for c in columns
-        ],
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *_doc_key())
+    joined = rows.join(found, ["_doc", "_text"], "left").withColumn("_all", F.split(F.col("_row.text").cast("string"), "\n"))
+    kept = F.expr("transform(array_except(sequence(0, size(_all) - 1), removed), i -> get(_all, i))")
+    text = F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(
+        *[(text if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in columns],
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
         F.coalesce(F.size("_all"), F.lit(0)).cast("long").alias("n_lines"),
     )
