@@ -27,14 +27,16 @@ class OrdinalSettings:
     """Bounds of the sample that the weights are fitted on, and of the model.
 
     At most ``rows_per_side`` rows with grade 0 and as many with a higher grade are sampled by the
-    hash of their id, of those with at most ``most_words`` different words; a word must occur in
-    ``least_documents`` of them, and the ``most_features`` most frequent ones are kept.  Scoring
-    covers all rows and whole texts.
+    hash of their id, of those with at most ``most_words`` different words.  A word must occur in
+    ``least_documents`` of them, its share must differ between the sides by ``least_z`` standard
+    errors, and the ``most_features`` most frequent ones are kept.  Scoring covers all rows and
+    whole texts.
     """
 
     rows_per_side: int = 6000
     most_words: int = 20_000
     least_documents: int = 4
+    least_z: float = 3.5
     most_features: int = 1 << 16
     grades: int = 3
     l1: float = 3e-4
@@ -94,17 +96,20 @@ def fit(docs: DataFrame, graded: DataFrame, how: OrdinalSettings = OrdinalSettin
     sets = [np.frombuffer(r["features"], np.uint64) for r in rows]
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     words, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = df >= how.least_documents
+    up = (grade > 0).sum()
+    high = np.bincount(column, (grade > 0)[row], len(words)) / up
+    low = (df - high * up) / (len(grade) - up)
+    share = df / len(grade)
+    z = np.abs(high - low) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / up + 1 / (len(grade) - up)))
+    keep = (df >= how.least_documents) & (z >= how.least_z)
     if keep.sum() > how.most_features:
         keep &= df >= np.sort(df)[-how.most_features]
         keep[np.flatnonzero(keep)[how.most_features :]] = False
     place = np.cumsum(keep) - 1
     row, column = row[keep[column]], place[column[keep[column]]]
-    words, n = words[keep], len(sets)
+    words, high, low, n = words[keep], high[keep], low[keep], len(sets)
     if grade.max() == 1 and how.grades > 1:
-        high = np.bincount(column, (grade > 0)[row], len(words)) / (grade > 0).sum()
-        low = (np.bincount(column, (grade == 0)[row], len(words)) + 0.5) / (grade == 0).sum()
-        marks = (high >= 0.01) & (high >= 8 * low)
+        marks = (high >= 0.01) & (high >= 8 * (low + 0.5 / (len(grade) - up)))
         hits = np.bincount(row, marks[column], n).astype(np.int64)
         grade = np.where(grade > 0, np.clip(hits, 1, how.grades), 0)
     k = int(grade.max())
