@@ -33,15 +33,16 @@ _MISS = 5.0  # standard deviations
 class NearDuplicates:
     """Settings.  Links have ``100 * intersection >= percent * union``.
 
-    A pair at the threshold shares no band with probability (1 - s**rows)**bands, 7e-7 with the
-    defaults and 85 percent.
+    A pair at the threshold shares no band with probability (1 - s**rows)**bands: 6e-7 with the
+    defaults, 7e-7 with 30 bands of 6 rows at 85 percent.
     """
 
     shingle: int = 5
     percent: int = 80
-    bands: int = 30
-    rows: int = 6
-    block: int = 1024
+    bands: int = 36
+    rows: int = 5
+    block: int = 2048
+    block_shingles: int = 1 << 20
 
     @property
     def least_agreement(self) -> int:
@@ -105,17 +106,16 @@ def sketches(docs: DataFrame, how: NearDuplicates) -> DataFrame:
 
 
 def _bucket_rows(nodes: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(bucket, node) for each band of each class."""
+    """(bucket, node, n_shingles) for each band of each class."""
 
     def run(batches):
         for batch in batches:
             keys = [_buckets(np.frombuffer(s.as_py(), np.uint32), how.bands) for s in batch.column("signature")]
-            ids = np.repeat(batch.column("node").to_numpy(), how.bands)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.array(ids)], ["bucket", "node"]
-            )
+            ids, sizes = (np.repeat(batch.column(c).to_numpy(), how.bands) for c in ("node", "n_shingles"))
+            buckets = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(ids), pa.array(sizes)], ["bucket", "node", "n_shingles"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "bucket long, node long")
+    return nodes.select("node", "n_shingles", "signature").mapInArrow(run, "bucket long, node long, n_shingles long")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
@@ -130,18 +130,22 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFram
     return texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node long, shingles binary")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= how.percent * (len(x) + len(y) - common))
+            keep = [
+                _similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), how.percent)
+                for a, b in zip(batch.column("a"), batch.column("b"), strict=True)
+            ]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
@@ -150,57 +154,87 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFr
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets that still hold several components: (bucket, node, component)."""
-    rows = staged(
-        buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """Buckets that still hold several components: the rows with component, centre and totals."""
+    rows = staged(buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    mixed = rows.groupBy("bucket").agg(
+        F.min("component").alias("_a"), F.max("component").alias("_b"), F.min(F.struct("component", "node")).alias("centre"),
+        F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"),
     )
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("members"), F.min(F.struct("component", "node")).alias("centre"))
-    return rows.join(mixed.where("_a < _b").select("bucket", "members", "centre"), "bucket")
+    return rows.join(mixed.where("_a < _b").drop("_a", "_b"), "bucket")
 
 
-def _block_pairs(rows: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Candidate pairs (u < v) of different components within each bucket, each pair once.
+def _promising(bucket: int, table: pa.Table, how: NearDuplicates) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of two blocks that may be similar: a row of the lower block and some of the higher one.
 
-    ``rows`` has bucket, members, node, component, n_shingles and signature.  A bucket is cut into
-    blocks of about ``how.block`` classes; two blocks meet in one group.  A pair leaves the group
-    of its first common band only, if sizes and signatures allow the threshold.
+    Only pairs of different components whose sizes and signatures allow the threshold, and only in
+    the bucket of the first band that they share.
     """
-    least, percent, bands = how.least_agreement, how.percent, how.bands
-
-    def run(key, table):
-        low, high = key[1].as_py(), key[2].as_py()
-        side = table.column("side").to_numpy()
-        ids, comps, sizes = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-        sigs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
-        left = np.flatnonzero(side == low)
-        right = np.flatnonzero(side == high)
-        found = []
-        for i in left:
-            other = right[(comps[right] != comps[i]) & (ids[right] != ids[i])]
-            if low == high:
-                other = other[ids[other] > ids[i]]
-            a, b = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
-            other = other[100 * a >= percent * b]
-            equal = sigs[other] == sigs[i]
-            other, equal = other[(n := equal.sum(axis=1)) >= least], equal[n >= least]
+    side, low, high = table.column("side").to_numpy(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    ids, components_, sizes = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+    sigs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
+    right = np.flatnonzero(side == high)
+    for i in np.flatnonzero(side == low):
+        other = right[components_[right] != components_[i]]
+        if low == high:
+            other = other[ids[other] > ids[i]]
+        a, b = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
+        other = other[100 * a >= how.percent * b]
+        equal = sigs[other] == sigs[i]
+        enough = equal.sum(axis=1) >= how.least_agreement
+        other, equal = other[enough], equal[enough]
+        if len(other):
+            first = equal.reshape(len(other), how.bands, -1).all(axis=2).argmax(axis=1)
+            other = other[_buckets(sigs[i], how.bands)[first] == bucket]
             if len(other):
-                first = equal.reshape(len(other), bands, -1).all(axis=2).argmax(axis=1)
-                here = _buckets(sigs[i], bands)[first] == key[0].as_py()
-                found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in other[here]]
-        pairs = np.array(found, np.int64).reshape(-1, 2)
+                yield i, other
+
+
+def _block_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
+    """Confirmed links between classes of different components that share a bucket.
+
+    A bucket is cut into blocks of bounded numbers of classes and shingles, and two blocks meet in
+    one group.  A first pass over signatures tells which classes have a promising partner there;
+    only these bring their sets to the second pass, which compares the promising pairs and returns
+    no more links than connect its classes.
+    """
+    key = ["bucket", "low", "high"]
+
+    def look(group, table):
+        found = {int(k) for i, other in _promising(group[0].as_py(), table, how) for k in (i, *other)}
+        return table.select([*key, "side", "node", "component"]).take(pa.array(sorted(found), pa.int64()))
+
+    def compare(group, table):
+        ids, shingles = table.column("node").to_numpy(), table.column("shingles").combine_chunks()
+        root = {}
+
+        def top(x):
+            while x in root:
+                x = root[x]
+            return x
+
+        links = []
+        for i, other in _promising(group[0].as_py(), table, how):
+            mine = np.frombuffer(shingles[int(i)].as_py(), np.uint64)
+            for j in other:
+                a, b = top(int(i)), top(int(j))
+                if a != b and _similar(mine, np.frombuffer(shingles[int(j)].as_py(), np.uint64), how.percent):
+                    root[a] = b
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    blocks = F.ceil(F.col("members") / how.block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / how.block, F.col("shingles") / how.block_shingles)).cast("int")
     sides = (
-        rows.withColumn("side", own)
+        rows.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("low", F.least("side", "other"))
-        .withColumn("high", F.greatest("side", "other"))
+        .withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
+        .select(*key, "side", "node", "component")
+    )
+    sketch = nodes.select("node", "n_shingles", "signature")
+    seen = staged(
+        sides.join(sketch, "node").groupBy(*key).applyInArrow(look, "bucket long, low int, high int, side int, node long, component long")
     )
-    return sides.select("bucket", "low", "high", "side", "node", "component", "n_shingles", "signature").groupBy(
-        "bucket", "low", "high"
-    ).applyInArrow(run, "u long, v long")
+    return seen.join(sketch, "node").join(sets, "node").groupBy(*key).applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:  # noqa: B008
@@ -231,7 +265,7 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     labels = components(links)
 
     # every class against the centres of the buckets that still hold several components
-    left = _labelled(buckets.select("bucket", "node"), labels)
+    left = _labelled(buckets.select("bucket", "node", "n_shingles"), labels)
     second = left.where(F.col("component") != F.col("centre.component")).select(
         F.least("node", "centre.node").alias("u"), F.greatest("node", "centre.node").alias("v")
     ).distinct()
@@ -239,9 +273,8 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     labels = components(links)
 
     # the pairs of different components that are left
-    left = _labelled(buckets.select("bucket", "node"), labels).join(nodes.drop("digest"), "node")
-    third = staged(_block_pairs(left, how)).distinct()
-    links = staged(links.union(_confirmed(third, sets, how)).distinct())
+    left = _labelled(buckets.select("bucket", "node", "n_shingles"), labels)
+    links = staged(links.union(_block_links(left, nodes, sets, how)).distinct())
     labels = components(links)
 
     degree = links.select("u").union(links.select("v")).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_links"))
