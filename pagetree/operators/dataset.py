@@ -179,9 +179,11 @@ def _padded(values: Column, n: int, pad) -> Column:
 def pad_array(nodes: DataFrame, max_nodes: int = MAX_NODES, parent: str = "parent_idx") -> DataFrame:
     """Fixed-length arrays per page for trainers: boxes (0), parents (-1) and mask (0).
 
-    Input is a truncated table (``bfs_truncate``), so a page has at most ``max_nodes`` rows; more
-    is an error rather than a silent cut.
+    Takes the result of ``bfs_truncate`` with its new indices, or a table whose pages have at most
+    ``max_nodes`` rows; more is an error rather than a silent cut.
     """
+    if {"new_idx", "new_parent"} <= set(nodes.columns):
+        nodes = nodes.select(SID, F.col("new_idx").alias(IDX), F.col("new_parent").alias(parent), "x1", "y1", "x2", "y2")
     too_many = F.raise_error(F.lit(f"more than {max_nodes} nodes on a page: truncate first"))
     fits = nodes.select(
         SID,

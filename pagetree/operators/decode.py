@@ -6,6 +6,8 @@ column.  ``types`` is (sample_id, node_idx, type_idx).  Ties go to the lower can
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,10 +111,11 @@ def decode_parents(
 
 
 def decode_parents_layered(
-    scores: DataFrame, types: DataFrame, max_depth: int = 16, out: str = "model_parent"
+    scores: DataFrame, types: DataFrame, max_depth: int | None = None, out: str = "model_parent"
 ) -> DataFrame:
     """Layer by layer over allowed candidates only: nodes that rank the root first make layer 0,
-    then each open node joins its best candidate on the layer before; what is left becomes a root.
+    then each open node joins its best candidate on the layer before, until a layer stays empty or
+    ``max_depth`` layers are made; what is left becomes a root.
 
     Worth having for sparse score tables, where not every pair is scored.
     """
@@ -123,7 +126,7 @@ def decode_parents_layered(
         best.where("best < 0").select(SID, IDX, F.lit(-1).alias(out)).join(leaf, [SID, IDX])
     )
     layer = placed
-    for _ in range(1, max_depth):
+    for _ in itertools.count(1) if max_depth is None else range(1, max_depth):
         hosts = layer.where(~F.col("_leaf")).select(SID, F.col(IDX).alias(CAND))
         open_scores = allowed.join(placed.select(SID, IDX), [SID, IDX], "left_anti")
         layer = cut(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from ..functions import style as st
 from ..functions import text as tx
 from ..functions.constants import STYLE_CHOICES
 from .boxes import parent_by_containment
-from .pages import CHECK, IDX, PAGE_LIMIT, SID, large_page_ids
+from .pages import IDX, SID
 
 
 def design_nodes(nodes: DataFrame, mode: str = "strict") -> DataFrame:
@@ -55,33 +57,37 @@ def design_nodes(nodes: DataFrame, mode: str = "strict") -> DataFrame:
 def nest(ids: list[int], parents: list[int], documents: list[str]) -> str:
     """JSON list of the roots with their children, in node order; leaves get no ``children`` key.
 
-    Children are spliced into their parent's text, deepest first; nodes on a cycle hang under no
-    root and are left out.
+    The text is put together from pieces in one walk, so its cost is its length.  Nodes on a cycle
+    hang under no root and are left out.
     """
     place = {node: i for i, node in enumerate(ids)}
     children: dict[int, list[int]] = {}
     for i, p in enumerate(parents):
         children.setdefault(place.get(p, -1), []).append(i)
-    order = list(children.get(-1, ()))
-    for i in order:
-        order.extend(children.get(i, ()))
-    text = list(documents)
-    for i in reversed(order):
-        if i in children:
-            inside = ",".join(text[c] for c in children[i])
-            text[i] = f'{text[i][:-1]},"children":[{inside}]}}'
-            for c in children[i]:
-                text[c] = ""
-    return "[" + ",".join(text[i] for i in children.get(-1, ())) + "]"
-
-
-def to_design_tree(
-    design: DataFrame, page_limit: int = PAGE_LIMIT, large_ids=CHECK
-) -> DataFrame:
-    """(sample_id, part, design): nested JSON per page.
-
-    A page above the limit does not fit one document: it is written as one document per node, its
-    parent's id included, in parts numbered by node index, so nothing is left out.
+    out, todo = ["["], [("list", -1)]
+    while todo:
+        kind, i = todo.pop()
+        if kind == "text":
+            out.append(i)
+        elif kind == "list":
+            below = children.get(i, ())
+            for k in range(len(below) - 1, -1, -1):
+                todo.append(("node", below[k]))
+                if k:
+                    todo.append(("text", ","))
+        elif i in children:
+            out.append(documents[i][:-1] + ',"children":[')
+            todo += [("text", "]}"), ("list", i)]
+        else:
+            out.append(documents[i])
+    return "".join(out) + "]"
+
+
+def to_design_tree(design: DataFrame) -> DataFrame:
+    """(sample_id, design): the nested JSON of each page, of any size.
+
+    The result is one document per page, and so is the page's HTML: a page is what a row holds.
+    Nodes on a cycle have no place in a tree and are left out.
     """
     fields = [c for c in design.columns if c not in (SID, IDX, "parent_idx")]
     rows = design.select(SID, IDX, "parent_idx", F.to_json(F.struct(*fields)).alias("doc"))
@@ -90,32 +96,33 @@ def to_design_tree(
     def build(ids: pd.Series, parents: pd.Series, documents: pd.Series) -> pd.Series:
         return pd.Series([nest(*page) for page in zip(ids, parents, documents)], dtype=object)
 
-    def small(part: DataFrame) -> DataFrame:
-        pages = part.groupBy(SID).agg(
-            F.sort_array(F.collect_list(F.struct(IDX, "parent_idx", "doc"))).alias("page")
-        )
-        page = F.col("page")
-        return pages.select(
-            SID,
-            F.lit(0).alias("part"),
-            build(page[IDX], page["parent_idx"], page["doc"]).alias("design"),
-        )
-
-    if large_ids is CHECK:
-        large_ids = large_page_ids(design, page_limit)
-    if large_ids is None:
-        return small(rows)
-    big = design.join(large_ids, SID, "left_semi").select(
-        SID,
-        F.col(IDX).alias("part"),
-        F.to_json(
-            F.struct(
-                *fields,
-                F.when(F.col("parent_idx") >= 0, F.concat(F.lit("node_"), "parent_idx")).alias("parent"),
-            )
-        ).alias("design"),
+    page = F.sort_array(F.collect_list(F.struct(IDX, "parent_idx", "doc")))
+    return rows.groupBy(SID).agg(page.alias("page")).select(
+        SID, build(F.col("page")[IDX], F.col("page")["parent_idx"], F.col("page")["doc"]).alias("design")
     )
-    return small(rows.join(large_ids, SID, "left_anti")).unionByName(big)
+
+
+def read_design_tree(trees: DataFrame) -> DataFrame:
+    """(sample_id, id, name, type, parent, place) per node of nested design documents.
+
+    ``parent`` is the id of the node above, null for a root; ``place`` counts among its children.
+    """
+
+    @F.pandas_udf("array<struct<id: string, name: string, type: string, parent: string, place: int>>")
+    def flatten(documents: pd.Series) -> pd.Series:
+        def rows(text):
+            out, todo = [], [(None, json.loads(text))]
+            while todo:
+                parent, nodes = todo.pop()
+                for place, node in enumerate(nodes):
+                    out.append({"id": node.get("id"), "name": node.get("name"), "type": node.get("type"), "parent": parent, "place": place})
+                    if "children" in node:
+                        todo.append((node.get("id"), node["children"]))
+            return out
+
+        return documents.map(rows)
+
+    return trees.select(SID, F.inline(flatten("design")))
 
 
 def heuristic_predict(

@@ -135,6 +135,13 @@ def style_class_accuracy(styled: DataFrame, by: tuple[str, ...] = (SID,)) -> Dat
     return styled.groupBy(*by).agg(*_class_accuracy())
 
 
+def style_metrics(styled: DataFrame, by: tuple[str, ...] = (SID,)) -> DataFrame:
+    """All style measures in one aggregation."""
+    return styled.groupBy(*by).agg(
+        masked_mean(*reg_error()).alias("style_reg_mae"), masked_mean(*color_error()).alias("color_de"), *_class_accuracy()
+    )
+
+
 def _class_accuracy() -> list[Column]:
     return [
         _ratio(_hits(f"cls_{k}", f"pred_cls_{k}"), F.count("*")).alias(f"cls_{k}_acc")

@@ -9,7 +9,7 @@ from ..operators import losses, runs
 from ..operators import vectors as vec
 from ..operators.pages import IDX, SID
 from . import tables as t
-from .node_queries import WITH
+from .node_queries import SQL_CUT, WITH
 from .registry import query, r6
 
 # ---------------------------------------------------------------- splits and samples
@@ -129,8 +129,10 @@ SELECT sample_id, count(*)::INT AS num_nodes,
 FROM nodes GROUP BY sample_id""")
 def pad_array(spark, sf_dir):
     """Arrays of 24 slots per page."""
-    cut = t.nodes(spark, sf_dir)
-    padded = ds.pad_array(cut, 24, "gold_parent")
+    return _padded_sums(ds.pad_array(t.nodes(spark, sf_dir), 24, "gold_parent"))
+
+
+def _padded_sums(padded):
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return padded.select(
         SID, "num_nodes",
@@ -141,6 +143,22 @@ def pad_array(spark, sf_dir):
     )
 
 
+@query("sample_chain", f"""{WITH}, {SQL_CUT},
+placed AS (
+SELECT c.sample_id, c.new_idx, coalesce(p.new_idx, -1) AS new_parent, n.x1 + n.y1 + n.x2 + n.y2 AS edges
+FROM cut c JOIN nodes n USING (sample_id, node_idx) LEFT JOIN cut p ON p.sample_id = c.sample_id AND p.node_idx = c.gold_parent)
+SELECT sample_id, count(*)::INT AS num_nodes,
+  string_agg(new_parent::VARCHAR, ',' ORDER BY new_idx) || repeat(',-1', 4 - count(*)::INT) AS parents,
+  CAST(sum(edges) AS DOUBLE) AS box_sum, 4 AS n_boxes, CAST(count(*) AS DOUBLE) AS mask_sum
+FROM placed GROUP BY sample_id""")
+def sample_chain(spark, sf_dir):
+    """Nodes cut in breadth-first order, renumbered, and padded to arrays."""
+    from ..operators import tree
+
+    rows = t.nodes(spark, sf_dir).select(SID, IDX, "gold_parent", "x1", "y1", "x2", "y2")
+    return _padded_sums(ds.pad_array(tree.bfs_truncate(rows, 4, "gold_parent", **t.page_sizes(spark, sf_dir)), 4))
+
+
 @query("coverage", f"""{WITH}, sizes AS (SELECT sample_id, count(*) AS n FROM nodes GROUP BY sample_id)
 SELECT m AS max_nodes, round(avg((n <= m)::INT), 6) AS page_share, round(sum(least(n, m)) / sum(n), 6) AS node_share
 FROM sizes, (SELECT unnest([2, 4, 6, 96])::INT AS m) GROUP BY m""")
@@ -288,17 +306,17 @@ def vector_norms(spark, sf_dir):
     return vectors.select("vec_id", r6("norm", "norm"))
 
 
-@query("pairwise_cosine", f"""WITH {SQL_PARTS}, norms AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM parts GROUP BY vec_id)
-SELECT a.vec_id, CAST(b.vec_id % 16 AS INT) AS slot, round(sum(a.x * b.x) / any_value(na.n * nb.n), 6) + 0.0 AS cosine
-FROM parts a JOIN parts b ON a.vec_id // 16 = b.vec_id // 16 AND a.d = b.d
-JOIN norms na ON na.vec_id = a.vec_id JOIN norms nb ON nb.vec_id = b.vec_id GROUP BY a.vec_id, b.vec_id""")
+@query("pairwise_cosine", f"""WITH {SQL_PARTS}, norms AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM parts GROUP BY vec_id),
+lists AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT a.label, a.vec_id, b.vec_id AS other, round(list_inner_product(a.v, b.v) / (na.n * nb.n), 6) + 0.0 AS cosine
+FROM lists a JOIN lists b ON a.label = b.label
+JOIN norms na ON na.vec_id = a.vec_id JOIN norms nb ON nb.vec_id = b.vec_id""")
 def pairwise_cosine(spark, sf_dir):
-    """Similarity matrices of consecutive blocks of 16 vectors, the features of one page each."""
-    vectors = t.table(spark, sf_dir, "embeddings").withColumn("page", F.floor(F.col("vec_id") / 16))
-    matrix = vec.pairwise_cosine(vectors, "page", "vec_id")
-    return matrix.select("vec_id", F.posexplode("cosine").alias("slot", "c")).select(
-        "vec_id", "slot", r6("c", "cosine")
-    )
+    """Similarity matrix of each label's vectors."""
+    matrix = vec.pairwise_cosine(t.table(spark, sf_dir, "embeddings"), "label", "vec_id")
+    return matrix.select("label", "vec_id", F.inline(F.arrays_zip("others", "cosine"))).toDF(
+        "label", "vec_id", "other", "c"
+    ).select("label", "vec_id", "other", r6("c", "cosine"))
 
 
 @query("scaled_dot_scores", f"WITH {SQL_MEANS} SELECT vec_id, label, round(score, 6) + 0.0 AS score FROM scored")

@@ -102,9 +102,8 @@ SELECT p AS patch_idx, count(*) AS n, count(*) FILTER (overlap >= 0.8) AS n_stri
 def label_threshold(spark, sf_dir):
     """Nodes per patch at the thresholds 0.3 and 0.8."""
     pairs = boxes.align_nodes_patches(t.nodes(spark, sf_dir))
-    strict = boxes.label_threshold(pairs, 0.8).groupBy("patch_idx").agg(F.count("*").alias("n_strict"))
-    loose = pairs.groupBy("patch_idx").agg(F.count("*").alias("n"))
-    return loose.join(strict, "patch_idx", "left").na.fill(0, ["n_strict"])
+    loose = boxes.label_threshold(pairs, 0.3)
+    return loose.groupBy("patch_idx").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0.8).alias("n_strict"))
 
 
 SQL_BOXED = """
@@ -272,14 +271,17 @@ def tree_size(spark, sf_dir):
     return tree.tree_size(t.nodes(spark, sf_dir))
 
 
-@query("bfs_truncate", f"""{WITH}, {SQL_CHAIN.format(p='gold_parent')},
+SQL_CUT = f"""{SQL_CHAIN.format(p='gold_parent')},
 ranked AS (
 SELECT n.sample_id, n.node_idx, n.gold_parent, count(*) OVER (PARTITION BY n.sample_id) AS size,
   row_number() OVER (PARTITION BY n.sample_id ORDER BY c.depth, c.path) - 1 AS bfs
 FROM nodes n JOIN chain c USING (sample_id, node_idx)),
 cut AS (
 SELECT sample_id, node_idx, gold_parent, CAST(CASE WHEN size <= 4 THEN node_idx ELSE bfs END AS INT) AS new_idx
-FROM ranked WHERE size <= 4 OR bfs < 4)
+FROM ranked WHERE size <= 4 OR bfs < 4)"""
+
+
+@query("bfs_truncate", f"""{WITH}, {SQL_CUT}
 SELECT c.sample_id, c.node_idx, c.new_idx, coalesce(p.new_idx, -1) AS new_parent
 FROM cut c LEFT JOIN cut p ON p.sample_id = c.sample_id AND p.node_idx = c.gold_parent""")
 def bfs_truncate(spark, sf_dir):

@@ -398,10 +398,15 @@ def design_nodes_styled(spark, sf_dir):
     return design.design_nodes(rows)
 
 
-@query("to_design_tree")
+@query("to_design_tree", f"""{WITH_TEXTS}
+SELECT c.sample_id, 'node_' || c.node_idx AS id, {_sql_name(r'\s').replace('node_text', 'c.node_text').replace('pred_type', 'c.pred_type')} AS name,
+  {_SQL_TYPES}[c.pred_type + 1] AS type, 'node_' || p.node_idx AS parent,
+  CAST(row_number() OVER (PARTITION BY c.sample_id, coalesce(p.node_idx, -1) ORDER BY c.node_idx) - 1 AS INT) AS place
+FROM texts c LEFT JOIN texts p ON p.sample_id = c.sample_id AND p.node_idx = c.pred_parent""")
 def to_design_tree(spark, sf_dir):
+    """Nested documents, read back to one row per node."""
     flat = design.design_nodes(_design_input(spark, sf_dir))
-    return design.to_design_tree(flat, **t.page_sizes(spark, sf_dir))
+    return design.read_design_tree(design.to_design_tree(flat))
 
 
 @query("heuristic_predict", f"""{WITH_TEXTS}, {SQL_STRICT}, typed AS (

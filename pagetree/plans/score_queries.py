@@ -60,12 +60,12 @@ def decode_parents(spark, sf_dir):
 
 
 SQL_SPARSE = t.SQL_MASKED.replace("masked AS", "masked_all AS") + """,
-masked AS (SELECT * FROM masked_all WHERE allowed AND (cand_idx < 0 OR score >= 4))"""
+masked AS (SELECT * FROM masked_all WHERE allowed)"""
 _LAYERS = ["""l0 AS (
 SELECT b.sample_id, b.node_idx, -1 AS parent, n.gold_type BETWEEN 3 AND 6 AS leaf FROM (
   SELECT *, row_number() OVER (PARTITION BY sample_id, node_idx ORDER BY score DESC, cand_idx < 0, cand_idx) AS k FROM masked) b
 JOIN nodes n USING (sample_id, node_idx) WHERE k = 1 AND cand_idx < 0), p0 AS (SELECT * FROM l0)"""]
-for _d in range(1, 6):
+for _d in range(1, 8):  # no page has more than seven nodes
     _LAYERS.append(f"""l{_d} AS (
 SELECT b.sample_id, b.node_idx, b.cand_idx AS parent, n.gold_type BETWEEN 3 AND 6 AS leaf FROM (
   SELECT m.*, row_number() OVER (PARTITION BY m.sample_id, m.node_idx ORDER BY m.score DESC, m.cand_idx) AS k
@@ -78,11 +78,10 @@ SQL_LAYERED = ",\n".join(_LAYERS)
 
 @query("decode_parents_layered", f"""{WITH}, {SQL_SPARSE}, {SQL_LAYERED}
 SELECT n.sample_id, n.node_idx, CAST(coalesce(p.parent, -1) AS INT) AS model_parent
-FROM nodes n LEFT JOIN p5 p USING (sample_id, node_idx)""")
+FROM nodes n LEFT JOIN p7 p USING (sample_id, node_idx)""")
 def decode_parents_layered(spark, sf_dir):
-    """Sparse scores (4 and more, and the root), six layers."""
-    sparse = t.parent_scores(spark, sf_dir).where("cand_idx < 0 OR score >= 4")
-    return decode.decode_parents_layered(sparse, t.types(spark, sf_dir), max_depth=6)
+    """All scores, until no layer is left to make."""
+    return decode.decode_parents_layered(t.parent_scores(spark, sf_dir), t.types(spark, sf_dir))
 
 
 @query("softmax_confidence", f"{WITH}, {t.SQL_DECODED} SELECT sample_id, node_idx, round(confidence, 6) AS confidence FROM sure")
@@ -191,10 +190,8 @@ SQL_STYLE_ERRORS = f"""
 
 @query("style_metrics", f"{WITH}, {t.SQL_STYLED} SELECT sample_id, {SQL_STYLE_ERRORS} FROM styled GROUP BY sample_id")
 def style_metrics(spark, sf_dir):
-    styled = t.styled(spark, sf_dir)
-    joined = metrics.style_reg_mae(styled).join(metrics.color_delta_e(styled), SID)
-    joined = joined.join(metrics.style_class_accuracy(styled), SID)
-    return joined.select(SID, *[F.round(c, 9).alias(c) for c in joined.columns if c != SID])
+    per_page = metrics.style_metrics(t.styled(spark, sf_dir))
+    return per_page.select(SID, *[F.round(c, 9).alias(c) for c in per_page.columns if c != SID])
 
 
 SQL_FULL = f"""{t.SQL_STYLED}, {SQL_TED},
@@ -389,14 +386,14 @@ def weighted_total(spark, sf_dir):
 
 
 @query("attention_grid", f"""{WITH}, {t.SQL_PATCHES}, top AS (
-SELECT sample_id, node_idx, max(1 / (1 + exp(-x))) + 1e-8 AS top FROM cells WHERE node_idx < 3 GROUP BY ALL)
+SELECT sample_id, node_idx, max(1 / (1 + exp(-x))) + 1e-8 AS top FROM cells GROUP BY ALL)
 SELECT CAST(p // 14 AS INT) AS "row", CAST(p % 14 AS INT) AS col, count(*) AS n, round(sum(1 / (1 + exp(-x)) / top), 5) AS heat
 FROM cells JOIN top USING (sample_id, node_idx) GROUP BY ALL""")
 def attention_grid(spark, sf_dir):
-    """Heat of the first three nodes of every page (the ones a report shows), summed per cell."""
+    """Heat of every node of every page, summed per cell."""
     from ..operators.runs import attention_grid as grid
 
-    shown = t.patch_scores(spark, sf_dir).where(F.col(IDX) < 3)
+    shown = t.patch_scores(spark, sf_dir)
     heat = grid(shown.withColumn("sim", F.transform("sim", v.sigmoid)))
     return heat.groupBy("row", "col").agg(
         F.count("*").alias("n"), F.round(F.sum("heat"), 5).alias("heat")

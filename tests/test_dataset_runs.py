@@ -138,12 +138,25 @@ def test_run_comparison_rounds_like_c_and_marks_gaps(spark):
 # ---------------------------------------------------------------- vectors and design
 
 
-def test_pairwise_cosine_refuses_unbounded_groups(spark):
-    df = spark.createDataFrame([(0, i, [1.0, float(i)]) for i in range(4)], "page int, k int, embedding array<double>")
-    rows = vec.pairwise_cosine(df, "page", "k").orderBy("k").collect()
-    assert rows[1].cosine == pytest.approx([1 / 2**0.5, 1.0, 3 / 10**0.5, 4 / 20**0.5])
-    with pytest.raises(ValueError, match="more than 3"):
-        vec.pairwise_cosine(df, "page", "k", page_limit=3)
+def test_pairwise_cosine_in_blocks(spark):
+    df = spark.createDataFrame([(0, k, [1.0, float(k)]) for k in range(7)], "page int, k int, embedding array<double>")
+    whole = vec.pairwise_cosine(df, "page", "k").orderBy("k").collect()
+    assert whole[0].others == list(range(7)) and whole[0].cosine[1] == pytest.approx(1 / 2**0.5)
+    parts = {}
+    for r in vec.pairwise_cosine(df, "page", "k", block=2).collect():
+        parts.setdefault(r.k, []).extend(zip(r.others, r.cosine))
+    assert {k: sorted(p) for k, p in parts.items()} == {r.k: list(zip(r.others, r.cosine)) for r in whole}
+
+
+def test_scaled_dot_and_attend_in_blocks(spark):
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "q int, embedding array<double>")
+    keys = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "k int, vector array<double>")
+    results = []
+    for block in (100, 2):
+        scored = vec.attention_weights(vec.scaled_dot_scores(asked, keys, "q", "k", 2, block=block))
+        mixed = {(r.q, r.dim): round(r.value, 9) for r in vec.attend(scored, keys, "q", "k", block=block).collect()}
+        results.append(({r.q: (r.key_ids, r.scores) for r in scored.collect()}, mixed))
+    assert results[0] == results[1] and results[0][0][0][0] == list(range(9))
 
 
 def test_zero_vector_has_no_similarity(spark):
@@ -168,8 +181,28 @@ def test_design_tree(spark):
     assert [c["id"] for c in roots[0]["children"]] == ["node_1", "node_2"]
     assert roots[0]["fills"][0]["type"] == "SOLID" and "children" not in roots[0]["children"][0]
     assert roots[0]["children"][0]["absoluteBoundingBox"] == {"x": 10.0, "y": 10.0, "width": 90.0, "height": 20.0}
-    parts = design.to_design_tree(flat, page_limit=2).orderBy("part").collect()
-    assert [json.loads(p.design).get("parent") for p in parts] == [None, "node_0", "node_0"]
+    back = {r.id: (r.parent, r.place) for r in design.read_design_tree(design.to_design_tree(flat)).collect()}
+    assert back == {"node_0": (None, 0), "node_1": ("node_0", 0), "node_2": ("node_0", 1)}
+
+
+def test_design_tree_of_deep_wide_and_cyclic_pages():
+    n = 5000
+    chain = design.nest(list(range(n)), [i - 1 for i in range(n)], [f'{{"id":"{i}"}}' for i in range(n)])
+    assert chain.count('"children"') == n - 1 and chain.startswith('[{"id":"0","children":[{"id":"1"') and chain.endswith("]}" * (n - 1) + "]")
+    star = json.loads(design.nest(list(range(n)), [-1] + [0] * (n - 1), [f'{{"id":"{i}"}}' for i in range(n)]))
+    assert [c["id"] for c in star[0]["children"]] == [str(i) for i in range(1, n)]
+    cyclic = json.loads(design.nest([0, 1, 2, 3], [-1, 2, 1, 0], [f'{{"id":"{i}"}}' for i in range(4)]))
+    assert cyclic == [{"id": "0", "children": [{"id": "3"}]}]
+    assert design.nest([], [], []) == "[]"
+
+
+def test_pad_array_takes_the_cut(spark):
+    from pagetree.operators import tree
+
+    rows = [(1, i, (i - 1) // 2 if i else -1, 0.0, 0.0, float(i), 1.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "sample_id int, node_idx int, parent_idx int, x1 double, y1 double, x2 double, y2 double")
+    got = ds.pad_array(tree.bfs_truncate(df, 4), 4).first()
+    assert (got.num_nodes, got.parents, got.node_mask) == (4, [-1, 0, 0, 1], [1.0] * 4)
 
 
 def test_heuristic_predict(spark):
