@@ -1,7 +1,11 @@
 """Decoding stored model scores into types and parents.
 
-``scores`` is a long table (sample_id, node_idx, cand_idx, score) with cand_idx = -1 for the root
-column.  ``types`` is (sample_id, node_idx, type_idx).  Ties go to the lower candidate, root last.
+A model emits one array per node: the scores of nodes 0 to n-1 of its page as parent, then that of
+the root (sample_id, node_idx, scores).  The ``*_rows`` functions work on these: what they need of the
+other nodes of a page is one flag each, joined on the page id, and no score is ever a row of its own.
+
+Sparse scores come as a long table (sample_id, node_idx, cand_idx, score) with cand_idx = -1 for the
+root.  ``types`` is (sample_id, node_idx, type_idx).  Ties go to the lower candidate, root last.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.constants import LEAF_TYPES, MASKED_SCORE, MIN_CONFIDENCE, NODE_TYPES
 from ..functions.style import argmax
 from .pages import IDX, SID, cut
@@ -28,6 +33,85 @@ def is_leaf(type_idx: Column) -> Column:
     return type_idx.isin(*LEAF_INDEX)
 
 
+# ---------------------------------------------------------------- one array of scores per node
+
+
+def page_flags(nodes: DataFrame, flag: Column, out: str) -> DataFrame:
+    """(sample_id, out): a flag of each node of a page, in node order."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col(IDX).alias("i"), flag.alias("f"))))
+    return nodes.groupBy(SID).agg(listed.alias(out)).select(SID, F.col(out)["f"].alias(out))
+
+
+def mask_rows(rows: DataFrame, types: DataFrame, leaf_prior: bool = True) -> DataFrame:
+    """``rows`` with masked ``scores``, the array ``allowed`` and ``leaf``, whether the node is one.
+
+    Allowed are the root and the nodes of the page other than the node itself and, with the leaf
+    prior, not of a leaf type; the scores of others become -10000.
+    """
+    flagged = rows.join(page_flags(types, is_leaf(F.col(TYPE)), "_leaves"), SID)
+    last = F.size("scores") - 1
+
+    def allows(s: Column, i: Column) -> Column:
+        other = i != F.col(IDX)
+        if leaf_prior:
+            other = other & ~F.coalesce(F.get("_leaves", i), F.lit(True))
+        return (i == last) | other
+
+    allowed = F.transform("scores", allows)
+    return (
+        flagged.withColumn("allowed", allowed)
+        .withColumn("scores", F.zip_with("scores", "allowed", lambda s, a: F.when(a, s).otherwise(F.lit(MASKED_SCORE))))
+        .withColumn("leaf", F.coalesce(F.get("_leaves", F.col(IDX)), F.lit(False)))
+        .drop("_leaves")
+    )
+
+
+def _nodes_of(scores: str = "scores") -> Column:
+    return F.slice(scores, F.lit(1), F.size(scores) - 1)
+
+
+def decode_rows(masked: DataFrame, out: str = "model_parent") -> DataFrame:
+    """Parent per node of ``mask_rows``: root where it ranks first, else the best-scoring root that is
+    not of a leaf type, else root.
+
+    Scanning every ranked candidate layer by layer comes to the same: the first layer already offers
+    each open node some root, so depth never exceeds one.
+    """
+    first = F.coalesce(F.array_max(_nodes_of()).isNull() | (F.element_at("scores", -1) > F.array_max(_nodes_of())), F.lit(False))
+    ranked = masked.withColumn("_first", first)
+    hosts = page_flags(ranked.select(SID, IDX, "_first", "leaf"), F.col("_first") & ~F.col("leaf"), "_hosts")
+    hosted = F.zip_with(_nodes_of(), "_hosts", lambda s, h: F.when(h, s))
+    best = let(hosted, lambda h: F.coalesce(F.array_position(h, F.array_max(h)), F.lit(0)) - 1)
+    return (
+        ranked.join(hosts, SID)
+        .withColumn(out, F.when(F.col("_first"), F.lit(-1)).otherwise(best).cast("int"))
+        .drop("_first", "_hosts")
+    )
+
+
+def confidence_of(scores: str = "scores") -> Column:
+    """Largest softmax probability of an array of (masked) scores."""
+    top = F.array_max(scores)
+    return 1 / let(top, lambda t: F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.exp(x - t)))
+
+
+def hybrid_rows(
+    rows: DataFrame, types: DataFrame, heuristic: DataFrame, min_confidence: float = MIN_CONFIDENCE, out: str = "parent_idx"
+) -> DataFrame:
+    """Decoded parent where the model is confident, else the containment parent.
+
+    ``heuristic`` is (sample_id, node_idx, box_parent).
+    """
+    decoded = decode_rows(mask_rows(rows, types)).select(SID, IDX, "model_parent", confidence_of().alias("confidence"))
+    sure = F.col("confidence") >= min_confidence
+    return heuristic.select(SID, IDX, "box_parent").join(decoded, [SID, IDX]).withColumn(
+        out, F.when(sure, F.col("model_parent")).otherwise(F.col("box_parent")).cast("int")
+    )
+
+
+# ---------------------------------------------------------------- one row per candidate
+
+
 def _whole(table: DataFrame, *keys: str) -> DataFrame:
     """Rows with all keys set.  Stated up front, so that every use of the table plans the same
     exchange and the shuffle is reused."""

@@ -53,6 +53,14 @@ def parent_cross_entropy(
     )
 
 
+def parent_cross_entropy_rows(rows: DataFrame, parent: str = "gold_parent", by: tuple[str, ...] = ()) -> DataFrame:
+    """The same over one array of scores per node, the root's last; no row leaves its place."""
+    last = F.size("scores") - 1
+    at = F.when((F.col(parent) >= 0) & (F.col(parent) < last), F.col(parent)).otherwise(last)
+    loss = v.cross_entropy(F.col("scores"), at)
+    return rows.groupBy(*by).agg((F.sum(loss) / F.greatest(F.count("*"), F.lit(1))).alias("struct"))
+
+
 def positives_of(labels: Column) -> Column:
     """Dense 0/1 labels to the list of positive positions."""
     marked = F.transform(labels, lambda y, i: F.when(y == 1, i))
@@ -92,17 +100,12 @@ def infonce(
 ) -> DataFrame:
     """Mean of log-sum-exp minus the score of the first positive patch; 0 without positives.
 
-    A node's scores are one short array, so its loss is computed inside the row and nothing is
-    grouped by node.  A node without positives has a null loss, which the mean leaves out.
+    The largest score, the sum of exponentials and the first positive are taken in one pass each over
+    the array; a node without positives has a null loss, which the mean leaves out.
     """
-    def loss(scores: Column, top: Column) -> Column:
-        total = F.aggregate(
-            scores, F.lit(0.0), lambda acc, x: acc + F.exp((x - top) / temperature)
-        )
-        return F.log(total) + (top - F.get(scores, F.array_min(positives))) / temperature
-
-    per_node = let(F.col(sim), lambda s: let(F.array_max(s), lambda top: loss(s, top)))
-    return nodes.agg(F.coalesce(F.avg(per_node), F.lit(0.0)).alias("align_nce"))
+    scaled = F.transform(sim, lambda x: x / temperature)
+    hit = F.get(sim, F.array_min(positives)) / temperature
+    return nodes.where(F.size(positives) > 0).agg(F.coalesce(F.avg(v.log_sum_exp(scaled) - hit), F.lit(0.0)).alias("align_nce"))
 
 
 def style_mse(styled: DataFrame) -> DataFrame:

@@ -24,38 +24,50 @@ def argmax_type(spark, sf_dir):
 @query("candidate_parents", f"""{WITH}, {t.SQL_MASKED}
 SELECT sample_id, node_idx, count(*) AS n, count(*) FILTER (allowed) AS n_allowed FROM allowed GROUP BY ALL""")
 def candidate_parents(spark, sf_dir):
-    flagged = decode.candidate_parents(t.parent_scores(spark, sf_dir), t.types(spark, sf_dir))
-    return flagged.groupBy(SID, IDX).agg(
-        F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed")
-    )
+    return _masked(spark, sf_dir).select(SID, IDX, F.size("scores").cast("long").alias("n"), _n_allowed())
 
 
 @query("candidate_parents_no_leaf_prior", f"""{WITH}, {t.SQL_SCORES}
 SELECT sample_id, node_idx, count(*) FILTER (cand_idx <> node_idx) AS n_allowed FROM scores GROUP BY ALL""")
 def candidate_parents_no_leaf_prior(spark, sf_dir):
-    flagged = decode.candidate_parents(t.parent_scores(spark, sf_dir), t.types(spark, sf_dir), False)
-    return flagged.groupBy(SID, IDX).agg(F.count_if("allowed").alias("n_allowed"))
+    return _masked(spark, sf_dir, False).select(SID, IDX, _n_allowed())
 
 
-def _masked(spark, sf_dir):
-    return decode.mask_scores(
-        decode.candidate_parents(t.parent_scores(spark, sf_dir), t.types(spark, sf_dir))
+@query("candidate_parents_long", f"""{WITH}, {t.SQL_MASKED}
+SELECT sample_id, node_idx, count(*) AS n, count(*) FILTER (allowed) AS n_allowed FROM allowed GROUP BY ALL""")
+def candidate_parents_long(spark, sf_dir):
+    """The same from one row per candidate."""
+    flagged = decode.candidate_parents(t.parent_scores(spark, sf_dir), t.types(spark, sf_dir))
+    return flagged.groupBy(SID, IDX).agg(
+        F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed")
     )
 
 
+def _masked(spark, sf_dir, leaf_prior=True):
+    return decode.mask_rows(t.score_rows(spark, sf_dir), t.types(spark, sf_dir), leaf_prior)
+
+
+def _n_allowed():
+    return F.size(F.filter("allowed", lambda a: a)).cast("long").alias("n_allowed")
+
+
 @query("mask_scores", f"""{WITH}, {t.SQL_MASKED}
 SELECT sample_id, count(*) FILTER (score = -10000) AS n_masked, round(sum(CASE WHEN allowed THEN score ELSE 0 END), 6) AS kept
 FROM masked GROUP BY sample_id""")
 def mask_scores(spark, sf_dir):
-    score = F.col("score")
-    return _masked(spark, sf_dir).groupBy(SID).agg(
-        F.count_if(score == MASKED_SCORE).alias("n_masked"),
-        r6(F.sum(F.when(score > MASKED_SCORE, score).otherwise(0.0)), "kept"),
-    )
+    masked = F.size(F.filter("scores", lambda s: s == MASKED_SCORE))
+    kept = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + F.when(s > MASKED_SCORE, s).otherwise(0.0))
+    return _masked(spark, sf_dir).groupBy(SID).agg(F.sum(masked).alias("n_masked"), r6(F.sum(kept), "kept"))
 
 
 @query("decode_parents", f"{WITH}, {t.SQL_DECODED} SELECT * FROM decoded")
 def decode_parents(spark, sf_dir):
+    return decode.decode_rows(_masked(spark, sf_dir)).select(SID, IDX, "model_parent")
+
+
+@query("decode_parents_long", f"{WITH}, {t.SQL_DECODED} SELECT * FROM decoded")
+def decode_parents_long(spark, sf_dir):
+    """The same from one row per candidate."""
     return decode.decode_parents(t.parent_scores(spark, sf_dir), t.types(spark, sf_dir))
 
 
@@ -86,17 +98,14 @@ def decode_parents_layered(spark, sf_dir):
 
 @query("softmax_confidence", f"{WITH}, {t.SQL_DECODED} SELECT sample_id, node_idx, round(confidence, 6) AS confidence FROM sure")
 def softmax_confidence(spark, sf_dir):
-    sure = decode.softmax_confidence(_masked(spark, sf_dir))
-    return sure.select(SID, IDX, r6("confidence", "confidence"))
+    return _masked(spark, sf_dir).select(SID, IDX, r6(decode.confidence_of(), "confidence"))
 
 
 @query("hybrid_parents", f"""{WITH}, {t.SQL_DECODED}, {SQL_STRICT}
 SELECT d.sample_id, d.node_idx, CASE WHEN confidence >= 0.3 THEN model_parent ELSE box_parent END AS parent_idx
 FROM decoded d JOIN sure USING (sample_id, node_idx) JOIN boxed USING (sample_id, node_idx)""")
 def hybrid_parents(spark, sf_dir):
-    chosen = decode.hybrid_parents(
-        t.parent_scores(spark, sf_dir), t.types(spark, sf_dir), _boxed(spark, sf_dir)
-    )
+    chosen = decode.hybrid_rows(t.score_rows(spark, sf_dir), t.types(spark, sf_dir), _boxed(spark, sf_dir))
     return chosen.select(SID, IDX, "parent_idx")
 
 
@@ -110,8 +119,8 @@ UNION ALL SELECT 'heuristic', count(*) FILTER (h = gold_parent) FROM picked
 UNION ALL SELECT 'hybrid', count(*) FILTER (y = gold_parent) FROM picked""")
 def select_structure(spark, sf_dir):
     """Right parents under each of the three structure modes."""
-    both = decode.hybrid_parents(
-        t.parent_scores(spark, sf_dir), t.types(spark, sf_dir), _boxed(spark, sf_dir)
+    both = decode.hybrid_rows(
+        t.score_rows(spark, sf_dir), t.types(spark, sf_dir), _boxed(spark, sf_dir)
     ).drop("parent_idx")
     gold = t.nodes(spark, sf_dir).select(SID, IDX, "gold_parent").join(both, [SID, IDX])
     picked = gold
@@ -292,11 +301,7 @@ FROM no_prior s JOIN nodes n USING (sample_id, node_idx) GROUP BY ALL)
 SELECT round(avg(loss), 6) AS struct FROM lse""")
 def parent_cross_entropy(spark, sf_dir):
     """As in training: no leaf prior."""
-    masked = decode.mask_scores(
-        decode.candidate_parents(t.parent_scores(spark, sf_dir), t.types(spark, sf_dir), False)
-    )
-    loss = losses.parent_cross_entropy(masked, t.nodes(spark, sf_dir))
-    return loss.select(r6("struct", "struct"))
+    return losses.parent_cross_entropy_rows(_masked(spark, sf_dir, False)).select(r6("struct", "struct"))
 
 
 def _sql_bce(cells: str) -> str:

@@ -247,27 +247,26 @@ SELECT sample_id, node_idx, 1 / sum(exp(score - top)) AS confidence FROM (
   SELECT *, max(score) OVER (PARTITION BY sample_id, node_idx) AS top FROM masked) GROUP BY ALL)"""
 
 
-def parent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of every node of a page (itself included) and of the root as parent of a node.
-
-    Stands in for a model's output, which is one row of n+1 scores per node: each node lists its
-    candidates from the size of its page.
-    """
-    rows = nodes(spark, sf_dir).select(SID, IDX)
+def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every node of a page (itself included) as parent of a node, then of the root: one
+    array per node, as a model emits it."""
+    rows = nodes(spark, sf_dir).select(SID, IDX, "gold_parent")
     if page_sizes(spark, sf_dir)["large_ids"] is None:
         # the window of the node view has already placed each page in one partition
         size = F.count("*").over(Window.partitionBy(SID)).cast("int")
-        sized = rows.select(SID, IDX, size.alias("n"))
+        sized = rows.withColumn("_n", size)
     else:
-        sized = rows.join(rows.groupBy(SID).agg(F.count("*").cast("int").alias("n")), SID)
-    listed = sized.select(
-        SID, IDX, F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("cand_idx")
-    )
-    cand = F.col("cand_idx")
-    value = F.when(cand < 0, F.col(IDX) * 13 + F.col(SID)).otherwise(
-        F.col(IDX) * 31 + cand * 17 + F.col(SID)
-    )
-    return listed.withColumn("score", (value % 101).cast("double") / 10)
+        sized = rows.join(rows.groupBy(SID).agg(F.count("*").cast("int").alias("_n")), SID)
+    start = F.col(IDX) * 31 + F.col(SID)
+    nodes_ = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda c: ((start + c * 17) % 101).cast("double") / 10)
+    root = ((F.col(IDX) * 13 + F.col(SID)) % 101).cast("double") / 10
+    return sized.select(SID, IDX, "gold_parent", F.concat(nodes_, F.array(root)).alias("scores"))
+
+
+def parent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one row per candidate, the root as -1."""
+    listed = score_rows(spark, sf_dir).select(SID, IDX, F.size("scores").alias("_n"), F.posexplode("scores").alias("_c", "score"))
+    return listed.select(SID, IDX, F.when(F.col("_c") == F.col("_n") - 1, -1).otherwise(F.col("_c")).alias("cand_idx"), "score")
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
