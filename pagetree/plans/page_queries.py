@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import style as st
 from ..functions import text as tx
-from ..functions.constants import NODE_TYPES, STYLE_NORMS, TAG_TYPES
+from ..functions.constants import NODE_TYPES, SKIP_TAGS, SKIP_TAGS_RENDERED, STYLE_CHOICES, STYLE_NORMS, TAG_TYPES
 from ..operators import design, html
 from ..operators.dataset import align_style_rows
 from ..operators.pages import IDX, SID
@@ -64,36 +64,42 @@ def type_distribution(spark, sf_dir):
     return html.type_distribution(typed, SID).withColumnRenamed(SID, "lang")
 
 
-@query("page_nodes")
+def _sql_parsed(skipped: tuple[str, ...]) -> str:
+    """Start tags outside comments, scripts and styles, in order, without those that are not drawn."""
+    names = ", ".join(f"'{x}'" for x in skipped)
+    return f"""
+clean AS (
+SELECT page_id AS sample_id, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'),
+  '(<script[^>]*>).*?</script>', '\\1', 'gsi'), '(<style[^>]*>).*?</style>', '\\1', 'gsi') AS html FROM pages),
+found AS (SELECT sample_id, list_filter(list_transform(regexp_extract_all(html, '{tx.START_TAG}', 1), lambda x: lower(x)),
+  lambda x: x NOT IN ({names})) AS tags FROM clean),
+parsed AS (
+SELECT sample_id, CAST(unnest(range(0, len(tags))) AS INT) AS node_idx, unnest(tags) AS tag FROM found)"""
+
+
+@query("page_nodes", f"WITH {_sql_parsed(SKIP_TAGS)} SELECT * FROM parsed")
 def page_nodes(spark, sf_dir):
-    """Every page flattened to its nodes."""
-    return html.page_nodes(_pages(spark, sf_dir)).drop("attrs")
+    """Every page flattened to its nodes: number and order of the drawn tags."""
+    return html.page_nodes(_pages(spark, sf_dir)).select(SID, IDX, "tag")
 
 
-@query("page_nodes_rendered")
+@query("page_nodes_rendered", f"WITH {_sql_parsed(SKIP_TAGS_RENDERED)} SELECT * FROM parsed")
 def page_nodes_rendered(spark, sf_dir):
     """The browser's rules: no ``noscript``, no comments in the text."""
-    return html.page_nodes(_pages(spark, sf_dir), mode="rendered").drop("attrs")
-
-
-@query("page_nodes_table_function")
-def page_nodes_table_function(spark, sf_dir):
-    """The same parser as a SQL table function."""
-    html.register_page_nodes(spark)
-    _pages(spark, sf_dir).createOrReplaceTempView("page_source")
-    return spark.sql(
-        "SELECT s.sample_id, n.node_idx, n.parent_idx, n.tag FROM page_source s, LATERAL page_nodes(s.html) n"
-    )
+    return html.page_nodes(_pages(spark, sf_dir), mode="rendered").select(SID, IDX, "tag")
 
 
-@query("page_node_trees")
+@query("page_node_trees", f"""WITH {_sql_parsed(SKIP_TAGS)}
+SELECT {_SQL_TYPE.format(tag='tag')} AS node_type, count(*) AS n, CAST(count(*) AS BIGINT) AS n_placed FROM parsed GROUP BY ALL""")
 def page_node_trees(spark, sf_dir):
-    """Pages to depth, sibling place and type: parser and tree operators in one plan."""
+    """Pages to depth and type: parser and tree operators in one plan.  The nodes are parsed once and
+    written, as the tree operators read them more than once."""
     from ..operators import tree
+    from ..operators.pages import cut
 
-    nodes = html.typed_nodes(html.page_nodes(_pages(spark, sf_dir)).drop("attrs"))
-    deep = tree.tree_depth(nodes.select(SID, IDX, "parent_idx", "node_type"))
-    return deep.groupBy("node_type", "depth").agg(F.count("*").alias("n"))
+    parsed = html.typed_nodes(html.page_nodes(_pages(spark, sf_dir)).drop("attrs"))
+    deep = tree.tree_depth(cut(parsed.select(SID, IDX, "parent_idx", "node_type")))
+    return deep.groupBy("node_type").agg(F.count("*").alias("n"), F.count("depth").alias("n_placed"))
 
 
 # ---------------------------------------------------------------- corpus rows
@@ -383,7 +389,25 @@ def design_nodes(spark, sf_dir):
     )
 
 
-@query("design_nodes_styled")
+def _sql_choice(key: str, step: int) -> str:
+    """Name of the best-scored choice, the first on ties."""
+    names = STYLE_CHOICES[key]
+    listed = "[" + ", ".join(f"'{c}'" for c in names) + "]"
+    scores = f"list_transform(range({len(names)}), lambda k: (node_idx * 7 + k * {step} + sample_id) % 53)"
+    return f'{listed}[list_position({scores}, list_max({scores}))] AS "{key}"'
+
+
+_NORM = list(STYLE_NORMS.values())
+
+
+@query("design_nodes_styled", f"""{WITH}, {t.SQL_STYLED}
+SELECT sample_id, node_idx, pred_parent AS parent_idx, {_SQL_TYPES}[pred_type + 1] AS type,
+  round(greatest(p0 * {_NORM[0]}, 0), 6) AS corner, round(greatest(p1 * {_NORM[1]}, 0), 6) AS stroke,
+  round(greatest(least(p2 * {_NORM[2]}, 1), 0), 6) AS opacity, round(greatest(p3 * {_NORM[3]}, 0), 6) AS font_size,
+  round(greatest(least(p4 * {_NORM[4]}, 900), 100), 6) AS font_weight,
+  CAST(CASE WHEN q0a > 0.05 THEN 1 ELSE 0 END AS INT) AS n_fills, CAST(CASE WHEN q2a > 0.05 THEN 1 ELSE 0 END AS INT) AS n_strokes,
+  {_sql_choice('textAlign', 5)}, {_sql_choice('display', 11)}
+FROM styled""")
 def design_nodes_styled(spark, sf_dir):
     """Flat design rows with predicted numbers, colours and style choices."""
     rows = t.choice_scores(spark, sf_dir).withColumns(
@@ -395,7 +419,12 @@ def design_nodes_styled(spark, sf_dir):
             "color": F.col("pred_color"),
         }
     )
-    return design.design_nodes(rows)
+    flat = design.design_nodes(rows)
+    return flat.select(
+        SID, IDX, "parent_idx", "type", r6("cornerRadius", "corner"), r6("strokeWeight", "stroke"), r6("opacity", "opacity"),
+        r6("style.fontSize", "font_size"), r6("style.fontWeight", "font_weight"),
+        F.size("fills").alias("n_fills"), F.size("strokes").alias("n_strokes"), *[f"style.{k}" for k in STYLE_CHOICES],
+    )
 
 
 @query("to_design_tree", f"""{WITH_TEXTS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +91,7 @@ def read_meta(spark: SparkSession, path: str, name: str = "meta.json") -> DataFr
 _BOX_LEVEL = "type string, content string, style string, bbox array<double>, children array<string>"
 
 
-def explode_bbox_tree(meta: DataFrame, max_depth: int = 512) -> DataFrame:
+def explode_bbox_tree(meta: DataFrame) -> DataFrame:
     """Nested box trees to flat nodes in document order.
 
     One level per round: a node's children stay JSON text until their own level is read.  ``path``
@@ -105,19 +105,15 @@ def explode_bbox_tree(meta: DataFrame, max_depth: int = 512) -> DataFrame:
         SID, F.array(F.lit(0)).alias("path"), F.col("bbox").alias("doc")
     )
     levels = None
-    for _ in range(max_depth):
+    while True:
         node = F.from_json("doc", _BOX_LEVEL)
         read = cut(level.select(SID, "path", node.alias("n")).where(F.col("n.type").isNotNull()))
+        levels = read if levels is None else levels.unionByName(read)
         if read.isEmpty():
             break
-        levels = read if levels is None else levels.unionByName(read)
         level = read.select(SID, "path", F.posexplode("n.children").alias("at", "doc")).select(
             SID, F.concat("path", F.array("at")).alias("path"), "doc"
         )
-    else:
-        raise ValueError(f"a box tree is deeper than {max_depth}")
-    if levels is None:
-        raise ValueError("no box tree found")
     ordered = rank_within(levels.select(SID, "path"), [SID], ["path"], "r", spread=True).select(
         SID, "path", F.col("r").cast("int").alias(IDX)
     )
@@ -156,14 +152,19 @@ def read_run_log(spark: SparkSession, path: str, name: str = "*.jsonl") -> DataF
     """JSON-lines logs to (run, seq, epoch, phase, metrics); lines that are no JSON are dropped.
 
     All number fields but epoch become metrics, so new losses need no new schema.  ``seq`` keeps
-    the order of the lines of a file.
+    the order of the lines of a file, however its splits are packed.
     """
+    meta = F.col("_metadata")
     lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=name).select(
-        _folder(F.col("_metadata.file_path")).alias("run"),
-        F.monotonically_increasing_id().alias("seq"),
+        meta["file_path"].alias("_file"),
+        meta["file_block_start"].alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
         "value",
     )
-    return parse_log_lines(lines)
+    # a split holds fewer lines than bytes, so its first byte plus the line's place in it is in order
+    first = F.min("_at").over(Window.partitionBy("_file", "_start"))
+    seq = (F.col("_start") + F.col("_at") - first).alias("seq")
+    return parse_log_lines(lines.select(_folder(F.col("_file")).alias("run"), seq, "value"))
 
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:

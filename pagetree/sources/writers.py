@@ -11,12 +11,12 @@ SID, IDX = "sample_id", "node_idx"
 def write_nodes(nodes: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
     """Nodes in Parquet, one folder per hash bucket of the page id.
 
-    Rows go to their bucket by page and stretch of node indices, so that a huge page is written
-    by several tasks.
+    Rows are range-partitioned by bucket, page and node index: the number of tasks follows the
+    session's shuffle partitions rather than the number of buckets, and a huge page is written by
+    several tasks.
     """
     bucket = F.pmod(F.xxhash64(SID), F.lit(buckets)).cast("int")
-    placed = nodes.withColumn("bucket", bucket).withColumn("_stretch", F.floor(F.col(IDX) / (1 << 20)))
-    placed = placed.repartition("bucket", "_stretch").drop("_stretch")
+    placed = nodes.withColumn("bucket", bucket).repartitionByRange("bucket", SID, IDX)
     placed.sortWithinPartitions("bucket", SID, IDX).write.mode(mode).partitionBy("bucket").parquet(path)
 
 

@@ -59,10 +59,10 @@ def test_kept_ancestor_over_skipped_tags(spark):
     assert [(n.tag, n.parent_idx) for n in got] == [("div", -1), ("em", 0)]
 
 
-def test_table_function_and_null_page(spark):
-    html.register_page_nodes(spark)
-    got = spark.sql("SELECT n.* FROM VALUES ('<ul><li>a<li>b</ul>'), (NULL) p(html), LATERAL page_nodes(p.html) n")
-    assert [(r.tag, r.parent_idx) for r in got.orderBy("node_idx").collect()] == [("ul", -1), ("li", 0), ("li", 1)]
+def test_unclosed_items_and_null_page(spark):
+    df = spark.createDataFrame([(1, "<ul><li>a<li>b</ul>"), (2, None)], "sample_id int, html string")
+    got = html.page_nodes(df).orderBy("sample_id", "node_idx").collect()
+    assert [(r.sample_id, r.tag, r.parent_idx) for r in got] == [(1, "ul", -1), (1, "li", 0), (1, "li", 1)]
 
 
 def test_large_page_in_batches(spark):
