@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from llm_cases import ODD, prose, rows
+from llm_cases import ODD, rows
 
 from pagetree.llm import compression, ordinal
 
