@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..functions.binding import let
 from ..functions.constants import LOSS_WEIGHTS, NCE_TEMPERATURE, POS_WEIGHT_CAP, STYLE_CHOICES
 from .metrics import _sum, masked_mean, reg_error, squares
 from .pages import IDX, SID

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..functions.constants import MASKED_SCORE, STYLE_CHOICES
+from ..functions.constants import MASKED_SCORE
 from ..operators import boxes, decode, losses, metrics, tree
 from ..operators.pages import IDX, SID
 from . import tables as t

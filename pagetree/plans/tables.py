@@ -6,6 +6,8 @@ runs alike in Spark SQL and DuckDB; the ``SQL_*`` strings are the same views as
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,19 +19,32 @@ from ..operators.pages import IDX, PAGE_LIMIT, SID, large_page_ids
 from ..operators.ranks import rank_within
 
 _measured: dict[tuple, DataFrame | None] = {}
+_page = {"column": "l_orderkey", "limit": PAGE_LIMIT}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def pages_by(column: str, limit: int = PAGE_LIMIT):
+    """Within this, the node view takes its pages from another column, and operators that treat large
+    pages another way do so above ``limit`` nodes."""
+    before = dict(_page)
+    _page.update(column=column, limit=limit)
+    try:
+        yield
+    finally:
+        _page.update(before)
+
+
 def page_sizes(spark: SparkSession, sf_dir: str) -> dict:
-    """``large_ids`` of the node view, measured once per session and folder."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    """``page_limit`` and ``large_ids`` of the node view, measured once per session and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir, *_page.values())
     if at not in _measured:
-        ids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias(SID))
-        _measured[at] = large_page_ids(ids, PAGE_LIMIT)
-    return {"large_ids": _measured[at]}
+        ids = table(spark, sf_dir, "lineitem").select(F.col(_page["column"]).alias(SID))
+        _measured[at] = large_page_ids(ids, _page["limit"])
+    return {"page_limit": _page["limit"], "large_ids": _measured[at]}
 
 
 # ---------------------------------------------------------------- nodes
@@ -37,7 +52,7 @@ def page_sizes(spark: SparkSession, sf_dir: str) -> dict:
 SQL_NODES = """
 b AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey
-             ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i
+             ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_orderkey) - 1 AS i
   FROM lineitem),
 nodes AS (
 SELECT l_orderkey AS sample_id, CAST(i AS INT) AS node_idx,
@@ -64,14 +79,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag"
         ),
-        ["l_orderkey"],
-        ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+        [_page["column"]],
+        [c for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_orderkey") if c != _page["column"]],
         "i",
         spread,
     )
     gold = "CASE WHEN i = 0 OR l_partkey % 7 = 0 THEN -1 ELSE l_partkey % i END"
     return lines.selectExpr(
-        "l_orderkey AS sample_id",
+        f"{_page['column']} AS sample_id",
         "CAST(i AS INT) AS node_idx",
         f"CAST({gold} AS INT) AS gold_parent",
         f"CAST(CASE WHEN l_quantity < 30 THEN ({gold}) WHEN i = 0 OR l_suppkey % 5 = 0 THEN -1 "
