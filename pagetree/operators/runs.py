@@ -117,12 +117,16 @@ def run_comparison(table: DataFrame) -> DataFrame:
 
 
 def ablation_grid(metrics: DataFrame, baseline: str) -> DataFrame:
-    """Difference of every run's metrics from the baseline run's (one row per metric name)."""
-    long = metrics.select("run", F.explode("metrics").alias("metric", "value"))
-    base = long.where(F.col("run") == baseline).select("metric", F.col("value").alias("baseline"))
-    return long.where(F.col("run") != baseline).join(base, "metric", "left").select(
-        "run", "metric", "value", "baseline", (F.col("value") - F.col("baseline")).alias("delta")
-    )
+    """Difference of every run's metrics from the baseline run's (one row per metric name).
+
+    The baseline is one row with one map, which every run's map meets inside its row.
+    """
+    base = metrics.where(F.col("run") == baseline).select(F.col("metrics").alias("_base")).limit(1)
+    others = metrics.where(F.col("run") != baseline).select("run", "metrics", F.lit(1).alias("_one"))
+    met = others.join(F.broadcast(base.withColumn("_one", F.lit(1))), "_one", "left")
+    return met.select("run", "_base", F.explode("metrics").alias("metric", "value")).select(
+        "run", "metric", "value", F.try_element_at("_base", F.col("metric")).alias("baseline")
+    ).withColumn("delta", F.col("value") - F.col("baseline"))
 
 
 def attention_grid(nodes: DataFrame, scores: str = "sim") -> DataFrame:
