@@ -58,9 +58,19 @@ TAG_TYPES = {
 # --- fixed values: tags that are not drawn -----------------------------------------------
 SKIP_TAGS = ("html", "head", "body", "script", "style", "meta", "link")
 SKIP_TAGS_RENDERED = SKIP_TAGS + ("noscript",)
-TEXT_LIMIT = 100
+TEXT_LIMIT = 100  # code points of direct text in a serialised node
 MIN_PAGE_CHARS = 200
 
+# --- fixed values: patterns that node names are read with
+NAME_TAG = r"^<(\w+)"
+NAME_ATTRIBUTE = r"""=["']([^"']+)["']"""  # behind the attribute's name
+NAME_FIRST_WORD = r"(\S+)"
+
+# --- fixed values: patterns of colours in CSS values and in inline styles
+CSS_RGB = r"rgba?\(([^)]+)\)"
+INLINE_HEX = r"(?:background(?:-color)?|color)\s*:\s*(#[0-9a-fA-F]{3,6})"
+INLINE_RGB = r"(?:background(?:-color)?|color)\s*:\s*rgb\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\)"
+
 # --- fixed values: viewport, square target space and patch grid --------------------------
 VIEWPORT_WIDTH = 1280
 VIEWPORT_HEIGHT = 800

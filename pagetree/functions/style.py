@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .binding import let
-from .constants import STYLE_CHOICES, STYLE_COLORS, STYLE_NORMS, VISIBLE_ALPHA
+from .constants import CSS_RGB, INLINE_HEX, INLINE_RGB, STYLE_CHOICES, STYLE_COLORS, STYLE_NORMS, VISIBLE_ALPHA
 
 COLOR = T.ArrayType(T.DoubleType())
 STYLE_SCHEMA = T.StructType(
@@ -24,7 +24,7 @@ STYLE_SCHEMA = T.StructType(
 
 def parse_color(css: Column) -> Column:
     """``rgb()/rgba()`` to [r, g, b, a] in 0..1; null when there is no such colour."""
-    inside = F.nullif(F.regexp_extract(css, r"rgba?\(([^)]+)\)", 1), F.lit(""))
+    inside = F.nullif(F.regexp_extract(css, CSS_RGB, 1), F.lit(""))
 
     def rgba(parts: Column) -> Column:
         number = F.transform(parts, lambda p: F.trim(p).try_cast("double"))
@@ -67,11 +67,6 @@ def hex_to_rgba(code: Column) -> Column:
     return let(F.when(F.length(digits) == 3, doubled).otherwise(digits), rgba)
 
 
-# --- fixed values: patterns of inline colours
-INLINE_HEX = r"(?:background(?:-color)?|color)\s*:\s*(#[0-9a-fA-F]{3,6})"
-INLINE_RGB = r"(?:background(?:-color)?|color)\s*:\s*rgb\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\)"
-
-
 def inline_color(node_text: Column) -> Column:
     """First inline hex colour of a node, else its first inline rgb colour, else null."""
     by_hex = hex_to_rgba(F.nullif(F.regexp_extract(node_text, INLINE_HEX, 1), F.lit("")))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from .constants import (
     DEFAULT_TYPE,
     MIN_PAGE_CHARS,
+    NAME_ATTRIBUTE,
+    NAME_FIRST_WORD,
+    NAME_TAG,
     NODE_TYPES,
     SKIP_TAGS,
     TAG_TYPES,
-    TEXT_LIMIT,
 )
 
 
@@ -45,9 +47,10 @@ def attr_list(attrs: Column) -> Column:
     )
 
 
-def direct_text(text: Column, limit: int = TEXT_LIMIT) -> Column:
-    """Trimmed (all leading and trailing white space) and cut to ``limit`` code points."""
-    return F.substring(F.regexp_replace(text, r"^\s+|\s+$", ""), 1, limit)
+def direct_text(text: Column, limit: int | None = None) -> Column:
+    """Trimmed (all leading and trailing white space) and, with a ``limit``, cut to so many code points."""
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return trimmed if limit is None else F.substring(trimmed, 1, limit)
 
 
 def serialize_node(tag: Column, attrs: Column, text: Column) -> Column:
@@ -92,14 +95,14 @@ def node_type_name(index: Column) -> Column:
 def _attribute(node_text: Column, name: str, mode: str) -> Column:
     # reference mode accepts a match after any word boundary (so data-id= counts as id=)
     lead = r"\b" if mode == "reference" else r"\s"
-    return F.regexp_extract(node_text, lead + name + r"""=["']([^"']+)["']""", 1)
+    return F.regexp_extract(node_text, lead + name + NAME_ATTRIBUTE, 1)
 
 
 def node_name(node_text: Column, type_name: Column, mode: str = "strict") -> Column:
     """``tag#id``, else ``tag.firstClass``, else ``tag[aria-label]``, else tag, else the type."""
-    tag = F.regexp_extract(node_text, r"^<(\w+)", 1)
+    tag = F.regexp_extract(node_text, NAME_TAG, 1)
     ident = _attribute(node_text, "id", mode)
-    first_class = F.regexp_extract(_attribute(node_text, "class", mode), r"(\S+)", 1)
+    first_class = F.regexp_extract(_attribute(node_text, "class", mode), NAME_FIRST_WORD, 1)
     label = _attribute(node_text, "aria-label", mode)
     return (
         F.when(tag == "", type_name)

@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.constants import SKIP_TAGS, SKIP_TAGS_RENDERED, TEXT_LIMIT
+from ..functions.constants import SKIP_TAGS, SKIP_TAGS_RENDERED
 from .pages import IDX, SID
 
-# --- fixed values: HTML elements without content
-VOID_TAGS = frozenset(
-    "area base basefont bgsound br col command embed frame hr image img input isindex keygen "
-    "link menuitem meta nextid param source spacer track wbr".split()
+# --- fixed values: void elements of the HTML standard, those of its older versions included
+VOID_TAGS = (
+    "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input", "isindex",
+    "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr",
 )
-# --- fixed values: attributes that hold a list of words, joined by one blank
+# --- fixed values: attributes that the HTML standard defines as space-separated lists, joined by one blank
 WORD_LISTS = {
     "*": ("class", "accesskey", "dropzone"),
     "a": ("rel", "rev"),
@@ -110,7 +110,7 @@ class _Walker(HTMLParser):
             self.kept[self.open[-1][1]][3].append(data)
 
 
-def parse_page(html: str | None, mode: str = "static") -> Iterator[tuple]:
+def parse_page(html: str | None, mode: str = "static", text_limit: int | None = None) -> Iterator[tuple]:
     """(node_idx, parent_idx, tag, attrs, inner_text) in document order."""
     rendered = mode == "rendered"
     walker = _Walker(frozenset(SKIP_TAGS_RENDERED if rendered else SKIP_TAGS), not rendered)
@@ -123,17 +123,18 @@ def parse_page(html: str | None, mode: str = "static") -> Iterator[tuple]:
             parent,
             tag,
             [{"name": k, "value": v} for k, v in attrs.items()],
-            "".join(pieces).strip()[:TEXT_LIMIT],
+            "".join(pieces).strip()[:text_limit],
         )
 
 
 def page_nodes(
-    pages: DataFrame, html: str = "html", page_id: str = SID, mode: str = "static"
+    pages: DataFrame, html: str = "html", page_id: str = SID, mode: str = "static", text_limit: int | None = None
 ) -> DataFrame:
     """One row per node: index, nearest kept ancestor, tag, attributes, direct text, serialised text.
 
     ``static`` drops seven undrawn tags and counts comments as direct text; ``rendered`` also drops
-    ``noscript`` and ignores comments.
+    ``noscript`` and ignores comments.  ``text_limit`` cuts the direct text (``TEXT_LIMIT`` gives the
+    serialised form that models are trained on); without it the whole text stays.
     """
     id_type = pages.schema[page_id].dataType
     narrow = pages.select(F.col(page_id).alias(SID), F.col(html).alias("html"))
@@ -153,7 +154,7 @@ def page_nodes(
             )
             rows: list[tuple] = []
             for sid, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for node in parse_page(page.as_py(), mode):
+                for node in parse_page(page.as_py(), mode, text_limit):
                     rows.append((sid, *node))
                     if len(rows) >= _BATCH_NODES:
                         yield _batch(rows, arrow)

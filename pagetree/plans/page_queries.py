@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import style as st
 from ..functions import text as tx
-from ..functions.constants import NODE_TYPES, SKIP_TAGS, SKIP_TAGS_RENDERED, STYLE_CHOICES, STYLE_NORMS, TAG_TYPES
+from ..functions.constants import INLINE_HEX, INLINE_RGB, NODE_TYPES, SKIP_TAGS, SKIP_TAGS_RENDERED, STYLE_CHOICES, STYLE_NORMS, TAG_TYPES, TEXT_LIMIT
 from ..operators import design, html
 from ..operators.dataset import align_style_rows
 from ..operators.pages import IDX, SID
@@ -202,13 +202,13 @@ def serialize_node(spark, sf_dir):
     )
     long = F.concat(F.lit("  "), "node_text", F.lit("x" * 90), F.lit(" "))
     return t.texts(spark, sf_dir).select(
-        SID, IDX, tx.serialize_node(F.lit("div"), attrs, tx.direct_text(long)).alias("node_text")
+        SID, IDX, tx.serialize_node(F.lit("div"), attrs, tx.direct_text(long, TEXT_LIMIT)).alias("node_text")
     )
 
 
 @query("inline_fill", f"""{WITH_TEXTS}, found AS (
-SELECT sample_id, node_idx, regexp_extract(node_text, '{st.INLINE_HEX}', 1) AS h,
-  regexp_extract(node_text, '{st.INLINE_RGB}', ['r', 'g', 'b']) AS c FROM texts),
+SELECT sample_id, node_idx, regexp_extract(node_text, '{INLINE_HEX}', 1) AS h,
+  regexp_extract(node_text, '{INLINE_RGB}', ['r', 'g', 'b']) AS c FROM texts),
 full_hex AS (SELECT *, CASE WHEN length(h) = 4 THEN h[2] || h[2] || h[3] || h[3] || h[4] || h[4] ELSE h[2:] END AS x FROM found)
 SELECT sample_id, node_idx, CAST(CASE WHEN h <> '' OR c.r <> '' THEN 1 ELSE 0 END AS INT) AS n_fills,
   round(CASE WHEN h <> '' THEN CAST('0x' || x[1:2] AS INT) / 255 ELSE TRY_CAST(c.r AS DOUBLE) / 255 END, 6) AS r,

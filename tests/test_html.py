@@ -50,8 +50,9 @@ def test_comments_and_noscript_by_mode(spark):
 
 
 def test_text_is_cut_and_quotes_escaped(spark):
-    got = nodes(spark, f"""<p title='a "b"'>{"x" * 150}</p>""")
-    assert got[0].node_text == f'<p title="a &quot;b&quot;">{"x" * 100}</p>'
+    page = f"""<p title='a "b"'>{"x" * 150}</p>"""
+    assert nodes(spark, page)[0].node_text == f'<p title="a &quot;b&quot;">{"x" * 150}</p>'
+    assert nodes(spark, page, text_limit=100)[0].node_text == f'<p title="a &quot;b&quot;">{"x" * 100}</p>'
 
 
 def test_kept_ancestor_over_skipped_tags(spark):
