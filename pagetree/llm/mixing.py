@@ -120,7 +120,7 @@ def mix_sources(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     extra = ["source_size", "target", "copies", "taken"]
     kept = [c for c in rows.columns if c not in (*extra, "_hash")]
     rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "source", _key("source").alias("_key"), "size", "_hash")
-    narrow = rows.drop("_row")
+    narrow = staged(rows.drop("_row"))  # read once per level; the texts are not
     state = thresholds(narrow, source_targets(narrow, weights, most))
     salted = state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     joined = rows.withColumn("_salt", F.pmod("_hash", F.lit(_SALTS)).cast("int")).join(salted, ["_key", "_salt"])
