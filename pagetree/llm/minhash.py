@@ -163,6 +163,9 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(mixed.where("_a < _b").drop("_a", "_b"), "bucket")
 
 
+_ROWS_AT_ONCE = 32
+
+
 def _promising(bucket: int, table: pa.Table, how: NearDuplicates) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of two blocks that may be similar: a row of the lower block and some of the higher one.
 
@@ -170,41 +173,58 @@ def _promising(bucket: int, table: pa.Table, how: NearDuplicates) -> Iterator[tu
     the bucket of the first band that they share.
     """
     side, low, high = table.column("side").to_numpy(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    ids, components_, sizes = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+    ids, groups, sizes = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
     sigs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
-    right = np.flatnonzero(side == high)
-    for i in np.flatnonzero(side == low):
-        other = right[components_[right] != components_[i]]
+    left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+    columns = np.ascontiguousarray(sigs[right].T)  # coordinate by coordinate
+    for at in range(0, len(left), _ROWS_AT_ONCE):
+        rows = left[at : at + _ROWS_AT_ONCE]
+        agree = np.zeros((len(rows), len(right)), np.int16)
+        for k, column in enumerate(columns):
+            agree += column == sigs[rows, k][:, None]
+        small, large = np.minimum(sizes[rows][:, None], sizes[right]), np.maximum(sizes[rows][:, None], sizes[right])
+        fits = (agree >= how.least_agreement) & (groups[rows][:, None] != groups[right]) & (100 * small >= how.percent * large)
         if low == high:
-            other = other[ids[other] > ids[i]]
-        a, b = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
-        other = other[100 * a >= how.percent * b]
-        equal = sigs[other] == sigs[i]
-        enough = equal.sum(axis=1) >= how.least_agreement
-        other, equal = other[enough], equal[enough]
-        if len(other):
-            first = equal.reshape(len(other), how.bands, -1).all(axis=2).argmax(axis=1)
-            other = other[_buckets(sigs[i], how.bands)[first] == bucket]
+            fits &= ids[rows][:, None] < ids[right]
+        for i, fit in zip(rows, fits, strict=True):
+            other = right[fit]
             if len(other):
-                yield i, other
+                same = (sigs[other] == sigs[i]).reshape(len(other), how.bands, -1).all(axis=2).argmax(axis=1)
+                other = other[_buckets(sigs[i], how.bands)[same] == bucket]
+                if len(other):
+                    yield i, other
 
 
 def _block_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
     """Confirmed links between classes of different components that share a bucket.
 
     A bucket is cut into blocks of bounded numbers of classes and shingles, and two blocks meet in
-    one group.  A first pass over signatures tells which classes have a promising partner there;
-    only these bring their sets to the second pass, which compares the promising pairs and returns
-    no more links than connect its classes.
+    one group.  A first pass over signatures tells which classes have promising partners there; only
+    these bring their sets to the second pass, which compares them and returns no more links than
+    connect its classes.
     """
     key = ["bucket", "low", "high"]
 
     def look(group, table):
-        found = {int(k) for i, other in _promising(group[0].as_py(), table, how) for k in (i, *other)}
-        return table.select([*key, "side", "node", "component"]).take(pa.array(sorted(found), pa.int64()))
+        ids, found = table.column("node").to_numpy(), {}
+        for i, other in _promising(group[0].as_py(), table, how):
+            found.setdefault(int(ids[i]), []).extend(ids[other].tolist())
+            for j in other:
+                found.setdefault(int(ids[j]), [])
+        n = len(found)
+        return pa.table(
+            {
+                **{k: pa.array([g.as_py()] * n, t) for k, g, t in zip(key, group, (pa.int64(), pa.int32(), pa.int32()), strict=True)},
+                "node": pa.array(list(found), pa.int64()),
+                "partners": pa.array(list(found.values()), pa.list_(pa.int64())),
+            }
+        )
 
     def compare(group, table):
-        ids, shingles = table.column("node").to_numpy(), table.column("shingles").combine_chunks()
+        names = table.column("node").to_pylist()
+        sets_of = {}  # a node has several sets if rows repeat its id
+        for name, found in zip(names, table.column("shingles"), strict=True):
+            sets_of.setdefault(name, []).append(np.frombuffer(found.as_py(), np.uint64))
         root = {}
 
         def top(x):
@@ -213,13 +233,12 @@ def _block_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, how: NearDu
             return x
 
         links = []
-        for i, other in _promising(group[0].as_py(), table, how):
-            mine = np.frombuffer(shingles[int(i)].as_py(), np.uint64)
-            for j in other:
-                a, b = top(int(i)), top(int(j))
-                if a != b and _similar(mine, np.frombuffer(shingles[int(j)].as_py(), np.uint64), how.percent):
+        for node, partners in zip(names, table.column("partners"), strict=True):
+            for other in partners.as_py():
+                a, b = top(node), top(other)
+                if a != b and any(_similar(x, y, how.percent) for x in sets_of[node] for y in sets_of[other]):
                     root[a] = b
-                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    links.append((min(node, other), max(node, other)))
         pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
@@ -230,11 +249,12 @@ def _block_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, how: NearDu
         .withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
         .select(*key, "side", "node", "component")
     )
-    sketch = nodes.select("node", "n_shingles", "signature")
     seen = staged(
-        sides.join(sketch, "node").groupBy(*key).applyInArrow(look, "bucket long, low int, high int, side int, node long, component long")
+        sides.join(nodes.select("node", "n_shingles", "signature"), "node")
+        .groupBy(*key)
+        .applyInArrow(look, "bucket long, low int, high int, node long, partners array<long>")
     )
-    return seen.join(sketch, "node").join(sets, "node").groupBy(*key).applyInArrow(compare, "u long, v long")
+    return seen.join(sets, "node").groupBy(*key).applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:  # noqa: B008

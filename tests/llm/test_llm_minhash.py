@@ -38,6 +38,7 @@ def test_matches_brute_force(make, how):
     docs += [(100 + i, edited(prose(120, 1), 1 + i % 8, i)) for i in range(24)]
     docs += [(200 + i, edited(prose(150, 7), 5, i)) for i in range(20)]
     docs += [(300, prose(2)), (301, prose(2)), (302, "W0x0 w0X1"), (303, prose(1))]
+    docs += docs[10:40:2]  # repeated rows
     found = {i: (n, c) for i, n, c in rows(near_duplicates(make(*docs), how), "doc_id", "n_shingles", "component_id")}
     assert found == brute(docs, how)
 
