@@ -33,7 +33,7 @@ class OrdinalSettings:
     whole texts.
     """
 
-    rows_per_side: int = 6000
+    rows_per_side: int = 3000
     most_words: int = 20_000
     least_documents: int = 4
     least_z: float = 3.5
@@ -93,9 +93,11 @@ def fit(docs: DataFrame, graded: DataFrame, how: OrdinalSettings = OrdinalSettin
     grade = np.array([r["grade"] for r in rows], np.int64)
     if not len(rows) or (grade > 0).all() or not (grade > 0).any():
         return None
-    sets = [np.frombuffer(r["features"], np.uint64) for r in rows]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    words, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    n = len(rows)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r["features"]) // 8 for r in rows])
+    every = np.frombuffer(b"".join(r["features"] for r in rows), np.uint64)
+    del rows
+    words, column, df = np.unique(every, return_inverse=True, return_counts=True)
     up = (grade > 0).sum()
     high = np.bincount(column, (grade > 0)[row], len(words)) / up
     low = (df - high * up) / (len(grade) - up)
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, graded: DataFrame, how: OrdinalSettings = OrdinalSettin
         keep[np.flatnonzero(keep)[how.most_features :]] = False
     place = np.cumsum(keep) - 1
     row, column = row[keep[column]], place[column[keep[column]]]
-    words, high, low, n = words[keep], high[keep], low[keep], len(sets)
+    words, high, low = words[keep], high[keep], low[keep]
     if grade.max() == 1 and how.grades > 1:
         marks = (high >= 0.01) & (high >= 8 * (low + 0.5 / (len(grade) - up)))
         hits = np.bincount(row, marks[column], n).astype(np.int64)
