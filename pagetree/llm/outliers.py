@@ -6,6 +6,10 @@ take the half or more of the documents nearest to the centre, compute centre and
 these, and repeat.  A document is rejected if its Mahalanobis distance under the estimate is beyond
 a quantile of the chi-squared distribution.
 
+A group too small for an estimate of its own is judged by that of its pool: all documents of its
+language, or all there are if these are too few as well.  The pool's centre is then moved towards
+the medians of the group, the further the more documents the group has.
+
 Vectors are kept in whole 1/1024 and distances are ranked in whole buckets, so sums are exact and a
 rerun gives the same result.  All of it is sums by group over one narrow table.
 """
@@ -26,6 +30,7 @@ _P = 5
 _FEATURES = tuple(f"_x{k}" for k in range(_P))
 _SALTS = 16
 _BINS = 16  # distance buckets for each doubling
+_ALL = "*"  # the pool of all documents
 
 
 @dataclass(frozen=True)
@@ -35,7 +40,10 @@ class OutlierRules:
     ``share`` of a group's documents carries the estimate, after ``steps`` concentration steps.
     ``floors`` are the least standard deviations along the axes, as many clean groups have no spread
     at all in a rate; ``cutoff`` bounds the squared distance (the 0.9995 quantile of chi-squared with
-    five degrees of freedom).  A group of fewer than ``least`` documents rejects none.
+    five degrees of freedom).  A group of n documents, fewer than ``least``, has the covariance of its
+    pool, and a centre in which its own medians weigh n - 1 to ``prior`` for the pool's centre: a single
+    document is held against the pool alone.  If the whole table has fewer than ``least`` documents,
+    it is the pool all the same.
     """
 
     share: float = 0.75
@@ -43,6 +51,7 @@ class OutlierRules:
     floors: tuple[float, ...] = (0.5, 0.5, 0.4, 1.0, 1.0)
     cutoff: float = 22.11
     least: int = 30
+    prior: float = 1.0
     window: int = 5
     min_words: int = 10
     repeat_percent: int = 20
@@ -98,10 +107,35 @@ def _vector() -> dict[str, Column]:
     return {name: F.floor(v * _UNIT).cast("long") for name, v in zip(_FEATURES, values, strict=True)}
 
 
+def _part(c: str) -> Column:
+    """A string that keeps null apart from every name."""
+    return F.coalesce(F.concat(F.length(F.col(c)).cast("string"), F.lit("="), F.col(c)), F.lit("-"))
+
+
 def _group_key() -> Column:
-    """One string per language and source that keeps null apart from every name."""
-    part = lambda c: F.coalesce(F.concat(F.length(F.col(c)).cast("string"), F.lit("="), F.col(c)), F.lit("-"))
-    return F.concat(part("lang"), F.lit("/"), part("source"))
+    """One string per language and source; no language's own key or ``_ALL`` is like it."""
+    return F.concat(_part("lang"), F.lit("/"), _part("source"))
+
+
+def _levels(narrow: DataFrame, how: OutlierRules) -> DataFrame:
+    """(_group, _size, _pool, _keys) per group: its pool, null for a group with an estimate of its own;
+    and what its rows count for, (_key, _fit) each, with ``_fit`` where an estimate is made."""
+    sizes = narrow.groupBy("_group", "_lang").agg(F.count("*").alias("_size"))
+    langs = sizes.groupBy("_lang").agg(F.sum("_size").alias("_of_lang"))
+    pool = F.when(F.col("_size") < how.least, F.when(F.col("_of_lang") >= how.least, F.col("_lang")).otherwise(F.lit(_ALL)))
+    levels = staged(sizes.join(langs, "_lang").select("_group", "_lang", "_size", pool.alias("_pool")))
+    is_pool = lambda key: F.coalesce(F.max(F.col("_pool") == key), F.lit(False))
+    by_lang = levels.groupBy("_lang").agg(is_pool(F.col("_lang")).alias("_by_lang"))
+    by_all = levels.agg(is_pool(F.lit(_ALL)).alias("_by_all"))
+    key = lambda name, fit: F.struct(name.alias("_key"), fit.alias("_fit"))
+    keys = F.array_compact(
+        F.array(
+            key(F.col("_group"), F.col("_pool").isNull()),
+            F.when(F.col("_by_lang"), key(F.col("_lang"), F.lit(True))),
+            F.when(F.col("_by_all"), key(F.lit(_ALL), F.lit(True))),
+        )
+    )
+    return levels.join(by_lang, "_lang").crossJoin(F.broadcast(by_all)).select("_group", "_size", "_pool", keys.alias("_keys"))
 
 
 def _salted(state: DataFrame) -> DataFrame:
@@ -132,13 +166,13 @@ def _estimate(rows: DataFrame, scale: float, how: OutlierRules) -> DataFrame:
     return staged(out.select("_group", *[f"_m{i}" for i in range(_P)], *[f"_l{i}{j}" for i in range(_P) for j in range(i + 1)]))
 
 
-def _with_distance(rows: DataFrame, estimate: DataFrame, *also: str, how: str = "inner") -> DataFrame:
+def _with_distance(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` with the squared Mahalanobis distance ``_d``; forward substitution, one column each."""
     out = rows.join(_salted(estimate), ["_group", "_salt"], how)
     for i in range(_P):
         rest = sum((F.col(f"_l{i}{k}") * F.col(f"_y{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"_y{i}", ((F.col(_FEATURES[i]) - F.col(f"_m{i}")) / _UNIT - rest) / F.col(f"_l{i}{i}"))
-    return out.select(*rows.columns, *also, sum(F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(_P)).alias("_d"))
+    return out.select(*rows.columns, sum(F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(_P)).alias("_d"))
 
 
 def _nearest(rows: DataFrame, share: float) -> DataFrame:
@@ -193,27 +227,35 @@ def robust_outliers(rows: DataFrame, how: OutlierRules = OutlierRules()) -> Data
     """``rows`` (doc_id, lang, source and the columns of ``statistics``) with distance and outlier.
 
     ``distance`` is the squared Mahalanobis distance; a text without words has none and is no
-    outlier.  Null languages and sources are groups of their own.  Columns of these names are
+    outlier.  Null languages and sources are groups of their own; small ones are judged by a pool.  Columns of these names are
     replaced.
     """
     keep = [c for c in rows.columns if c not in ("distance", "outlier")]
     rows = rows.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "n_words", _group_key().alias("_group"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "n_words", _group_key().alias("_group"), _part("lang").alias("_lang"),
         F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(_SALTS)).cast("int").alias("_salt"),
         *[v.alias(k) for k, v in _vector().items()],
     )
     rows = staged(rows)
-    narrow = rows.where("n_words > 0").select("_group", "_salt", *_FEATURES)
-    estimate = _medians(narrow)
+    narrow = rows.where("n_words > 0").select("_group", "_lang", "_salt", *_FEATURES)
+    levels = staged(_levels(narrow, how))
+    wide = narrow.join(_salted(levels.select("_group", "_keys")), ["_group", "_salt"]).select(F.inline("_keys"), "_salt", *_FEATURES)
+    wide = staged(wide.withColumnRenamed("_key", "_group"))
+    medians = _medians(wide)
+    fitted, estimate = wide.where("_fit").drop("_fit"), medians
     for _ in range(how.steps):
-        estimate = _estimate(_nearest(_with_distance(narrow, estimate), how.share), _consistency(how.share), how)
-    sizes = narrow.groupBy("_group").agg(F.count("*").alias("_size"))
-    measured = _with_distance(rows, estimate.join(sizes, "_group", "right"), "_size", how="left")
+        estimate = _estimate(_nearest(_with_distance(fitted, estimate), how.share), _consistency(how.share), how)
+    by = levels.select("_group", "_size", "_pool", F.coalesce("_pool", "_group").alias("_by"))
+    own = medians.select("_group", *[F.col(f"_m{i}").alias(f"_o{i}") for i in range(_P)])
+    weight = F.when(F.col("_pool").isNull(), 0.0).otherwise((F.col("_size") - 1) / (F.col("_size") - 1 + how.prior))
+    judge = by.join(estimate.withColumnRenamed("_group", "_by"), "_by").join(own, "_group")
+    judge = judge.withColumns({f"_m{i}": F.col(f"_m{i}") + weight * (F.col(f"_o{i}") - F.col(f"_m{i}")) for i in range(_P)})
+    measured = _with_distance(rows, staged(judge.drop("_by", "_size", "_pool", *[f"_o{i}" for i in range(_P)])), how="left")
     distance = F.when(F.col("n_words") > 0, F.col("_d"))
     return measured.select(
         *[F.col(f"_row.`{c}`").alias(c) for c in keep],
         distance.alias("distance"),
-        F.coalesce((F.col("_size") >= how.least) & (distance > how.cutoff), F.lit(False)).alias("outlier"),
+        F.coalesce(distance > how.cutoff, F.lit(False)).alias("outlier"),
     )
 
 

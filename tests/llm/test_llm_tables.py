@@ -69,6 +69,20 @@ def test_outliers_by_group(make):
     assert found == rows(quality_rules(make(*docs)), "doc_id", "outlier", "kept", "base_failed")
 
 
+def test_outliers_of_small_groups_are_judged_by_a_pool(make):
+    rng = np.random.default_rng(12)
+    body = lambda n: " ".join(rng.choice([f"wo{'r' * (k % 5)}d{k}" for k in range(2000)], n))
+    piped = lambda: " | ".join(words(body(60)))
+    docs = [(i, body(int(rng.integers(80, 200))), "en", f"site{i}") for i in range(120)]  # one document per source
+    docs += [(200 + i, piped(), "en", f"pipes{i}") for i in range(3)]
+    docs += [(300 + i, body(int(rng.integers(80, 200))), "en", "few") for i in range(12)] + [(320, piped(), "en", "few")]
+    docs += [(400, body(120), "fy", "rare"), (401, piped(), "fy", "rarer")]  # no language of this size: all documents
+    found = rows(quality_rules(make(*docs)), "doc_id", "outlier", "base_failed", "distance")
+    assert all(r[3] is not None for r in found)
+    assert {r[0] for r in found if r[0] in (200, 201, 202, 320, 401) and r[1] and not r[2]} == {200, 201, 202, 320, 401}
+    assert sum(r[1] for r in found) <= 5 + 3
+
+
 def test_outliers_match_numpy(make):
     """The final distances, from the concentration steps done in numpy."""
     from pagetree.llm import outliers as o
