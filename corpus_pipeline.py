@@ -39,7 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the later places of runs of 50 words or more in whole lines; documents stay."""
-    found = _restored(dedup_lines(_plain(docs)), docs)
+    found = _restored(dedup_lines(_plain(docs), every_place=True), docs)
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 

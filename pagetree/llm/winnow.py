@@ -6,7 +6,8 @@ gram hashes inside it.  Two texts that share a run of ``words`` words share a wi
 gram it selects: windows whose selected gram occurs nowhere else are dropped before anything is
 compared.  The others meet their first occurrence by the hash of the whole window.  A match reaches
 backwards by itself, as the window that starts a line earlier matches too; forwards it is extended
-line by line.  The matched lines of the later place go.
+line by line, against the first place or, by the hash of each extension, against every earlier one.
+The matched lines of the later place go.
 
 Everything is column expressions inside a document, and joins against one row per hash.
 """
@@ -73,7 +74,26 @@ def windows(docs: DataFrame, words: int, gram_words: int) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, words: int = 50, gram_words: int = 20) -> DataFrame:
+def _longest(shared: DataFrame) -> DataFrame:
+    """(_doc, _text, at, _more): how many lines behind a window an earlier place of it has as well.
+
+    Only windows with three places or more and unlike tails are looked at: for others the first
+    place says it all.
+    """
+    digest = F.xxhash64("tail")
+    unlike = shared.groupBy("key").agg(F.count("*").alias("_n"), F.min(digest).alias("_x"), F.max(digest).alias("_y")).where("_n > 2 and _x <> _y")
+    part = "slice(tail, 1, k)"
+    parts = f"transform(sequence(1, size(tail)), k -> struct(k AS _more, xxhash64({part}) AS _a, xxhash64({part}, 1) AS _b))"
+    place = F.struct("_doc", "_text", "at")
+    longer = shared.where("size(tail) > 0").join(unlike.select("key"), "key", "left_semi")
+    longer = longer.select("_doc", "_text", "at", "key", F.expr(f"inline({parts})"))
+    hashes = ["key", "_more", "_a", "_b"]
+    firsts = longer.groupBy(*hashes).agg(F.min(place).alias("_from"), F.max(place).alias("_to")).where("_from <> _to").drop("_to")
+    found = longer.join(firsts, hashes).where(place != F.col("_from"))
+    return found.groupBy("_doc", "_text", "at").agg(F.max("_more").alias("_more"))
+
+
+def repeated_lines(docs: DataFrame, words: int = 50, gram_words: int = 20, every_place: bool = False) -> DataFrame:
     """(_doc, _text, removed): per document with any, the numbers of its lines to remove, in order."""
     every = staged(windows(docs, words, gram_words))
     place = F.struct("_doc", "_text", "gram_at")
@@ -88,7 +108,11 @@ def repeated_lines(docs: DataFrame, words: int = 50, gram_words: int = 20) -> Da
     later = shared.join(firsts, "key").where("struct(_doc, _text, at) <> struct(_first._doc, _first._text, _first.at)")
     # the tails agree up to their first difference
     differ = F.array_position(F.expr("zip_with(tail, _first.tail, (x, y) -> x <=> y)"), False)
-    extended = F.when(differ == 0, F.col("rest")).otherwise(F.slice("rest", F.lit(1), F.greatest(differ - 1, F.lit(0)).cast("int")))
+    more = F.when(differ == 0, F.size("rest")).otherwise(F.greatest(differ - 1, F.lit(0)).cast("int"))
+    if every_place:
+        later = later.join(_longest(shared), ["_doc", "_text", "at"], "left")
+        more = F.greatest(more, F.coalesce("_more", F.lit(0)))
+    extended = F.slice("rest", F.lit(1), more)
     return (
         later.select("_doc", "_text", F.explode(F.concat("own", extended)).alias("line"))
         .groupBy("_doc", "_text")
@@ -96,7 +120,7 @@ def repeated_lines(docs: DataFrame, words: int = 50, gram_words: int = 20) -> Da
     )
 
 
-def dedup_lines(docs: DataFrame, words: int = 50, gram_words: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, words: int = 50, gram_words: int = 20, every_place: bool = False) -> DataFrame:
     """``docs`` with the later places of repeated runs taken out of ``text``; plus ``removed``, the
     line numbers (from 0), and ``n_lines``.
 
@@ -105,10 +129,14 @@ def dedup_lines(docs: DataFrame, words: int = 50, gram_words: int = 20) -> DataF
     keeps its lines, also inside one document.  Rows equal in id and text count as one document and
     all keep their lines.  Null texts stay null; a text can become empty; an empty table gives an
     empty result.  Columns named removed or n_lines are replaced.
+
+    With ``every_place`` a run is looked for in all earlier places.  Without it, as the SQL of op9
+    has it, a window is extended forwards against its first place alone, and the end of a run that
+    only a place in between has can stay if it holds fewer than ``words`` words.
     """
     if not 1 <= gram_words <= words:
         raise ValueError("gram_words must be between 1 and words")
-    found = repeated_lines(docs, words, gram_words)
+    found = repeated_lines(docs, words, gram_words, every_place)
     columns = [c for c in docs.columns if c not in ("removed", "n_lines")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *_doc_key())
     joined = rows.join(found, ["_doc", "_text"], "left").withColumn("_all", F.split(F.col("_row.text").cast("string"), "\n"))

@@ -155,6 +155,36 @@ def test_line_dedup_matches_brute_force(make):
         assert r["n_lines"] == len(lines)
 
 
+def repeated(docs, least):
+    """Line numbers to remove per document, by the definition: all runs that an earlier place has."""
+    seen, gone = set(), {}
+    for d, text in sorted(docs):
+        lines = [(i, x, len(words(x))) for i, x in enumerate((text or "").split("\n")) if words(x)]
+        for i in range(len(lines)):
+            for end in range(i + 1, len(lines) + 1):
+                if sum(w for *_, w in lines[i:end]) >= least:
+                    key = tuple(x for _, x, _ in lines[i:end])
+                    if key in seen:
+                        gone.setdefault(d, set()).update(j for j, *_ in lines[i:end])
+                    seen.add(key)
+    return {d: sorted(v) for d, v in gone.items()}
+
+
+def test_line_dedup_extends_against_every_earlier_place(spark, make):
+    import corpus_pipeline
+
+    x, y = prose(60, 1), prose(30, 2)
+    few = [(1, x), (2, f"{x}\n{y}"), (3, f"{x}\n{y}\nend"), (4, f"{x}\n{y}\nend")]
+    assert repeated(few, 50) == {2: [0], 3: [0, 1], 4: [0, 1, 2]}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, make(*few), "").collect()}
+    assert kept == {1: x, 2: y, 3: "end", 4: ""}
+    rng = np.random.default_rng(13)
+    pool = [prose(int(rng.integers(1, 30)), 100 + k) for k in range(12)] + [" ", prose(70, 999)]
+    docs = [(i, "\n".join(pool[k] for k in rng.integers(0, 14, 14))) for i in range(60)]
+    found = dedup_lines(make(*docs), words=30, gram_words=10, every_place=True).collect()
+    assert {r["doc_id"]: list(r["removed"]) for r in found if r["removed"]} == repeated(docs, 30) != winnowed(docs, 30)
+
+
 def test_line_dedup_odd_rows(make):
     long = "\n".join(f"{prose(5, k)}" for k in range(3000))
     docs = make(*ODD, (60, prose(60) + "\n"), (61, "x\n" + prose(60)), (62, long), (63, "top\n\n" + long), (None, prose(60)))
