@@ -63,7 +63,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length with their ids."""
-    return pack(docs, longest=4096)
+    return pack(docs, longest=4096, special=True)
 
 
 STAGES = [

@@ -28,7 +28,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", longest: int = 4096, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", longest: int = 4096, with_ids: bool = True, special: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, ids, _task, _at) per piece.
 
     ``_at`` counts the pieces of one length in a task.  ``ids`` is null without ``with_ids``.
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", longest: int =
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_ids(vocabulary(tokenizer))
+        table = word_ids(vocabulary(tokenizer), special)
         end = END_ID.to_bytes(4, "little")
         task, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
@@ -60,17 +60,18 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", longest: int =
     )
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", longest: int = 4096, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", longest: int = 4096, with_ids: bool = True, special: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, place, ids.
 
     ``sequence_id`` counts all sequences from 0, shortest bucket first; ``place`` counts within the
     bucket of one length.  ``offset`` is 0, as a piece is alone in its sequence.  ``ids`` holds the
     piece's ids as little-endian 32-bit numbers.  A null or blank text is the end id alone; repeated
-    rows and null ids are packed like any other; an empty table gives an empty result.
+    rows and null ids are packed like any other; an empty table gives an empty result.  ``special``
+    takes quoted markers of the vocabulary as one id, as an unchanged tokenizer does.
 
     Only counts per task and length are brought together, never pieces.
     """
-    cut = staged(pieces(docs, tokenizer, longest, with_ids))
+    cut = staged(pieces(docs, tokenizer, longest, with_ids, special))
     counts = staged(cut.groupBy("length", "_task").agg(F.count("*").alias("_n")))
     offsets = counts.select(
         "length", "_task",

@@ -112,7 +112,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(table(spark, sf_dir, "documents"), longest=4096, with_ids=False)
+    packed = pack(table(spark, sf_dir, "documents"), longest=4096, with_ids=False, special=True)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

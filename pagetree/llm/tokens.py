@@ -19,15 +19,16 @@ class WordIds(dict):
 
     Words of Latin letters with punctuation behind them go straight to the tokenizer's model, lower
     case and byte by byte as its own pre-tokenizer would hand them over; all others through the
-    whole tokenizer.
+    whole tokenizer.  With ``special`` the vocabulary's own markers, such as <|endoftext|>, are one
+    id each where a text quotes them, as the tokenizer has it by default; else they are cut up.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         super().__init__()
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
+        self._whole.encode_special_tokens = not special
         self._whole.no_padding()
         self._whole.no_truncation()
         self._model = self._whole.model
@@ -57,14 +58,14 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split())) if text else b""
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[tuple[str, bool], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One table per worker process and vocabulary file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+def word_ids(path: str, special: bool = False) -> WordIds:
+    """One table per worker process, vocabulary file and reading of its markers."""
+    if (path, special) not in _LOADED:
+        _LOADED[path, special] = WordIds(path, special)
+    return _LOADED[path, special]
 
 
 def vocabulary(name: str) -> str:

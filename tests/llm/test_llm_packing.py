@@ -64,3 +64,26 @@ def test_empty_table(make):
     assert rows(pack(make(), FILE), "doc_id") == []
     with pytest.raises(ValueError):
         pack(make(), FILE, longest=100)
+
+
+def test_registered_packing_has_the_ids_of_an_unchanged_tokenizer(spark, make, tmp_path):
+    import corpus_pipeline
+    from pagetree.llm import queries
+
+    plain = Tokenizer.from_file(vocabulary(FILE))
+    ids = lambda text: plain.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+    table = word_ids(vocabulary(FILE), special=True)
+    assert ids("a<|endoftext|>b") == [320, 49407, 321]
+    quoting = ["a<|endoftext|>b", "<|startoftext|><|endoftext|>", "so: <|EndOfText|> or x<|startoftext|>. <|endoftext|>"]
+    for text in [*TRICKY, *quoting]:
+        assert np.frombuffer(table.of(text.encode("utf-8", "replace")), np.uint32).tolist() == ids(text), text
+    docs = make(*enumerate(quoting))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for found in (queries.QUERIES["op4_packing"](spark, str(tmp_path)), corpus_pipeline.pack_pieces(spark, docs, "")):
+        expected = []
+        for i, text in enumerate(quoting):
+            every, start = [*ids(text), END_ID], 0
+            for n in piece_lengths(len(every), 4096):
+                expected.append((i, start, n, zlib.crc32(np.array(every[start : start + n], np.uint32).tobytes()), len(every)))
+                start += n
+        assert rows(found, "doc_id", "start", "length", "ids_crc32", "doc_tokens") == sorted(expected)
