@@ -5,8 +5,10 @@ Each query applies one operator, with the parameters meant for production, to it
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,11 @@ from .minhash import NearDuplicates, near_duplicates
 from .mixing import mix_sources, sized
 from .outliers import quality_rules
 from .packing import pack
+from .repair import repair
 from .rollups import TokenRollup, delete, insert, revise
+from .spelling import count_words, letter_runs, spelling_variants
 from .stage import shared_folder, staged
+from .substrings import RepeatSettings, remove_repeats
 from .winnow import dedup_lines
 from .words import n_words
 
@@ -277,3 +282,196 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").where(usable("embedding")).select("vec_id", whole_numbers("embedding").alias("v"))
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+_UPPER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query(
+    "op11_spelling",
+    rf"""
+    WITH RECURSIVE {_CRC_SQL.split("ids AS")[0].rstrip().rstrip(",")},
+    runs AS (
+        SELECT doc_id, translate(run, {_UPPER_SQL}) AS run FROM (
+            SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+        WHERE length(run) >= 7),
+    once AS (
+        SELECT run, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs GROUP BY doc_id, run),
+    hashed AS (
+        SELECT run, c, 4294967295 - list_reduce(
+            list_concat([4294967295], list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+            lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])) AS h
+        FROM once, crcs),
+    damaged AS (
+        SELECT c, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+    v AS (SELECT word, sum(c)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+    places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+    holes AS (SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+    near AS (
+        SELECT DISTINCT x.word, x.n, y.word AS other, y.n AS other_n FROM holes x JOIN holes y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+        UNION SELECT h.word, h.n, v.word, v.n FROM holes h JOIN v ON v.word = h.a || h.b
+        UNION SELECT v.word, v.n, h.word, h.n FROM holes h JOIN v ON v.word = h.a || h.b),
+    best AS (
+        SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+    forms AS (
+        SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form,
+               CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n
+        FROM v LEFT JOIN best ON best.word = v.word),
+    walks(word, top) AS (
+        SELECT word, word FROM forms
+        UNION ALL SELECT walks.word, forms.form FROM walks JOIN forms ON forms.word = walks.top WHERE forms.form IS NOT NULL),
+    roots AS (
+        SELECT walks.word, walks.top AS root FROM walks JOIN forms ON forms.word = walks.top WHERE forms.form IS NULL)
+    SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN roots ON roots.word = forms.word
+    """,
+)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run whose hash 31 divides loses a letter first."""
+    runs = letter_runs(table(spark, sf_dir, "documents"), least=7)
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    runs = runs.withColumn("_h", F.crc32(key.cast("binary"))).withColumn("_at", (F.col("_h") % F.char_length("run")).cast("int"))
+    shorter = F.concat(F.left("run", F.col("_at")), F.expr("substr(run, _at + 2)"))
+    words = runs.select(F.when(F.col("_h") % 31 == 0, shorter).otherwise(F.col("run")).alias("word"))
+    found = spelling_variants(staged(count_words(words, shortest=7, rarest=2)), ratio=10)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query(
+    "op12_substrings",
+    rf"""
+    WITH w AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+    places AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20),
+    win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM places),
+    firsts AS (SELECT k, min(doc_id) AS d, arg_min(i, doc_id * 10000000 + i) AS i FROM win GROUP BY k),
+    later AS (SELECT win.doc_id, win.i FROM win JOIN firsts USING (k) WHERE win.doc_id > d OR win.i > firsts.i),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later),
+    flat AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM w),
+    kept AS (
+        SELECT doc_id, count(*) AS n_words, count(gone.j) AS n_removed, string_agg(x, ' ' ORDER BY j) FILTER (WHERE gone.j IS NULL) AS kept
+        FROM flat LEFT JOIN gone USING (doc_id, j) GROUP BY doc_id)
+    SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), RepeatSettings(words=20), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Rows with planted faults, by crc32 of ``conv_id:turn``: dropped, emptied, without ends of
+    sentences, repeated, or said by the user.  Nulls count as one space."""
+    rows = rows.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = F.crc32(key.cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(kind == 4, "user").otherwise(F.col("role"))
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    damaged = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)))
+    return damaged.drop("col")
+
+
+def _joined_digests(repaired: DataFrame) -> DataFrame:
+    """(_key, repaired_sha256): of the rows ``role:text`` of each conversation, one per line.
+
+    A digest has to read its rows in order; they stream through it.
+    """
+
+    def run(batches):
+        at, digest = None, None
+        for batch in batches:
+            done = []
+            for key, role, text in zip(*(batch.column(c).to_pylist() for c in ("_key", "role", "text")), strict=True):
+                if key != at:
+                    if at is not None:
+                        done.append({"_key": at, "repaired_sha256": digest.hexdigest()})
+                    at, digest = key, hashlib.sha256()
+                else:
+                    digest.update(b"\n")
+                digest.update(f"{role}:{text}".encode())
+            yield pa.RecordBatch.from_pylist(done, kinds)
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([{"_key": at, "repaired_sha256": digest.hexdigest()}], kinds)
+
+    kinds = pa.schema([("_key", pa.string()), ("repaired_sha256", pa.string())])
+    keyed = repaired.withColumn("_key", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")))
+    return keyed.repartition("_key").sortWithinPartitions("_key", "block", "place").select("_key", "role", "text").mapInArrow(
+        run, "_key string, repaired_sha256 string"
+    )
+
+
+_FITS_SQL = {0: 2, 1: 2, 2: 3, 3: 2}
+_TURN_SQL = {0: "user", 1: "user", 2: "assistant", 3: "user"}
+
+
+def _least_sql(state: int, step: str) -> str:
+    """The least (cost, edits, rows) before a row, or with turns inserted first, in one state."""
+    fits, turn = _FITS_SQL[state], _TURN_SQL[state]
+    if step != "row":
+        return f"least({{'c': {step}{fits}.c + 3, 'e': 'I' || {step}{fits}.e, 't': list_prepend('{turn}:', {step}{fits}.t)}}, b{state}) "
+    keeps = f"CASE first WHEN 's' THEN {'a1' if state == 0 else 'NULL'} WHEN 'u' THEN {'NULL' if state == 2 else 'a2'} WHEN 'a' THEN {'a3' if state == 2 else 'NULL'} END"
+    more = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    return f"""least(
+        {{'c': a{state}.c + 4, 'e': 'D' || a{state}.e, 't': a{state}.t}},
+        CASE WHEN fault IN ('', 'truncated') THEN {{'c': a{fits}.c + 3 + {more}, 'e': 'R' || a{fits}.e, 't': list_prepend('{turn}:' || text, a{fits}.t)}} END,
+        CASE WHEN fault IN ('', 'truncated') AND ({keeps}) IS NOT NULL
+             THEN {{'c': ({keeps}).c + {more}, 'e': 'K' || ({keeps}).e, 't': list_prepend(role || ':' || text, ({keeps}).t)}} END)"""
+
+
+@query(
+    "op13_conversations",
+    rf"""
+    WITH RECURSIVE {_CRC_SQL.split("ids AS")[0].rstrip().rstrip(",")},
+    keyed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+    kinds AS (
+        SELECT DISTINCT k, (4294967295 - list_reduce(
+            list_concat([4294967295], list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind
+        FROM keyed, crcs),
+    said AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+        FROM keyed JOIN kinds USING (k)),
+    placed AS (
+        SELECT conv_id, turn, role, text, substr(role, 1, 1) AS first,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again,
+               right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+        FROM said),
+    facts AS (
+        SELECT *, lag(first) OVER (PARTITION BY conv_id ORDER BY i) || first AS pair,
+               CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+        FROM placed),
+    counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+               count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+               count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM facts GROUP BY conv_id),
+    rest(conv_id, i, a0, a1, a2, a3) AS (
+        SELECT conv_id, n::BIGINT, {{'c': 0::BIGINT, 'e': '', 't': []::VARCHAR[]}}, {{'c': 6::BIGINT, 'e': 'II', 't': ['user:', 'assistant:']}},
+               {{'c': 3::BIGINT, 'e': 'I', 't': ['assistant:']}}, {{'c': 0::BIGINT, 'e': '', 't': []::VARCHAR[]}}
+        FROM counts
+        UNION ALL
+        SELECT conv_id, i - 1, {", ".join(_least_sql(s, "o") for s in range(4))}
+        FROM (SELECT *, {", ".join(f"{_least_sql(s, 'b')} AS o{s}" for s in range(4))}
+              FROM (SELECT r.conv_id, r.i, {", ".join(f"{_least_sql(s, 'row')} AS b{s}" for s in range(4))}
+                    FROM rest r JOIN facts f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i) x) y)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+           coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(a0.c, 0)::BIGINT AS cost,
+           coalesce(a0.e, '') AS audit, sha256(coalesce(array_to_string(a0.t, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN rest r ON r.conv_id IS NOT DISTINCT FROM o.conv_id AND r.i = 0
+    """,
+)
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report, repaired = repair(damaged_conversations(rows))
+    keyed = F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("_key")
+    every = rows.select("conv_id").distinct().select("conv_id", keyed)
+    found = every.join(report.select(keyed, *[c for c in report.columns if c != "conv_id"]), "_key", "left").join(_joined_digests(repaired), "_key", "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
