@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,6 @@ from ..functions import pagearrays as pa
 from ..functions.binding import let
 from ..functions.constants import GRID_SIZE, OVERLAP_THRESHOLD, PATCH_SIZE
 from .pages import CHECK, IDX, PAGE_LIMIT, SID, by_page_size, cut, node_rows, page_rows
-from .ranks import rank_within
 
 EDGES = ("x1", "y1", "x2", "y2")
 
@@ -125,7 +122,8 @@ def parent_by_containment(
     """Parent = smallest box around the node's box, lowest index on ties, -1 without one.
 
     ``strict`` nests equal areas only under a lower index and so yields a forest;
-    ``reference`` excludes only the node itself, so identical boxes hold each other.
+    ``reference`` excludes only the node itself, so identical boxes hold each other.  A box with
+    a null edge, or with its edges in the wrong order, neither holds others nor lies in one.
     """
 
     def small(part: DataFrame) -> DataFrame:
@@ -139,111 +137,59 @@ def parent_by_containment(
     return by_page_size(nodes, small, large, page_limit, large_ids)
 
 
-def _ranks(boxes: DataFrame) -> tuple[DataFrame, int]:
-    """Boxes with whole-number coordinates that keep the order, and the largest of them."""
-    edge = F.array(*EDGES)
-    whole, low, high = boxes.agg(
-        F.bool_and(F.forall(edge, lambda v: v == F.floor(v))),
-        F.min(F.array_min(edge)),
-        F.max(F.array_max(edge)),
-    ).first()
-    if whole and low >= 0 and high < 1 << 12:
-        return boxes.select("*", *[F.col(e).cast("long").alias(f"r_{e}") for e in EDGES]), int(high)
-    for e in EDGES:
-        values = rank_within(boxes.select(SID, e).distinct(), [SID], [e], f"r_{e}", spread=True)
-        boxes = boxes.join(values, [SID, e])
-    boxes = cut(boxes)
-    top = boxes.agg(F.max(F.greatest(*[f"r_{e}" for e in EDGES]))).first()[0]
-    return boxes, int(top)
+_LEVELS = (-16, 40)
+
+
+def _level(extent: Column) -> Column:
+    """The power of two that an extent fits in."""
+    low, high = _LEVELS
+    fitted = F.ceil(F.log2(extent)).cast("int")
+    return F.when(extent > 0, F.least(F.greatest(fitted, F.lit(low)), F.lit(high))).otherwise(low)
+
+
+def _cell(edge: Column, level: Column) -> Column:
+    return F.floor(edge / F.pow(F.lit(2.0), level)).cast("long")
 
 
 def _large_containers(nodes: DataFrame, mode: str, out: str) -> DataFrame:
-    """Smallest container without comparing boxes pairwise.
-
-    For two ranks a and b, a ≤ b holds either because they are equal or because of exactly
-    one bit that is 0 in a and 1 in b below equal leading bits.  So an outer box lists, per edge,
-    its own rank and the leading bits of its 0 bits; an inner box lists its rank and the leading
-    bits of its 1 bits.  Boxes that list the same entry on all four edges contain one another, and
-    every containing pair meets in exactly one entry.  Entries are aggregated to their best box
-    before the join, so a hot entry is one row on the outer side.
+    """Smallest container through grids whose cells fit the boxes.
+
+    A box belongs to the grid whose cells are as wide and as high as the next powers of two of its
+    width and height, and touches at most four of its cells.  A box around another one lies in a grid
+    with cells at least as wide and high and touches the cell with the other's top left corner, so a
+    box asks one cell of each such grid that its page has.  A pair thus meets once at most, and the
+    boxes met are those that overlap a cell of their own size around the corner.  Identical boxes ask
+    nothing of one another; the lowest index (and the second, in reference mode) stands for them.
     """
-    boxes = nodes.groupBy(SID, *EDGES).agg(
-        F.min(IDX).alias("first"), F.count("*").alias("copies")
-    )
+    whole = (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2"))
+    levels = [_level(F.col("x2") - F.col("x1")).alias("kx"), _level(F.col("y2") - F.col("y1")).alias("ky")]
+    proper = nodes.where(whole).select(SID, IDX, *EDGES)
+    lowest = F.min(IDX).alias("first")
+    outer = proper.groupBy(SID, *EDGES).agg(lowest)
     if mode == "reference":
-        second = (
-            nodes.join(boxes.where("copies > 1").select(SID, *EDGES, "first"), [SID, *EDGES])
-            .where(F.col(IDX) > F.col("first"))
-            .groupBy(SID, *EDGES)
-            .agg(F.min(IDX).alias("second"))
-        )
-        boxes = boxes.join(second, [SID, *EDGES], "left")
-    else:
-        boxes = boxes.withColumn("second", F.lit(None).cast("int"))
-    boxes = cut(boxes.withColumn("area", g.box_area(g.box())))
-    ranked, top = _ranks(boxes)
-    bits = max(1, math.ceil(math.log2(top + 1)))
-
-    def entries(rank: Column, bit: int) -> Column:
-        listed = [
-            F.when(F.shiftright(rank, k).bitwiseAND(F.lit(1)) == bit,
-                   F.lit((k + 1) << 40) + F.shiftright(rank, k + 1))
-            for k in range(bits)
-        ]
-        return F.array_compact(F.array(rank, *listed))
-
-    def listed(df: DataFrame, bit: int, *columns: str) -> DataFrame:
-        for e in EDGES:
-            # right and bottom edges count from the other end
-            rank = F.col(f"r_{e}") if e in ("x1", "y1") else F.lit(top) - F.col(f"r_{e}")
-            df = df.withColumn(f"k_{e}", F.explode(entries(rank, bit)))
-        return df.select(SID, *[f"k_{e}" for e in EDGES], *columns)
-
-    keys = [SID, *[f"k_{e}" for e in EDGES]]
-    flat = F.col("area") == 0
-    outer = listed(ranked, 0, "area", "first", "second")
-    best = outer.groupBy(*keys).agg(
-        F.min(F.when(~flat, F.struct("area", "first"))).alias("best"),
-        F.min(F.when(flat, F.col("first"))).alias("flat_1"),
-    )
-    if mode == "reference":
-        flat_rows = outer.where(flat).select(
-            *keys, F.explode(F.array_compact(F.array("first", "second"))).alias("at")
-        )
-        next_flat = (
-            flat_rows.join(best.select(*keys, "flat_1"), keys)
-            .where(F.col("at") > F.col("flat_1"))
-            .groupBy(*keys)
-            .agg(F.min("at").alias("flat_2"))
-        )
-        best = best.join(next_flat, keys, "left")
-    else:
-        best = best.withColumn("flat_2", F.lit(None).cast("int"))
-
-    inner = listed(ranked, 1, *EDGES)
-    # a box with an area meets itself in the entry made of its own four ranks only
-    own = F.lit(True)
-    for e in EDGES:
-        own = own & (F.col(f"k_{e}") < F.lit(1 << 40))
-    met = inner.join(best, keys).groupBy(SID, *EDGES).agg(
-        F.min(F.when(~own, F.col("best"))).alias("best"),
-        F.array_sort(F.array_compact(F.flatten(F.array(
-            F.collect_set("flat_1"), F.collect_set("flat_2"))))).alias("flat"),
-    )
-    placed = boxes.join(met, [SID, *EDGES], "left")
-    same_1 = F.when(flat, F.get("flat", F.lit(0))).otherwise(F.col("first"))
-    same_2 = F.when(flat, F.get("flat", F.lit(1))).otherwise(F.col("second"))
-    per_box = placed.select(
-        SID, *EDGES, same_1.alias("same_1"), same_2.alias("same_2"), F.col("best.first").alias("best")
+        others = proper.join(outer, [SID, *EDGES]).where(F.col(IDX) > F.col("first"))
+        outer = outer.unionByName(others.groupBy(SID, *EDGES).agg(lowest))
+    outer = cut(outer.select(SID, *EDGES, "first", g.box_area(g.box()).alias("area"), *levels))
+    grids = outer.groupBy(SID).agg(F.collect_set(F.struct("kx", "ky")).alias("_grids"))
+
+    def listed(axis: str) -> Column:
+        return F.explode(F.sequence(*[_cell(F.col(f"{axis}{i}"), F.col(f"k{axis}")) for i in (1, 2)])).alias(f"c{axis}")
+
+    cells = outer.select("*", listed("x")).select("*", listed("y")).select(
+        SID, "kx", "ky", "cx", "cy", F.col("first").alias("_idx"), F.col("area").alias("_area"), *[F.col(e).alias(f"_{e}") for e in EDGES]
     )
-    best_or_root = F.coalesce("best", F.lit(-1))
+    asked = proper.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(levels)]).join(grids, SID)
+    asked = asked.select(
+        SID, IDX, *EDGES, F.inline(F.filter("_grids", lambda k: (k["kx"] >= F.col("_k0")) & (k["ky"] >= F.col("_k1"))))
+    ).withColumns({"cx": _cell(F.col("x1"), F.col("kx")), "cy": _cell(F.col("y1"), F.col("ky"))})
+    area = g.box_area(g.box())
     if mode == "reference":
-        found = F.when(F.col("same_1") != F.col(IDX), F.col("same_1")).otherwise(
-            F.coalesce("same_2", best_or_root)
-        )
+        allowed = F.col("_idx") != F.col(IDX)
     else:
-        found = F.when(F.col("same_1") < F.col(IDX), F.col("same_1")).otherwise(best_or_root)
-    return nodes.join(per_box, [SID, *EDGES]).select(SID, IDX, found.cast("int").alias(out))
+        allowed = (F.col("_area") > area) | ((F.col("_area") == area) & (F.col("_idx") < F.col(IDX)))
+    met = asked.join(cells, [SID, "kx", "ky", "cx", "cy"]).where(g.contains(g.box("_"), g.box()) & allowed)
+    best = met.groupBy(SID, IDX).agg(F.min(F.struct("_area", "_idx"))["_idx"].cast("int").alias(out))
+    return nodes.select(SID, IDX).join(best, [SID, IDX], "left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
 # ---------------------------------------------------------------- choosing a structure

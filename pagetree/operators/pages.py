@@ -9,9 +9,10 @@ aggregations instead.  ``by_page_size`` measures the pages and picks the way for
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SID, IDX = "sample_id", "node_idx"
@@ -20,17 +21,31 @@ BROADCAST_IDS = 100_000
 CHECK = object()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path below ``spark.checkpoint.dir``, deleted when the session's JVM ends.
+
+    Only a session on the local master may leave that setting out; it then gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/pages-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder the cluster names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Cut the lineage: write the table to the shared folder and read it again.
+
+    Unlike a checkpoint, whose size estimate is that of the plan before it and grows from round to
+    round, the table has its real size, by which joins are planned.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def large_page_ids(nodes: DataFrame, page_limit: int = PAGE_LIMIT) -> DataFrame | None:

@@ -45,6 +45,7 @@ def climb(state: DataFrame, merge: dict[str, Callable], stop: str | None = None)
     is written out, so a lost executor costs one round.
     """
     state = cut(state)
+    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     largest = state.groupBy(SID).count().agg(F.max("count")).first()[0] or 1
     moves = F.col("up") >= 0
     if stop:
@@ -65,7 +66,8 @@ def climb(state: DataFrame, merge: dict[str, Callable], stop: str | None = None)
             *([F.col(f"_{stop}").alias(stop)] if stop else []),
             *[fn(F.col(c), F.col(f"_{c}")).alias(c) for c, fn in merge.items()],
         )
-        state = cut(state.where(~moves).unionByName(moved))
+        # joins that keep their partitions would double the number of these in each round
+        state = cut(state.where(~moves).unionByName(moved).coalesce(parts))
     return state
 
 
@@ -255,30 +257,75 @@ def subtree_size(
         )
 
     def large(part: DataFrame) -> DataFrame:
-        # s holds the descendants within reach; a round adds those of the nodes 2^k below
-        state = cut(valid_links(part, parent, "up").withColumn("s", F.lit(1).cast("long")))
-        largest = state.groupBy(SID).count().agg(F.max("count")).first()[0] or 1
-        for _ in range(math.ceil(math.log2(largest + 1)) + 1):
-            moving = state.where(F.col("up") >= 0)
-            if moving.isEmpty():
-                break
-            gained = moving.groupBy(SID, F.col("up").alias(IDX)).agg(F.sum("s").alias("_gain"))
-            above = state.select(SID, F.col(IDX).alias("up"), F.col("up").alias("_up"))
-            state = cut(
-                state.join(gained, [SID, IDX], "left")
-                .join(above, [SID, "up"], "left")
-                .select(
-                    SID,
-                    IDX,
-                    F.coalesce("_up", F.lit(-1)).alias("up"),
-                    (F.col("s") + F.coalesce("_gain", F.lit(0))).alias("s"),
-                )
-            )
-        return state.where(F.col("up") < 0).select(SID, IDX, F.col("s").alias("subtree_size"))
+        return _large_sizes(cut(valid_links(part, parent, "up")))
 
     return by_page_size(narrow, small, large, page_limit, large_ids)
 
 
+def _large_sizes(links: DataFrame) -> DataFrame:
+    """(sample_id, node_idx, subtree_size) of the nodes off cycles from (sample_id, node_idx, up).
+
+    ``s`` holds the descendants within reach; a round adds those of the nodes 2^k below.
+    """
+    state = cut(links.withColumn("s", F.lit(1).cast("long")))
+    largest = state.groupBy(SID).count().agg(F.max("count")).first()[0] or 1
+    for _ in range(math.ceil(math.log2(largest + 1)) + 1):
+        moving = state.where(F.col("up") >= 0)
+        if moving.isEmpty():
+            break
+        gained = moving.groupBy(SID, F.col("up").alias(IDX)).agg(F.sum("s").alias("_gain"))
+        above = state.select(SID, F.col(IDX).alias("up"), F.col("up").alias("_up"))
+        state = cut(
+            state.join(gained, [SID, IDX], "left")
+            .join(above, [SID, "up"], "left")
+            .select(
+                SID,
+                IDX,
+                F.coalesce("_up", F.lit(-1)).alias("up"),
+                (F.col("s") + F.coalesce("_gain", F.lit(0))).alias("s"),
+            )
+        )
+    return state.where(F.col("up") < 0).select(SID, IDX, F.col("s").alias("subtree_size"))
+
+
+_STRETCH = 1 << 16
+
+
+def _sum_before(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows of the same keys with a lower ``order``.
+
+    A key may hold most of the rows: sums are taken inside stretches of 65,536 places, and over the
+    sums of the stretches before.
+    """
+    rows = df.withColumn("_stretch", F.floor(F.col(order) / _STRETCH))
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = rows.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum")).select(
+        *keys, "_stretch", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
+    )
+    own = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return rows.withColumn("_own", own).join(stretches, [*keys, "_stretch"]).withColumn(
+        out, F.col("_own") + F.col("_before")
+    ).drop("_own", "_before", "_stretch")
+
+
+def preorder(nodes: DataFrame, parent: str = PARENT) -> DataFrame:
+    """(sample_id, node_idx, depth, preorder) of the nodes that a root reaches, in pages of any size.
+
+    A node's number is that of its parent plus one plus the sizes of its earlier siblings' subtrees.
+    Sizes are summed upwards by doubling, the siblings' sizes once, and the steps along each node's
+    ancestors by doubling again: about twice the logarithm of the longest chain in rounds.  Among the
+    nodes of one depth, preorder is breadth-first order.
+    """
+    links = cut(valid_links(nodes, parent, "up"))
+    sized = links.join(_large_sizes(links), [SID, IDX])
+    step = _sum_before(sized, [SID, "up"], IDX, "subtree_size", "before")
+    below = (F.col("up") >= 0).cast("int")
+    start = step.select(SID, IDX, "up", (F.col("before") + below).alias("w"), below.alias("d"))
+    add = lambda a, b: a + b
+    return climb(start, {"w": add, "d": add}).select(SID, IDX, F.col("d").alias("depth"), F.col("w").alias("preorder"))
+
+
 def tree_size(nodes: DataFrame) -> DataFrame:
     """Nodes per page plus the virtual root."""
     return nodes.groupBy(SID).agg((F.count("*") + 1).alias("tree_size"))
@@ -288,38 +335,14 @@ def tree_size(nodes: DataFrame) -> DataFrame:
 
 
 def _large_bfs(nodes: DataFrame, parent: str, max_nodes: int) -> DataFrame:
-    """First nodes in breadth-first order, level by level.
+    """First nodes in breadth-first order: depth, then preorder.
 
-    At most ``max_nodes`` rows per page stay, and the rank filter on each level is applied before
-    the shuffle, so a level never moves more than that per page and task.
+    The rank limit is applied before the shuffle as well, so a task sends at most ``max_nodes`` rows
+    of a page.
     """
-    linked = cut(valid_links(nodes, parent))
-    first = Window.partitionBy(SID).orderBy(IDX)
-    level = cut(
-        linked.where(F.col("link") < 0)
-        .withColumn("_r", F.row_number().over(first))
-        .where(F.col("_r") <= max_nodes)
-        .select(SID, IDX, (F.col("_r") - 1).alias("rank"))
-    )
-    kept = level
-    while True:
-        # ranks of the next level go on from the page's count so far
-        counts = kept.groupBy(SID).agg(F.count("*").alias("_n")).where(F.col("_n") < max_nodes)
-        above = level.join(counts, SID).select(
-            SID, F.col(IDX).alias("link"), F.col("rank").alias("_pr"), "_n"
-        )
-        order = Window.partitionBy(SID).orderBy("_pr", IDX)
-        level = cut(
-            linked.join(above, [SID, "link"])
-            .withColumn("_r", F.row_number().over(order))
-            .where(F.col("_r") <= max_nodes)
-            .withColumn("rank", F.col("_n") + F.col("_r") - 1)
-            .where(F.col("rank") < max_nodes)
-            .select(SID, IDX, F.col("rank").cast("int").alias("rank"))
-        )
-        if level.isEmpty():
-            return kept
-        kept = cut(kept.unionByName(level))
+    order = Window.partitionBy(SID).orderBy("depth", "preorder")
+    ranked = preorder(nodes, parent).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_nodes)
+    return ranked.select(SID, IDX, (F.col("_r") - 1).alias("rank"))
 
 
 def bfs_truncate(
@@ -395,27 +418,6 @@ def reindex_parents(nodes: DataFrame, kept: DataFrame, parent: str = PARENT, **s
 # ---------------------------------------------------------------- layout
 
 
-def _large_layers(nodes: DataFrame, parent: str) -> DataFrame:
-    """(sample_id, node_idx, depth, rank): place in its layer, level by level."""
-    linked = cut(valid_links(nodes, parent))
-    level = cut(
-        rank_within(linked.where(F.col("link") < 0).select(SID, IDX), [SID], [IDX], "rank", True)
-    ).withColumn("depth", F.lit(0))
-    layers, depth = level, 0
-    while True:
-        depth += 1
-        above = level.select(SID, F.col(IDX).alias("link"), F.col("rank").alias("_pr"))
-        found = linked.join(above, [SID, "link"]).select(SID, IDX, "_pr")
-        level = cut(
-            rank_within(found, [SID], ["_pr", IDX], "rank", True)
-            .select(SID, IDX, "rank")
-            .withColumn("depth", F.lit(depth))
-        )
-        if level.isEmpty():
-            return layers
-        layers = layers.unionByName(level)
-
-
 def tree_layout(
     nodes: DataFrame, parent: str = PARENT, page_limit: int = PAGE_LIMIT, large_ids=CHECK
 ) -> DataFrame:
@@ -451,7 +453,7 @@ def tree_layout(
         )
 
     def large(part: DataFrame) -> DataFrame:
-        return place(_large_layers(part, parent))
+        return place(rank_within(preorder(part, parent), [SID, "depth"], ["preorder"], "rank", spread=True))
 
     return by_page_size(narrow, small, large, page_limit, large_ids)
 

@@ -2,8 +2,6 @@
 
 The nodes of a supplier's lines make a page of about 600.  ``_wide`` gathers such a page into a row;
 ``_wide_split`` has it treated as a page too large for that.  Both are checked against one SQL.
-Containment has no split query: random boxes of this size make its entries outgrow a test session
-(tests compare both ways on fewer boxes).
 """
 
 from __future__ import annotations
@@ -13,7 +11,8 @@ from . import tables as t
 from .registry import ORACLE, QUERIES, query
 
 NAMES = (
-    "tree_depth_raw", "sibling_index", "subtree_size", "bfs_truncate", "tree_edit_distance", "parent_by_containment", "nearest_kept_ancestor",
+    "tree_depth_raw", "sibling_index", "subtree_size", "bfs_truncate", "tree_layout", "tree_edit_distance", "parent_by_containment",
+    "parent_by_containment_reference", "nearest_kept_ancestor",
 )
 
 
@@ -30,5 +29,4 @@ def _register(name: str, suffix: str, limit: int) -> None:
 
 for _name in NAMES:
     _register(_name, "_wide", 2048)
-    if _name != "parent_by_containment":
-        _register(_name, "_wide_split", 100)
+    _register(_name, "_wide_split", 100)

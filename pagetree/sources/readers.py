@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..functions.binding import let
 from ..functions.geometry import scale_box
 from ..functions.style import STYLE_SCHEMA
 
@@ -88,52 +89,91 @@ def read_meta(spark: SparkSession, path: str, name: str = "meta.json") -> DataFr
     )
 
 
-_BOX_LEVEL = "type string, content string, style string, bbox array<double>, children array<string>"
+def _nesting(text: Column) -> Column:
+    """How deep the arrays of a JSON text are nested: a bound on the depth of its tree."""
+    quoted = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
+    brackets = F.split(F.regexp_replace(quoted, r"[^\[\]]", ""), "")
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
+
+
+def _flat_tree(tree: Column, depth: Column) -> Column:
+    """Nodes of a VARIANT tree, level by level: path (positions from the root), place of the parent
+    in this list (-1 for the root) and fields.
+
+    The tree is parsed once; a level holds its nodes as VARIANT values, and the next one their
+    children.
+    """
+    def entry(path: Column, up: Column, node: Column) -> Column:
+        return F.struct(path.alias("path"), up.alias("up"), node.alias("node"))
+
+    def typed(n: Column) -> Column:
+        return F.try_variant_get(n["node"], "$.type", "string").isNotNull()
+
+    def below(n: Column) -> Column:
+        children = F.coalesce(F.try_variant_get(n["node"], "$.children", "array<variant>"), F.array().cast("array<variant>"))
+        return F.filter(F.transform(children, lambda c, i: entry(F.concat(n["path"], F.array(i)), n["at"], c)), typed)
+
+    def placed(entries: Column, count: Column) -> Column:
+        return F.transform(entries, lambda n, i: F.struct((count + i).alias("at"), n["path"], n["up"], n["node"]))
+
+    def facts(n: Column) -> Column:
+        texts = [F.try_variant_get(n["node"], f"$.{f}", "string").alias(f) for f in ("type", "content", "style")]
+        return F.struct(n["path"], n["up"], *texts, F.try_variant_get(n["node"], "$.bbox", "array<double>").alias("bbox"))
+
+    def state(level: Column, count: Column, found: Column) -> Column:
+        return F.struct(level.alias("level"), (count + F.size(level)).alias("count"), F.concat(found, F.array(F.transform(level, facts))).alias("found"))
+
+    root = placed(F.filter(F.array(entry(F.array(F.lit(0)), F.lit(-1), tree)), typed), F.lit(0))
+    nothing = F.filter(F.array(F.transform(root, facts)), lambda _: F.lit(False))
+
+    def step(s: Column, _: Column) -> Column:
+        following = placed(F.flatten(F.transform(s["level"], below)), s["count"])
+        return let(following, lambda level: state(level, s["count"], s["found"]))
+
+    return F.aggregate(F.sequence(F.lit(0), depth), state(root, F.lit(0), nothing), step, lambda s: F.flatten(s["found"]))
+
+
+def _in_document_order(found: Column) -> Column:
+    """The same nodes sorted by their paths, with node_idx and parent_idx."""
+    def indexed(order: Column) -> Column:
+        places = F.array_sort(F.transform(order, lambda o, i: F.struct(o["at"].alias("at"), i.alias("idx"))))
+
+        def node(o: Column, i: Column, idx_of: Column) -> Column:
+            n = F.get(found, o["at"])
+            parent = F.when(n["up"] < 0, F.lit(-1)).otherwise(F.get(idx_of, n["up"]))
+            return F.struct(i.alias(IDX), parent.alias("parent_idx"), n["type"], n["content"], n["style"], n["bbox"])
+
+        return let(places["idx"], lambda idx_of: F.transform(order, lambda o, i: node(o, i, idx_of)))
+
+    return let(F.array_sort(F.transform(found, lambda n, i: F.struct(n["path"].alias("path"), i.alias("at")))), indexed)
 
 
 def explode_bbox_tree(meta: DataFrame) -> DataFrame:
     """Nested box trees to flat nodes in document order.
 
-    One level per round: a node's children stay JSON text until their own level is read.  ``path``
-    (positions from the root) restores document order, and a node's parent is the path without
-    its last step.  Each level is written out; the rounds end with the deepest page.
+    A tree is one text of one row, so it is taken apart inside the row: no job or shuffle per level.
+    Sorting the nodes by their paths restores document order.  Children of a node without a type
+    are left out with it; a text that is no JSON has no nodes.
     """
-    from ..operators.pages import cut
-    from ..operators.ranks import rank_within
-
-    level = meta.where(F.col("bbox").isNotNull() & (F.col("bbox") != "")).select(
-        SID, F.array(F.lit(0)).alias("path"), F.col("bbox").alias("doc")
+    trees = meta.where(F.col("bbox").isNotNull() & (F.col("bbox") != "")).select(
+        SID, _flat_tree(F.try_parse_json("bbox"), _nesting(F.col("bbox"))).alias("_found")
     )
-    levels = None
-    while True:
-        node = F.from_json("doc", _BOX_LEVEL)
-        read = cut(level.select(SID, "path", node.alias("n")).where(F.col("n.type").isNotNull()))
-        levels = read if levels is None else levels.unionByName(read)
-        if read.isEmpty():
-            break
-        level = read.select(SID, "path", F.posexplode("n.children").alias("at", "doc")).select(
-            SID, F.concat("path", F.array("at")).alias("path"), "doc"
-        )
-    ordered = rank_within(levels.select(SID, "path"), [SID], ["path"], "r", spread=True).select(
-        SID, "path", F.col("r").cast("int").alias(IDX)
-    )
-    above = ordered.select(SID, F.col("path").alias("_up"), F.col(IDX).alias("parent_idx"))
-    box = F.col("n.bbox")
-    corner = [F.get(box, F.lit(i)) for i in range(4)]
+    rows = trees.select(SID, F.inline(_in_document_order(F.col("_found"))))
+    corner = [F.get("bbox", F.lit(i)) for i in range(4)]
     edges = scale_box((corner[0], corner[1], corner[0] + corner[2], corner[1] + corner[3]))
-    return (
-        levels.join(ordered, [SID, "path"])
-        .withColumn("_up", F.slice("path", 1, F.size("path") - 1))
-        .join(above, [SID, "_up"], "left")
-        .select(
-            SID,
-            IDX,
-            F.coalesce("parent_idx", F.lit(-1)).alias("parent_idx"),
-            F.col("n.type").alias("tag"),
-            F.col("n.content").alias("inner_text"),
-            F.col("n.style").alias("inline_style"),
-            *[e.alias(c) for c, e in zip(("x1", "y1", "x2", "y2"), edges)],
-        )
+    return rows.select(
+        SID,
+        IDX,
+        "parent_idx",
+        F.col("type").alias("tag"),
+        F.col("content").alias("inner_text"),
+        F.col("style").alias("inline_style"),
+        *[e.alias(c) for c, e in zip(("x1", "y1", "x2", "y2"), edges)],
     )
 
 

@@ -18,6 +18,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.driver.bindAddress": "127.0.0.1",
+            "spark.driver.host": "127.0.0.1",
         },
     )
     s.sparkContext.setLogLevel("ERROR")

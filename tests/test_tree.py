@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetree.operators import metrics, tree
+from pagetree.operators.pages import cut as pages_cut
 
 SCHEMA = "sample_id int, node_idx int, parent_idx int, pred_parent int, keep boolean"
 # 10000: every page is gathered; 12: larger pages go through joins; 0: all pages do
@@ -208,3 +209,39 @@ def test_root_nodes_and_gaps(spark):
     for limit in (100, 2):
         got = tree.tree_depth(nodes, page_limit=limit)
         assert collect(got, "node_idx", "depth") == {(0, 0), (2, 1), (3, 0), (7, 2)}
+
+
+def test_preorder_of_long_and_broad_pages(spark, monkeypatch):
+    """A chain of 4,000 nodes, whose numbers run down its steps, and a star of 70,000, whose siblings
+    follow each other across stretches of 65,536 places; rounds grow with the logarithm."""
+    rounds = []
+    monkeypatch.setattr(tree, "cut", lambda df: rounds.append(1) or pages_cut(df))
+    chain = spark.range(4000).selectExpr("0 AS sample_id", "CAST(id AS INT) AS node_idx", "CAST(IF(id = 3999, -1, id + 1) AS INT) AS parent_idx")
+    star = spark.range(70_000).selectExpr("1 AS sample_id", "CAST(id AS INT) AS node_idx", "CAST(IF(id = 5, -1, 5) AS INT) AS parent_idx")
+    found = tree.preorder(chain.union(star)).cache()
+    assert found.where("sample_id = 0 AND depth = 3999 - node_idx AND preorder = depth").count() == 4000
+    assert found.where("sample_id = 1 AND depth = CAST(node_idx <> 5 AS INT)").count() == 70_000
+    assert found.where("sample_id = 1 AND preorder = IF(node_idx = 5, 0, IF(node_idx < 5, node_idx + 1, node_idx))").count() == 70_000
+    assert len(rounds) <= 2 * 13 + 4
+
+
+def test_cut_of_a_chain(spark):
+    chain = spark.range(300).selectExpr("0 AS sample_id", "CAST(id AS INT) AS node_idx", "CAST(IF(id = 299, -1, id + 1) AS INT) AS parent_idx")
+    cut = tree.bfs_truncate(chain, 3, page_limit=3)
+    assert collect(cut, "node_idx", "new_idx", "new_parent") == {(299, 0, -1), (298, 1, 0), (297, 2, 1)}
+
+
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_preorder_against_a_walk(spark, cyclic):
+    made = pages(9, 12, cyclic)
+    df = spark.createDataFrame([r for rows in made.values() for r in rows], SCHEMA)
+    want = set()
+    for s, rows in made.items():
+        parents, number = parents_of(rows), 0
+        stack = [(i, 0) for i in reversed(range(len(rows))) if parents[i] < 0]
+        while stack:
+            i, depth = stack.pop()
+            want.add((s, i, depth, number))
+            number += 1
+            stack += [(c, depth + 1) for c in reversed(range(len(rows))) if parents[c] == i]
+    assert collect(tree.preorder(df), "sample_id", "node_idx", "depth", "preorder") == want
