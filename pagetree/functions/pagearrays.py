@@ -137,42 +137,3 @@ def breadth_first(paths_: Column) -> Column:
     keyed = F.transform(paths_, lambda p: F.struct(F.size(p).alias("n"), p.alias("path")))
     reached = F.array_sort(F.filter(keyed, lambda k: k["path"].isNotNull()))
     return F.transform(reached, lambda k: F.element_at(k["path"], -1))
-
-
-def containers(boxes: Column, mode: str = "strict") -> Column:
-    """Index of the smallest box around each box, lowest index on ties, -1 without one.
-
-    ``boxes`` is array<struct<node_idx,x1,y1,x2,y2>>.  ``strict`` lets equal areas nest only under
-    a lower index, so no cycle can arise; ``reference`` only excludes the box itself.
-    """
-    by_area = F.array_sort(
-        F.transform(
-            boxes,
-            lambda b: F.struct(
-                ((b["x2"] - b["x1"]) * (b["y2"] - b["y1"])).alias("area"),
-                b["node_idx"].alias("node_idx"),
-                *[b[c].alias(c) for c in ("x1", "y1", "x2", "y2")],
-            ),
-        )
-    )
-
-    def around(o: Column, b: Column) -> Column:
-        inside = (
-            (o["x1"] <= b["x1"]) & (o["y1"] <= b["y1"]) & (o["x2"] >= b["x2"]) & (o["y2"] >= b["y2"])
-        )
-        if mode == "reference":
-            return inside & (o["node_idx"] != b["node_idx"])
-        area = (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
-        return inside & (
-            (o["area"] > area) | ((o["area"] == area) & (o["node_idx"] < b["node_idx"]))
-        )
-
-    return let(
-        by_area,
-        lambda outer: F.transform(
-            boxes,
-            lambda b: F.coalesce(
-                F.get(F.filter(outer, lambda o: around(o, b)), F.lit(0))["node_idx"], F.lit(ROOT)
-            ).cast("int"),
-        ),
-    )

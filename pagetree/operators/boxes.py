@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions import pagearrays as pa
 from ..functions.binding import let
 from ..functions.constants import GRID_SIZE, OVERLAP_THRESHOLD, PATCH_SIZE
-from .pages import CHECK, IDX, PAGE_LIMIT, SID, by_page_size, cut, node_rows, page_rows
+from .pages import CHECK, IDX, PAGE_LIMIT, SID, by_page_size, cut
 
 EDGES = ("x1", "y1", "x2", "y2")
 
@@ -127,8 +126,7 @@ def parent_by_containment(
     """
 
     def small(part: DataFrame) -> DataFrame:
-        staged = page_rows(part).withColumn("found", pa.containers(F.col("page"), mode))
-        return node_rows(staged, **{out: F.col("found")})
+        return _page_containers(part, mode, out)
 
     def large(part: DataFrame) -> DataFrame:
         found = _large_containers(part.select(SID, IDX, *EDGES), mode, out)
@@ -137,6 +135,39 @@ def parent_by_containment(
     return by_page_size(nodes, small, large, page_limit, large_ids)
 
 
+def _allowed(mode: str) -> Column:
+    """Whether the box with ``_`` before its columns may be the parent of the other one."""
+    area = g.box_area(g.box())
+    if mode == "reference":
+        return F.col("_idx") != F.col(IDX)
+    return (F.col("_area") > area) | ((F.col("_area") == area) & (F.col("_idx") < F.col(IDX)))
+
+
+def _whole() -> Column:
+    return (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2"))
+
+
+def _page_containers(nodes: DataFrame, mode: str, out: str) -> DataFrame:
+    """Smallest container inside pages of bounded size.
+
+    The boxes of a page meet in a join on the page; the edges are compared in generated code and only
+    a box and its containers go on, to an aggregation that needs no further shuffle.
+    """
+    outer = nodes.where(_whole()).select(
+        SID, F.col(IDX).alias("_idx"), g.box_area(g.box()).alias("_area"), *[F.col(e).alias(f"_{e}") for e in EDGES]
+    )
+    more = [c for c in nodes.columns if c not in (SID, IDX)]
+    around = g.contains(g.box("_"), g.box()) & _allowed(mode) & _whole()
+    met = nodes.join(outer, SID, "left").withColumn("_in", F.coalesce(around, F.lit(False)))
+    # a page's own box stands for those without a container
+    met = met.where(F.col("_in") | (F.col("_idx") == F.col(IDX)) | F.col("_idx").isNull() | ~F.coalesce(_whole(), F.lit(False)))
+    best = F.min(F.when(F.col("_in"), F.struct("_area", "_idx")))["_idx"]
+    found = met.groupBy(SID, IDX).agg(
+        *([F.first(F.struct(*more)).alias("_row")] if more else []), F.coalesce(best, F.lit(-1)).cast("int").alias(out)
+    )
+    return found.select(SID, IDX, *[F.col(f"_row.{c}").alias(c) for c in more], out)
+
+
 _LEVELS = (-16, 40)
 
 
@@ -161,9 +192,8 @@ def _large_containers(nodes: DataFrame, mode: str, out: str) -> DataFrame:
     boxes met are those that overlap a cell of their own size around the corner.  Identical boxes ask
     nothing of one another; the lowest index (and the second, in reference mode) stands for them.
     """
-    whole = (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2"))
     levels = [_level(F.col("x2") - F.col("x1")).alias("kx"), _level(F.col("y2") - F.col("y1")).alias("ky")]
-    proper = nodes.where(whole).select(SID, IDX, *EDGES)
+    proper = nodes.where(_whole()).select(SID, IDX, *EDGES)
     lowest = F.min(IDX).alias("first")
     outer = proper.groupBy(SID, *EDGES).agg(lowest)
     if mode == "reference":
@@ -182,12 +212,7 @@ def _large_containers(nodes: DataFrame, mode: str, out: str) -> DataFrame:
     asked = asked.select(
         SID, IDX, *EDGES, F.inline(F.filter("_grids", lambda k: (k["kx"] >= F.col("_k0")) & (k["ky"] >= F.col("_k1"))))
     ).withColumns({"cx": _cell(F.col("x1"), F.col("kx")), "cy": _cell(F.col("y1"), F.col("ky"))})
-    area = g.box_area(g.box())
-    if mode == "reference":
-        allowed = F.col("_idx") != F.col(IDX)
-    else:
-        allowed = (F.col("_area") > area) | ((F.col("_area") == area) & (F.col("_idx") < F.col(IDX)))
-    met = asked.join(cells, [SID, "kx", "ky", "cx", "cy"]).where(g.contains(g.box("_"), g.box()) & allowed)
+    met = asked.join(cells, [SID, "kx", "ky", "cx", "cy"]).where(g.contains(g.box("_"), g.box()) & _allowed(mode))
     best = met.groupBy(SID, IDX).agg(F.min(F.struct("_area", "_idx"))["_idx"].cast("int").alias(out))
     return nodes.select(SID, IDX).join(best, [SID, IDX], "left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
