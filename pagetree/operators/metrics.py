@@ -193,6 +193,41 @@ def full_metrics(
     return by_page_size(nodes, small, large, page_limit, large_ids)
 
 
+def structure_metrics(
+    nodes: DataFrame, modes: dict[str, str], gold: str = "gold_parent", page_limit: int = PAGE_LIMIT, large_ids=CHECK
+) -> DataFrame:
+    """(sample_id, mode, parent_p, parent_r, parent_f1, tree_edit): each predicted structure of a page
+    against the true one.
+
+    ``modes`` names a parent column per mode.  A page within the limit is gathered once, with all its
+    structures; the nodes of a larger one are walked once per mode.
+    """
+    def rated(share: Column, edits: Column) -> list[Column]:
+        return [share.alias("parent_p"), share.alias("parent_r"), f1(share, share).alias("parent_f1"), edits.alias("tree_edit")]
+
+    def small(part: DataFrame) -> DataFrame:
+        page = F.sort_array(F.collect_list(F.struct(IDX, F.col(gold).alias("gold"), *[F.col(c).alias(m) for m, c in modes.items()])))
+        shares = [_ratio(_hits(gold, c), F.count("*")).alias(f"_share_{m}") for m, c in modes.items()]
+        grouped = part.groupBy(SID).agg(page.alias("_page"), *shares)
+        linked = grouped.withColumns({f"_{k}": pa.links(F.col("_page")[IDX], F.col("_page")[k]) for k in ("gold", *modes)})
+        each = [
+            F.struct(F.lit(m).alias("mode"), *rated(F.col(f"_share_{m}"), pa.tree_edit_distance(F.col("_gold"), F.col(f"_{m}")).cast("long")))
+            for m in modes
+        ]
+        return linked.select(SID, F.inline(F.array(*each)))
+
+    def large(part: DataFrame) -> DataFrame:
+        found = None
+        for m, c in modes.items():
+            edits = tree_edit_distance(part, gold, c, page_limit=0)
+            share = part.groupBy(SID).agg(_ratio(_hits(gold, c), F.count("*")).alias("_share"))
+            one = share.join(edits, SID).select(SID, F.lit(m).alias("mode"), *rated(F.col("_share"), F.col("tree_edit")))
+            found = one if found is None else found.unionByName(one)
+        return found
+
+    return by_page_size(nodes, small, large, page_limit, large_ids)
+
+
 def macro_average(per_page: DataFrame, *metrics: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean of the per-page values."""
     metrics = metrics or tuple(c for c in per_page.columns if c not in (SID, "n_nodes", *by))

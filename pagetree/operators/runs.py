@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 from ..functions.constants import NO_TOTAL
 
 BUCKET = 1 << 16
+DETAIL_METRICS = (
+    "type_acc", "parent_p", "parent_r", "parent_f1", "tree_edit", "style_reg_mae", "color_de", "cls_textAlign_acc", "cls_display_acc",
+)
 REPORT_METRICS = ("parent_f1", "tree_edit", "style_reg_mae", "color_de")
 
 
@@ -116,6 +119,15 @@ def run_comparison(table: DataFrame) -> DataFrame:
     )
 
 
+def run_details(metrics: DataFrame, names: tuple[str, ...] = DETAIL_METRICS) -> DataFrame:
+    """(run, place, metric, value): the metrics that a run has, in the order of the report, as text
+    with three decimals."""
+    listed = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("metric"), metric(n).alias("_v")) for i, n in enumerate(names)])
+    held = F.filter(listed, lambda m: F.map_contains_key("metrics", m["metric"]))
+    rows = metrics.select("run", F.inline(held))
+    return rows.select("run", "place", "metric", fixed(F.col("_v")).alias("value"))
+
+
 def ablation_grid(metrics: DataFrame, baseline: str) -> DataFrame:
     """Difference of every run's metrics from the baseline run's (one row per metric name).
 

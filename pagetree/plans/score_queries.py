@@ -282,6 +282,40 @@ def heuristic_evaluation(spark, sf_dir):
     return mean
 
 
+MODES = {"model": "model_parent", "heuristic": "box_parent", "hybrid": "hybrid_parent"}
+SQL_MODES = f"""{t.SQL_DECODED}, {SQL_STRICT},
+picked AS (
+SELECT n.sample_id, n.node_idx, n.gold_parent, model_parent, box_parent,
+  CASE WHEN confidence >= 0.3 THEN model_parent ELSE box_parent END AS hybrid_parent
+FROM nodes n JOIN decoded USING (sample_id, node_idx) JOIN sure USING (sample_id, node_idx) JOIN boxed USING (sample_id, node_idx)),
+sides AS MATERIALIZED (
+{" UNION ALL ".join(f"SELECT '{m}:' || sample_id AS sample_id, sample_id AS page, '{m}' AS mode, node_idx, gold_parent, {c} AS pred_parent FROM picked" for m, c in MODES.items())}),
+{SQL_TED.replace('FROM nodes', 'FROM sides').replace('nodes n', 'sides n')},
+prf AS (SELECT sample_id, page, mode, avg((gold_parent = pred_parent)::INT) AS parent_p FROM sides GROUP BY ALL),
+n_train AS (SELECT floor(count(DISTINCT sample_id) * 0.85::DOUBLE) AS k FROM nodes),
+split AS (
+SELECT sample_id AS page, CASE WHEN row_number() OVER (ORDER BY sample_id) <= (SELECT k FROM n_train) THEN 'train' ELSE 'val' END AS split
+FROM (SELECT DISTINCT sample_id FROM nodes))"""
+
+
+@query("structure_evaluation", f"""{WITH}, {SQL_MODES}
+SELECT mode, split, round(avg(parent_p), 6) AS parent_p, round(avg(parent_p), 6) AS parent_r, round(avg(parent_p), 6) AS parent_f1,
+  round(avg(tree_edit), 6) AS tree_edit, count(*) AS n_pages
+FROM prf JOIN ted USING (sample_id) JOIN split USING (page) GROUP BY mode, split""")
+def structure_evaluation(spark, sf_dir):
+    """Model, heuristic and hybrid structures against the truth, averaged per page, for each split."""
+    from ..operators.dataset import prefix_split
+
+    sizes = t.page_sizes(spark, sf_dir)
+    both = decode.hybrid_rows(t.score_rows(spark, sf_dir), t.types(spark, sf_dir), _boxed(spark, sf_dir), out="hybrid_parent")
+    gold = t.nodes(spark, sf_dir).select(SID, IDX, "gold_parent")
+    per_page = metrics.structure_metrics(gold.join(both, [SID, IDX]), MODES, **sizes)
+    split = prefix_split(gold.select(SID).distinct())
+    return per_page.join(split, SID).groupBy("mode", "split").agg(
+        *[r6(F.avg(c), c) for c in ("parent_p", "parent_r", "parent_f1", "tree_edit")], F.count("*").alias("n_pages")
+    )
+
+
 # ---------------------------------------------------------------- losses
 
 SQL_TYPE_CE = f"""{t.SQL_TYPE_SCORES}, type_lse AS (

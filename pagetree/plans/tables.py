@@ -236,20 +236,20 @@ SQL_MASKED = f"""
 allowed AS (
 SELECT s.*, (s.cand_idx < 0 OR (s.cand_idx <> s.node_idx AND t.gold_type NOT BETWEEN 3 AND 6)) AS allowed
 FROM scores s LEFT JOIN nodes t ON t.sample_id = s.sample_id AND t.node_idx = s.cand_idx),
-masked AS (
+masked AS MATERIALIZED (
 SELECT sample_id, node_idx, cand_idx, allowed, CASE WHEN allowed THEN score ELSE -10000.0::DOUBLE END AS score
 FROM allowed)"""
 
 SQL_DECODED = f"""
 {SQL_MASKED},
-best AS (
+best AS MATERIALIZED (
 SELECT sample_id, node_idx, cand_idx AS best FROM (
   SELECT *, row_number() OVER (PARTITION BY sample_id, node_idx
      ORDER BY score DESC, cand_idx < 0, cand_idx) AS k FROM masked) WHERE k = 1),
 hosts AS (
 SELECT b.sample_id, b.node_idx FROM best b JOIN nodes n USING (sample_id, node_idx)
 WHERE b.best < 0 AND n.gold_type NOT BETWEEN 3 AND 6),
-hosted AS (
+hosted AS MATERIALIZED (
 SELECT sample_id, node_idx, cand_idx AS host FROM (
   SELECT m.*, row_number() OVER (PARTITION BY m.sample_id, m.node_idx ORDER BY m.score DESC, m.cand_idx) AS k
   FROM masked m JOIN hosts h ON h.sample_id = m.sample_id AND h.node_idx = m.cand_idx) WHERE k = 1),

@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions.binding import let
 from ..functions.geometry import scale_box
 from ..functions.style import STYLE_SCHEMA
+from ..operators.ranks import rank_within
 
 SID, IDX = "sample_id", "node_idx"
 SAMPLE_KINDS = ("screenshot.png", "nodes", "node_texts.json", "parents", "styles.json")
@@ -53,15 +54,41 @@ def read_page_files(spark: SparkSession, path: str, name: str = "page.html") ->
     return read_files_of(spark, path, name).withColumnRenamed("value", "html")
 
 
+def files_in_order(spark: SparkSession, path: str, name: str = "*.parquet") -> DataFrame:
+    """(file, place, rows): the Parquet files below a folder numbered by name, as the order in which
+    a corpus is read; from their metadata, no page is read."""
+    held = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).parquet(path)
+    files = held.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    return rank_within(files.withColumn("_one", F.lit(1)), ["_one"], ["file"], "place", spread=True).select("file", "place", "rows")
+
+
+def read_pages_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """The corpus with ``place``: the number of each row in the order of files by name and of rows
+    within them, however their splits are packed."""
+    meta = F.col("_metadata")
+    corpus = spark.read.option("recursiveFileLookup", True).parquet(path)
+    placed = corpus.select("*", meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
+    files = files_in_order(spark, path)
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(F.col("file").alias("_file"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_start"))
+    return placed.join(starts, "_file").withColumn("place", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
 def read_node_lists(spark: SparkSession, path: str, name: str = "node_texts.json") -> DataFrame:
     """JSON arrays of node strings to (sample_id, node_idx, node_text)."""
-    files = read_files_of(spark, path, name)
+    return parse_node_lists(read_files_of(spark, path, name))
+
+
+def parse_node_lists(files: DataFrame) -> DataFrame:
     return files.select(SID, F.posexplode(F.from_json("value", "array<string>")).alias(IDX, "node_text"))
 
 
 def read_styles(spark: SparkSession, path: str, name: str = "styles.json") -> DataFrame:
     """JSON arrays of style objects to (sample_id, node_idx, style)."""
-    files = read_files_of(spark, path, name)
+    return parse_styles(read_files_of(spark, path, name))
+
+
+def parse_styles(files: DataFrame) -> DataFrame:
     return files.select(
         SID, F.posexplode(F.from_json("value", T.ArrayType(STYLE_SCHEMA))).alias(IDX, "style")
     )
@@ -70,7 +97,10 @@ def read_styles(spark: SparkSession, path: str, name: str = "styles.json") -> Da
 def read_meta(spark: SparkSession, path: str, name: str = "meta.json") -> DataFrame:
     """Page metadata.  A truncated file gives what can be read and keeps its text in
     ``_corrupt_record``; its box tree is taken from the text where it is whole."""
-    files = read_files_of(spark, path, name)
+    return parse_meta(read_files_of(spark, path, name))
+
+
+def parse_meta(files: DataFrame) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     parsed = files.select(SID, "value", F.from_json("value", META_SCHEMA, options).alias("m"))
     broken = F.col("m._corrupt_record").isNotNull()

@@ -20,6 +20,16 @@ def write_nodes(nodes: DataFrame, path: str, buckets: int = 64, mode: str = "ove
     placed.sortWithinPartitions("bucket", SID, IDX).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
+def save_node_table(nodes: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """Nodes as a catalog table of sorted buckets by page: a page operator on it shuffles nothing.
+
+    One task writes each bucket, so take enough buckets that the largest page fits its bucket well.
+    """
+    placed = nodes.repartition(buckets, SID)
+    stored = placed.write.mode("overwrite").option("path", path).bucketBy(buckets, SID).sortBy(SID, IDX)
+    stored.saveAsTable(table)
+
+
 def write_samples(samples: DataFrame, path: str, mode: str = "append") -> None:
     """Accepted pages: HTML and metadata, one row each."""
     samples.write.mode(mode).parquet(path)

@@ -195,3 +195,16 @@ def test_weighted_total(spark):
 def test_argmax_takes_the_lowest_on_ties(spark):
     df = spark.createDataFrame([(0, 0, [1.0, 3.0, 3.0])], "sample_id int, node_idx int, type_scores array<double>")
     assert decode.argmax_type(df).first().type_idx == 1
+
+
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_structure_metrics(spark, limit):
+    """Each mode as full_metrics has it, gathered in a row or walked as joins."""
+    rnd = random.Random(2)
+    rows = [(s, i, *[rnd.randint(-1, i - 1) for _ in range(3)], 0, 0) for s in range(8) for i in range(rnd.randint(1, 9))]
+    df = spark.createDataFrame(rows, "sample_id int, node_idx int, gold_parent int, a int, b int, gold_type int, pred_type int")
+    columns = ("sample_id", "parent_p", "parent_r", "parent_f1", "tree_edit")
+    got = metrics.structure_metrics(df, {"one": "a", "two": "b"}, page_limit=limit)
+    for mode, parent in (("one", "a"), ("two", "b")):
+        want = metrics.full_metrics(df, pred_parent=parent, styles=False)
+        assert {tuple(r) for r in got.where(F.col("mode") == mode).select(*columns).collect()} == {tuple(r) for r in want.select(*columns).collect()}

@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagetree.operators import html
+from pagetree.operators import html, runs, tree
 from pagetree.sources import readers, writers
 from pagetree.streaming import ingest
 
@@ -101,7 +102,7 @@ def test_sinks(spark, tmp_path):
 def test_streams_resume(spark, tmp_path):
     source, nodes, state = (str(tmp_path / n) for n in ("src", "nodes", "state"))
     pages = lambda a, b: spark.range(a, b).select(
-        F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<div><p>"), F.repeat(F.lit("x"), 300), F.lit("</p></div>")).alias("html")
+        F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<div><p>"), F.repeat(F.lit("x"), 300), F.col("id").cast("string"), F.lit("</p></div>")).alias("html")
     )
     pages(0, 3).write.mode("append").parquet(source)
     pages(3, 4).withColumn("html", F.lit("short")).write.mode("append").parquet(source)
@@ -113,6 +114,13 @@ def test_streams_resume(spark, tmp_path):
     kept, state2 = str(tmp_path / "kept"), str(tmp_path / "state2")
     ingest.ingest_stream(spark, source, kept, state2).awaitTermination()
     assert spark.read.parquet(kept).count() == 5
+    # the page 4 once more under another id, beside a new one, in a file that is read after a restart
+    again = pages(4, 5).withColumn("page_id", F.lit(77).cast("long")).unionByName(pages(6, 7))
+    again.coalesce(1).write.mode("append").parquet(source)
+    ingest.ingest_stream(spark, source, kept, state2).awaitTermination()
+    assert sorted(r.page_id for r in spark.read.parquet(kept).collect()) == [0, 1, 2, 4, 5, 6]
+    ingest.node_stream(spark, source, nodes, state).awaitTermination()
+    assert spark.read.parquet(nodes).count() == 12
 
 
 def test_log_stream(spark, tmp_path):
@@ -122,3 +130,71 @@ def test_log_stream(spark, tmp_path):
     query.awaitTermination()
     row = spark.table("best_runs").first()
     assert (row.run, row.phase, row.best_epoch, row.best_total, row.n_records) == ("r1", "val", 2, 1.5, 2)
+
+
+def test_improvements_come_once_and_in_order(spark, tmp_path):
+    rnd = random.Random(4)
+    logs, out, state = (str(tmp_path / n) for n in ("logs", "out", "state"))
+    records = [
+        {"run": run, "epoch": epoch, "phase": phase, "total": None if rnd.random() < 0.1 else round(rnd.random() * 100 / (epoch + 1), 3)}
+        for run in ("a", "b") for phase in ("train", "val") for epoch in range(24)
+    ]
+    for part in range(3):
+        for run in ("a", "b"):
+            some = [r for r in records if r["run"] == run and r["epoch"] // 8 == part]
+            rnd.shuffle(some)
+            lines = [json.dumps({k: v for k, v in r.items() if k != "run" and v is not None}) for r in some]
+            write(tmp_path / "logs" / run / f"{part}.jsonl", "\n".join([*lines, "no json"]))
+        stream = ingest.improvements_stream(spark, logs)
+        ingest.write_stream(stream, out, state).awaitTermination()  # a new query on the old state each time
+    log = spark.createDataFrame(
+        [(r["run"], r["epoch"], r["phase"], {} if r["total"] is None else {"total": r["total"]}) for r in records],
+        "run string, seq int, phase string, metrics map<string,double>",
+    )
+    want = {tuple(r) for r in runs.running_best(log).collect()}
+    got = [(r.run, r.phase, r.epoch, r.total) for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_bucketed_nodes_need_no_shuffle(spark, tmp_path):
+    nodes = spark.range(400).selectExpr("id div 20 AS sample_id", "CAST(id % 20 AS INT) AS node_idx", "CAST(id % 20 - 1 AS INT) AS parent_idx")
+    writers.save_node_table(nodes, "bucketed_nodes", str(tmp_path / "nodes"), buckets=4)
+    deep = tree.tree_depth(spark.table("bucketed_nodes"), large_ids=None)
+    assert "Exchange" not in deep._jdf.queryExecution().executedPlan().toString()
+    assert deep.where("depth = node_idx").count() == 400
+    spark.sql("DROP TABLE bucketed_nodes")
+
+
+def test_corpus_in_file_order(spark, tmp_path):
+    """Files by name, rows as they lie, also when a file is read in several splits."""
+    for name, start in (("b", 1000), ("a", 0), ("c", 2000)):
+        pages = spark.range(start, start + 1000, 1, 1).select(F.col("id"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("html"))
+        path = tmp_path / "made" / name
+        pages.write.option("parquet.block.size", 65536).parquet(str(path))
+        (tmp_path / "corpus").mkdir(exist_ok=True)
+        next(path.glob("*.parquet")).rename(tmp_path / "corpus" / f"{name}.parquet")
+    files = readers.files_in_order(spark, str(tmp_path / "corpus")).orderBy("place").collect()
+    names = [(r.file.rsplit("/", 1)[1], r.place, r.rows) for r in files]
+    assert names == [("a.parquet", 0, 1000), ("b.parquet", 1, 1000), ("c.parquet", 2, 1000)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        placed = readers.read_pages_in_order(spark, str(tmp_path / "corpus"))
+        assert placed.columns == ["id", "html", "place"] and placed.where("place = id").count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_odd_box_trees(spark):
+    """No JSON, no type, no children, names with brackets and quotes, and a chain of 60."""
+    chain = '{"type":"x","children":[' * 60 + "]}" * 60
+    rows = [
+        (1, "nope {"), (2, '{"content":"a"}'), (3, '{"type":"a]b[","content":"\\"[[[","bbox":[1,2]}'), (4, None), (5, ""), (6, chain),
+        (7, '{"type":"r","children":[{"content":"no type","children":[{"type":"lost"}]},{"type":"kept"},7,null]}'),
+    ]
+    got = readers.explode_bbox_tree(spark.createDataFrame(rows, "sample_id int, bbox string"))
+    found = {}
+    for r in got.orderBy("sample_id", "node_idx").collect():
+        found.setdefault(r.sample_id, []).append((r.tag, r.parent_idx))
+    assert found == {3: [("a]b[", -1)], 6: [("x", i - 1) for i in range(60)], 7: [("r", -1), ("kept", 0)]}
+    assert got.where("sample_id = 3").first().inner_text == '"[[['
