@@ -15,6 +15,7 @@ from pagetree.llm.mixing import mix_sources, sized
 from pagetree.llm.packing import pack
 from pagetree.llm.stage import staged
 from pagetree.llm.winnow import dedup_lines
+from pagetree.llm.words import SPACES
 
 
 _NAMED = ("doc_id", "text", "source")
@@ -38,8 +39,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the later places of runs of 50 words or more in whole lines; documents stay."""
-    found = _restored(dedup_lines(_plain(docs), every_place=True), docs)
+    """Without the later places of runs of 50 words or more in whole lines.
+
+    A document all of whose words went that way is a copy of earlier ones and goes; one that had no
+    words from the start stays.
+    """
+    cut = dedup_lines(_plain(docs), every_place=True)
+    left = cut.where((F.size("removed") == 0) | (F.trim("text", F.lit(SPACES)) != ""))
+    found = _restored(left, docs)
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 
