@@ -58,9 +58,20 @@ def test_stages(spark, folder):
             if len(words(line)) >= 50:
                 seen.add(line)
         text = None if r.text is None else "\n".join(kept)
+        if words(r.text) and not words(text):
+            continue  # all of its words were copies
         expected[r.doc_id, text, len(text) if text is not None else None] += 1
     assert Counter((r.doc_id, r.text, r.n_chars) for r in lines.collect()) == expected
 
+    # as chained: what had words has some, and one of each group of near duplicates is left
+    assert {r.doc_id for r in lines.collect() if not words(r.text)} == {r.doc_id for r in clean.collect() if not words(r.text)}
+    chained = STAGE["near_dedup"](spark, lines, folder)
+    left_sets = {r.doc_id: shingles(r.text, 5) for r in chained.collect() if r.doc_id is not None and words(r.text)}
+    found = list(left_sets.values())
+    assert not any(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(found) for b in found[:i])
+    mixed = STAGE["mixing"](spark, chained, folder)
+    assert {r.doc_id for r in mixed.collect() if not words(r.text)} <= {r.doc_id for r in given if not words(r.text)}
+
     # judged on its own input: here the documents before their lines went
     single = STAGE["near_dedup"](spark, clean, folder)
     assert single.columns == docs.columns
@@ -106,4 +117,4 @@ def test_stages_take_odd_tables(spark, make, folder):
 
 def test_registered():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
