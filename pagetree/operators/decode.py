@@ -15,12 +15,15 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pagearrays as pa
 from ..functions.binding import let
 from ..functions.constants import LEAF_TYPES, MASKED_SCORE, MIN_CONFIDENCE, NODE_TYPES
 from ..functions.style import argmax
-from .pages import IDX, SID, cut
+from .pages import CHECK, IDX, SID, by_page_size, cut
 
 CAND, SCORE, TYPE = "cand_idx", "score", "type_idx"
+#: A page of so many nodes has up to 262,144 scores in its row.
+LAYER_LIMIT = 512
 LEAF_INDEX = [NODE_TYPES.index(t) for t in LEAF_TYPES]
 
 
@@ -195,15 +198,68 @@ def decode_parents(
 
 
 def decode_parents_layered(
-    scores: DataFrame, types: DataFrame, max_depth: int | None = None, out: str = "model_parent"
+    scores: DataFrame, types: DataFrame, max_depth: int | None = None, out: str = "model_parent",
+    page_limit: int = LAYER_LIMIT, large_ids=CHECK,
 ) -> DataFrame:
     """Layer by layer over allowed candidates only: nodes that rank the root first make layer 0,
     then each open node joins its best candidate on the layer before, until a layer stays empty or
     ``max_depth`` layers are made; what is left becomes a root.
 
-    Worth having for sparse score tables, where not every pair is scored.
+    Worth having for sparse score tables, where not every pair is scored.  A page within the limit is
+    one row with the ranked candidates of its nodes, in which the layers are a fold; a larger one
+    takes a round of joins per layer.
     """
-    allowed = cut(candidate_parents(scores, types).where("allowed").drop("allowed"))
+    scored = candidate_parents(scores, types).where("allowed").drop("allowed")
+
+    def small(part: DataFrame) -> DataFrame:
+        return _layers_in_row(scored, part, max_depth, out)
+
+    def large(part: DataFrame) -> DataFrame:
+        return _layers_by_joins(scored.join(part.select(SID).distinct(), SID, "left_semi"), part, max_depth, out)
+
+    return by_page_size(types, small, large, page_limit, large_ids)
+
+
+def _layers_in_row(scored: DataFrame, types: DataFrame, max_depth: int | None, out: str) -> DataFrame:
+    ranked = F.sort_array(F.collect_list(F.struct(_preference().alias("by"), F.col(CAND).alias("c"))), asc=False)
+    nodes = types.select(SID, IDX, is_leaf(F.col(TYPE)).alias("leaf")).join(
+        scored.groupBy(SID, IDX).agg(ranked.alias("ranked")), [SID, IDX], "left"
+    )
+    page = F.sort_array(F.collect_list(F.struct(IDX, "leaf", F.col("ranked")["c"].alias("cands")))).alias("page")
+    gathered = nodes.groupBy(SID).agg(page)
+    # candidates as places in the page, the root as -1
+    placed = gathered.withColumn("places", F.transform("page", lambda n: pa.links(F.col("page")[IDX], n["cands"])))
+
+    def on_layer(parents: Column) -> Column:
+        """Whether each node has just got its parent and may have children."""
+        return F.zip_with(parents, "page", lambda p, n: p.isNotNull() & ~n["leaf"])
+
+    first = F.transform("places", lambda c: F.when(F.get(c, F.lit(0)) < 0, F.lit(-1)))
+    start = F.struct(first.alias("parents"), on_layer(first).alias("layer"))
+
+    def step(s: Column, _: Column) -> Column:
+        def best(c: Column) -> Column:
+            return F.get(F.filter(c, lambda at: (at >= 0) & F.get(s["layer"], at)), F.lit(0))
+
+        joined = F.zip_with(s["parents"], "places", lambda p, c: F.when(p.isNull(), best(c)))
+        following = let(
+            joined,
+            lambda new: F.struct(
+                F.zip_with(s["parents"], new, lambda p, q: F.coalesce(p, q)).alias("parents"), on_layer(new).alias("layer")
+            ),
+        )
+        return F.when(F.exists(s["layer"], lambda on: on), following).otherwise(s)
+
+    rounds = F.size("page") if max_depth is None else F.least(F.size("page"), F.lit(max_depth - 1))
+    steps = F.when(rounds > 0, F.sequence(F.lit(1), F.greatest(rounds, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    parents = placed.select(SID, "page", F.aggregate(steps, start, step, lambda s: s["parents"]).alias("parents"))
+    idx = F.col("page")[IDX]
+    rows = let(idx, lambda ids: F.zip_with(ids, "parents", lambda i, p: F.struct(i.alias(IDX), F.when(p >= 0, F.get(ids, p)).otherwise(-1).cast("int").alias(out))))
+    return parents.select(SID, F.inline(rows))
+
+
+def _layers_by_joins(scored: DataFrame, types: DataFrame, max_depth: int | None, out: str) -> DataFrame:
+    allowed = cut(scored)
     best = best_candidates(allowed)
     leaf = types.select(SID, IDX, is_leaf(F.col(TYPE)).alias("_leaf"))
     placed = cut(

@@ -212,3 +212,13 @@ def test_heuristic_predict(spark):
     assert [(r.type_idx, r.parent_idx) for r in got] == [(0, -1), (2, 0)]
     loose = design.heuristic_predict(df, tag_mode="reference").orderBy("node_idx").collect()
     assert loose[1].type_idx == 0
+
+
+def test_sample_is_the_head_of_the_shuffle(spark):
+    """Thresholds draw the same ids and names as ranking all of them."""
+    ids = spark.range(3000).withColumnRenamed("id", "sample_id")
+    order = {r.sample_id: r.position for r in ds.shuffle(ids, seed=7).collect()}
+    for n in (0, 1, 40, 2900, 3000, 5000):
+        got = {r.sample_id: r.new_name for r in ds.sample_n(ids, n, seed=7).collect()}
+        assert got == {i: f"{p:04d}" for i, p in order.items() if p < n}
+    assert ds.sample_n(ids.limit(0), 5).count() == 0

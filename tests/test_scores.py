@@ -77,15 +77,16 @@ def test_decode_parents(tables, page_set):
     assert set(want.values()) > {-1}
 
 
-def test_layered_decoding_agrees_on_full_tables_and_goes_deeper_on_sparse_ones(spark, tables):
-    full = by_node(decode.decode_parents_layered(*tables), "model_parent")
+@pytest.mark.parametrize("limit", [512, 0])
+def test_layered_decoding_agrees_on_full_tables_and_goes_deeper_on_sparse_ones(spark, tables, limit):
+    full = by_node(decode.decode_parents_layered(*tables, page_limit=limit), "model_parent")
     assert full == by_node(decode.decode_parents(*tables), "model_parent")
     chain = [(0, i, i - 1, 5.0) for i in range(1, 6)] + [(0, i, -1, 0.0 if i else 9.0) for i in range(6)]
     types = spark.createDataFrame([(0, i, 0) for i in range(6)], "sample_id int, node_idx int, type_idx int")
     scores = spark.createDataFrame(chain, SCORES)
-    deep = by_node(decode.decode_parents_layered(scores, types), "model_parent")
+    deep = by_node(decode.decode_parents_layered(scores, types, page_limit=limit), "model_parent")
     assert [deep[0, i] for i in range(6)] == [-1, 0, 1, 2, 3, 4]
-    cut = by_node(decode.decode_parents_layered(scores, types, max_depth=3), "model_parent")
+    cut = by_node(decode.decode_parents_layered(scores, types, max_depth=3, page_limit=limit), "model_parent")
     assert [cut[0, i] for i in range(6)] == [-1, 0, 1, -1, -1, -1]
 
 
