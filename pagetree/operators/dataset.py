@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import style as st
 from ..functions import text as tx
-from ..functions.constants import MAX_NODES, MIN_PAGE_CHARS, SEED, TRAIN_RATIO
+from ..functions.constants import MAX_NODES, MIN_PAGE_CHARS, OVERLAP_THRESHOLD, SEED, TEXT_LIMIT, TRAIN_RATIO
+from ..functions.geometry import box
+from .boxes import EDGES, positive_patches
+from .html import page_nodes
 from .pages import IDX, SID
 from .ranks import global_rank
+from .tree import bfs_truncate
 
 REQUIRED_FILES = 5
 
@@ -220,6 +224,50 @@ def pad_array(nodes: DataFrame, max_nodes: int = MAX_NODES, parent: str = "paren
     )
 
 
+ENCODED = ("reg", "reg_valid", "color", "color_valid", "cls_textAlign", "cls_display")
+
+
+def training_samples(
+    nodes: DataFrame, max_nodes: int = MAX_NODES, parent: str = "parent_idx", threshold: float = OVERLAP_THRESHOLD, **sizes
+) -> DataFrame:
+    """One row per page as a trainer takes it, from nodes with node_text, box, parent and style.
+
+    Pages are cut to ``max_nodes`` in breadth-first order and renumbered.  ``node_texts`` has
+    ``num_nodes`` entries; all other arrays have ``max_nodes``: boxes, parents (-1), node_mask, patches
+    (the places of the ones in each node's row of the label matrix) and the encoded styles.  A node
+    without a style has zeros and no valid entry.
+    """
+    rows = nodes.select(SID, IDX, parent, "node_text", *EDGES, "style")
+    cut = encode_styles(bfs_truncate(rows, max_nodes, parent, **sizes))
+    node = F.struct(
+        F.col("new_idx").alias("at"), F.col("new_parent").alias("parents"), F.col("node_text").alias("node_texts"),
+        F.array(*EDGES).cast("array<double>").alias("boxes"), positive_patches(box(), threshold).alias("patches"), *ENCODED,
+    )
+    page = cut.groupBy(SID).agg(F.sort_array(F.collect_list(node)).alias("page"))
+    n = F.size("page")
+    zeros = lambda k: F.array(*[F.lit(0.0)] * k)
+    fill = {
+        "boxes": zeros(4), "patches": F.array().cast("array<int>"), "reg": zeros(5), "reg_valid": zeros(5), "color": F.array(*[zeros(4)] * 3),
+        "color_valid": zeros(3), "parents": F.lit(-1), "cls_textAlign": F.lit(0), "cls_display": F.lit(0),
+    }
+    padded = [F.slice(F.concat(F.col("page")[c], F.array_repeat(v, max_nodes)), 1, max_nodes).alias(c) for c, v in fill.items()]
+    return page.select(
+        SID, n.alias("num_nodes"), F.col("page")["node_texts"].alias("node_texts"),
+        _padded(F.array_repeat(F.lit(1.0), n), max_nodes, 0.0).alias("node_mask"), *padded,
+    )
+
+
+def corpus_samples(pages: DataFrame, layout: DataFrame, max_nodes: int = MAX_NODES, mode: str = "static", **sizes) -> DataFrame:
+    """From a corpus (sample_id, html) to ``training_samples``.
+
+    ``layout`` is what a browser tells of each node: (sample_id, node_idx, x1, y1, x2, y2, style).  A
+    node that it leaves out has an empty box at the origin and no style.
+    """
+    nodes = page_nodes(pages, mode=mode, text_limit=TEXT_LIMIT).select(SID, IDX, "parent_idx", "node_text")
+    placed = align_style_rows(nodes, layout.select(SID, IDX, *EDGES, "style"))
+    return training_samples(placed.na.fill(0.0, list(EDGES)), max_nodes, **sizes)
+
+
 def collate(samples: DataFrame, batch_size: int, key: str = SID) -> DataFrame:
     """(id, batch_id, slot): consecutive batches in id order."""
     ranked = global_rank(samples.select(key), [key])

@@ -141,8 +141,11 @@ def ablation_grid(metrics: DataFrame, baseline: str) -> DataFrame:
     ).withColumn("delta", F.col("value") - F.col("baseline"))
 
 
-def attention_grid(nodes: DataFrame, scores: str = "sim") -> DataFrame:
-    """14×14 cells of each node's patch scores over their maximum."""
+def attention_grid(nodes: DataFrame, scores: str = "sim", k: int | None = None) -> DataFrame:
+    """14×14 cells of each node's patch scores over their maximum; of the first ``k`` nodes of each
+    page, for display, where that is given."""
+    if k is not None:
+        nodes = nodes.where(F.col("node_idx") < k)
     top = F.array_max(scores) + F.lit(1e-8)
     cells = nodes.select(
         "sample_id", "node_idx", top.alias("_top"), F.posexplode(scores).alias("patch_idx", "_s")

@@ -159,6 +159,42 @@ def sample_chain(spark, sf_dir):
     return _padded_sums(ds.pad_array(tree.bfs_truncate(rows, 4, "gold_parent", **t.page_sizes(spark, sf_dir)), 4))
 
 
+@query("training_samples", f"""{WITH}, {t.SQL_TEXTS}, {t.SQL_STYLED}, {t.SQL_PATCHES}, {SQL_CUT},
+labels AS (SELECT sample_id, node_idx, count(*) AS n_labels, sum(p) AS places FROM cells WHERE overlap >= 0.3 GROUP BY ALL),
+placed AS (
+SELECT c.sample_id, c.new_idx, coalesce(p.new_idx, -1) AS new_parent, length(x.node_text) AS chars, n.x1 + n.y1 + n.x2 + n.y2 AS edges,
+  t0 + t1 + t2 + t3 + t4 AS reg, v3 AS valid, c0r + c1g + c2b AS color, w0 + w1 + w2 AS w, cls_align, cls_display,
+  coalesce(n_labels, 0) AS n_labels, coalesce(places, 0) AS places
+FROM cut c JOIN styled n USING (sample_id, node_idx) JOIN texts x USING (sample_id, node_idx) LEFT JOIN labels USING (sample_id, node_idx)
+LEFT JOIN cut p ON p.sample_id = c.sample_id AND p.node_idx = c.gold_parent)
+SELECT sample_id, count(*)::INT AS num_nodes, string_agg(new_parent::VARCHAR, ',' ORDER BY new_idx) || repeat(',-1', 4 - count(*)::INT) AS parents,
+  sum(chars)::BIGINT AS chars, CAST(sum(edges) AS DOUBLE) AS box_sum, CAST(count(*) AS DOUBLE) AS mask_sum, 4 AS width, round(sum(reg), 6) AS reg_sum,
+  round(sum(valid), 6) AS valid_sum, round(sum(color), 6) AS color_sum, round(sum(w), 6) AS color_valid_sum, sum(cls_align)::BIGINT AS align_sum,
+  sum(cls_display)::BIGINT AS display_sum, sum(n_labels)::BIGINT AS n_labels, sum(places)::BIGINT AS places
+FROM placed GROUP BY sample_id""")
+def training_samples(spark, sf_dir):
+    """Everything that a trainer takes of a page, cut at four nodes, in sums."""
+    texts = t.texts(spark, sf_dir).select(SID, IDX, "node_text")
+    nodes = t.styles(spark, sf_dir).select(SID, IDX, "gold_parent", "x1", "y1", "x2", "y2", "style").join(texts, [SID, IDX])
+    found = ds.training_samples(nodes, 4, "gold_parent", **t.page_sizes(spark, sf_dir))
+
+    def total(values):
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    return found.select(
+        SID, "num_nodes", F.array_join(F.col("parents").cast("array<string>"), ",").alias("parents"),
+        F.aggregate("node_texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), total(F.flatten("boxes")).alias("box_sum"),
+        total("node_mask").alias("mask_sum"), F.size("boxes").alias("width"), r6(total(F.flatten("reg")), "reg_sum"),
+        r6(total(F.transform("reg_valid", lambda v: F.get(v, F.lit(3)))), "valid_sum"),
+        r6(total(F.flatten(F.transform("color", lambda c: F.transform(c, lambda x, i: F.get(x, i))))), "color_sum"),
+        r6(total(F.flatten("color_valid")), "color_valid_sum"),
+        F.aggregate("cls_textAlign", F.lit(0).cast("long"), lambda a, x: a + x).alias("align_sum"),
+        F.aggregate("cls_display", F.lit(0).cast("long"), lambda a, x: a + x).alias("display_sum"),
+        F.aggregate("patches", F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("n_labels"),
+        F.aggregate(F.flatten("patches"), F.lit(0).cast("long"), lambda a, x: a + x).alias("places"),
+    )
+
+
 @query("coverage", f"""{WITH}, sizes AS (SELECT sample_id, count(*) AS n FROM nodes GROUP BY sample_id)
 SELECT m AS max_nodes, round(avg((n <= m)::INT), 6) AS page_share, round(sum(least(n, m)) / sum(n), 6) AS node_share
 FROM sizes, (SELECT unnest([2, 4, 6, 96])::INT AS m) GROUP BY m""")

@@ -222,3 +222,29 @@ def test_sample_is_the_head_of_the_shuffle(spark):
         got = {r.sample_id: r.new_name for r in ds.sample_n(ids, n, seed=7).collect()}
         assert got == {i: f"{p:04d}" for i, p in order.items() if p < n}
     assert ds.sample_n(ids.limit(0), 5).count() == 0
+
+
+def test_corpus_to_samples(spark):
+    """Raw pages to padded arrays: one page is cut breadth first, one node has neither box nor style."""
+    pages = spark.createDataFrame([(1, "<div><p>a</p><ul><li>b</li></ul></div><img>"), (2, "<h1>Hi</h1>")], "sample_id int, html string")
+    style = "struct<backgroundColor:array<double>,color:array<double>,borderColor:array<double>,borderRadius:double,borderWidth:double,opacity:double,fontSize:double,fontWeight:int,textAlign:string,display:string>"
+    look = ([1.0, 0.5, 0.0, 1.0], None, None, 25.0, None, 1.0, 32.0, 450, "center", "flex")
+    layout = spark.createDataFrame(
+        [(1, 0, 0.0, 0.0, 32.0, 16.0, look), (1, 1, 16.0, 16.0, 32.0, 32.0, None), (2, 0, 0.0, 0.0, 224.0, 224.0, look)],
+        f"sample_id int, node_idx int, x1 double, y1 double, x2 double, y2 double, style {style}",
+    )
+    one, two = ds.corpus_samples(pages, layout, max_nodes=4).orderBy("sample_id").collect()
+    assert (one.num_nodes, two.num_nodes) == (4, 1)
+    assert one.node_texts == ["<div></div>", "<img></img>", "<p>a</p>", "<ul></ul>"] and one.parents == [-1, -1, 0, 0]
+    assert one.boxes == [[0.0, 0.0, 32.0, 16.0], [0.0] * 4, [16.0, 16.0, 32.0, 32.0], [0.0] * 4] and one.node_mask == [1.0] * 4
+    assert one.patches == [[0, 1], [], [15], []] and one.cls_textAlign[0] == 2 and one.reg[0] == pytest.approx([0.5, 0, 1, 0.5, 0.5])
+    assert one.reg_valid[1] == [0.0] * 5 and one.color[0][0] == [1.0, 0.5, 0.0, 1.0] and one.color_valid[2] == [0.0] * 3
+    assert two.parents == [-1] * 4 and two.node_mask == [1.0, 0.0, 0.0, 0.0] and len(two.patches[0]) == 196 and two.patches[1:] == [[], [], []]
+    assert ds.corpus_samples(pages.limit(0), layout).count() == 0
+
+
+def test_attention_grid_of_the_first_nodes(spark):
+    df = spark.createDataFrame([(0, i, [1.0, 4.0]) for i in range(3)], "sample_id int, node_idx int, sim array<double>")
+    assert runs.attention_grid(df).count() == 6
+    shown = runs.attention_grid(df, k=2).collect()
+    assert sorted((r.node_idx, r.col, round(r.heat, 6)) for r in shown) == [(0, 0, 0.25), (0, 1, 1.0), (1, 0, 0.25), (1, 1, 1.0)]
