@@ -44,7 +44,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A document all of whose words went that way is a copy of earlier ones and goes; one that had no
     words from the start stays.
     """
-    cut = dedup_lines(_plain(docs), every_place=True)
+    cut = dedup_lines(_plain(docs))
     left = cut.where((F.size("removed") == 0) | (F.trim("text", F.lit(SPACES)) != ""))
     found = _restored(left, docs)
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
