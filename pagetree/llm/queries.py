@@ -142,13 +142,13 @@ _REACH_SQL = "list_position(list_transform(range(1, 51), lambda k: list_sum(n[i:
                x[i + k:i + k + t - 1] AS rest, l[i + k:i + k + t - 1] AS tail
         FROM (SELECT a.*, coalesce(b.k, len(a.l) - a.i - a.k + 1) AS t
               FROM reach a LEFT JOIN reach b ON b.doc_id = a.doc_id AND b.i = a.i + a.k WHERE a.k IS NOT NULL)),
-    firsts AS (
-        SELECT key, arg_min(tail, doc_id * 1000000 + i) AS tail, min(doc_id * 1000000 + i) AS at FROM win GROUP BY key),
+    runs AS (
+        SELECT doc_id, i, own, rest, j, md5(array_to_string(list_concat([key], tail[1:j]), chr(10))) AS run
+        FROM (SELECT *, unnest(range(0, len(tail) + 1)) AS j FROM win)),
+    firsts AS (SELECT run, min(doc_id * 1000000 + i) AS place FROM runs GROUP BY run),
     later AS (
-        SELECT w.doc_id, w.own, w.rest,
-               coalesce(list_position(list_transform(range(1, len(w.tail) + 1), lambda j: w.tail[j] IS NOT DISTINCT FROM f.tail[j]), false) - 1,
-                        len(w.tail)) AS ext
-        FROM win w JOIN firsts f USING (key) WHERE w.doc_id * 1000000 + w.i <> f.at),
+        SELECT any_value(own) AS own, any_value(rest) AS rest, max(j) AS ext, doc_id
+        FROM runs JOIN firsts USING (run) WHERE doc_id * 1000000 + i <> place GROUP BY doc_id, i),
     gone AS (
         SELECT DISTINCT doc_id, unnest(list_concat(own, rest[1:ext])) AS idx FROM later),
     kept AS (

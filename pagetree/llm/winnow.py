@@ -6,8 +6,8 @@ gram hashes inside it.  Two texts that share a run of ``words`` words share a wi
 gram it selects: windows whose selected gram occurs nowhere else are dropped before anything is
 compared.  The others meet their first occurrence by the hash of the whole window.  A match reaches
 backwards by itself, as the window that starts a line earlier matches too; forwards it is extended
-line by line, against the first place or, by the hash of each extension, against every earlier one.
-The matched lines of the later place go.
+line by line: against the first place by comparison and, where places continue in different ways,
+against every other by the hash of each extension.  The matched lines of the later place go.
 
 Everything is column expressions inside a document, and joins against one row per hash.
 """
@@ -93,7 +93,7 @@ def _longest(shared: DataFrame) -> DataFrame:
     return found.groupBy("_doc", "_text", "at").agg(F.max("_more").alias("_more"))
 
 
-def repeated_lines(docs: DataFrame, words: int = 50, gram_words: int = 20, every_place: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, words: int = 50, gram_words: int = 20) -> DataFrame:
     """(_doc, _text, removed): per document with any, the numbers of its lines to remove, in order."""
     every = staged(windows(docs, words, gram_words))
     place = F.struct("_doc", "_text", "gram_at")
@@ -109,10 +109,8 @@ def repeated_lines(docs: DataFrame, words: int = 50, gram_words: int = 20, every
     # the tails agree up to their first difference
     differ = F.array_position(F.expr("zip_with(tail, _first.tail, (x, y) -> x <=> y)"), False)
     more = F.when(differ == 0, F.size("rest")).otherwise(F.greatest(differ - 1, F.lit(0)).cast("int"))
-    if every_place:
-        later = later.join(_longest(shared), ["_doc", "_text", "at"], "left")
-        more = F.greatest(more, F.coalesce("_more", F.lit(0)))
-    extended = F.slice("rest", F.lit(1), more)
+    later = later.join(_longest(shared), ["_doc", "_text", "at"], "left")
+    extended = F.slice("rest", F.lit(1), F.greatest(more, F.coalesce("_more", F.lit(0))))
     return (
         later.select("_doc", "_text", F.explode(F.concat("own", extended)).alias("line"))
         .groupBy("_doc", "_text")
@@ -120,23 +118,20 @@ def repeated_lines(docs: DataFrame, words: int = 50, gram_words: int = 20, every
     )
 
 
-def dedup_lines(docs: DataFrame, words: int = 50, gram_words: int = 20, every_place: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, words: int = 50, gram_words: int = 20) -> DataFrame:
     """``docs`` with the later places of repeated runs taken out of ``text``; plus ``removed``, the
     line numbers (from 0), and ``n_lines``.
 
     A run is ``words`` words or more in consecutive lines that have a word; blank lines between
-    them are passed over and stay.  The first place in the order of doc_id (null last) and line
-    keeps its lines, also inside one document.  Rows equal in id and text count as one document and
-    all keep their lines.  Null texts stay null; a text can become empty; an empty table gives an
-    empty result.  Columns named removed or n_lines are replaced.
-
-    With ``every_place`` a run is looked for in all earlier places.  Without it, as the SQL of op9
-    has it, a window is extended forwards against its first place alone, and the end of a run that
-    only a place in between has can stay if it holds fewer than ``words`` words.
+    them are passed over and stay.  It goes if any earlier place has it.  The first place in the
+    order of doc_id (null last) and line keeps its lines, also inside one document.  Rows equal in
+    id and text count as one document and all keep their lines.  Null texts stay null; a text can
+    become empty; an empty table gives an empty result.  Columns named removed or n_lines are
+    replaced.
     """
     if not 1 <= gram_words <= words:
         raise ValueError("gram_words must be between 1 and words")
-    found = repeated_lines(docs, words, gram_words, every_place)
+    found = repeated_lines(docs, words, gram_words)
     columns = [c for c in docs.columns if c not in ("removed", "n_lines")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *_doc_key())
     joined = rows.join(found, ["_doc", "_text"], "left").withColumn("_all", F.split(F.col("_row.text").cast("string"), "\n"))

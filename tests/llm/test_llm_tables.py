@@ -114,26 +114,18 @@ def test_quality_rules_odd_rows(make):
     assert quality_rules(make()).count() == 0
 
 
-def winnowed(docs, least):
-    """Line numbers to remove per document, by the rule itself: windows against their first place."""
-    first, gone, seen = {}, {}, []
+def repeated(docs, least):
+    """Line numbers to remove per document, by the definition: all runs that an earlier place has."""
+    seen, gone = set(), {}
     for d, text in sorted(docs):
         lines = [(i, x, len(words(x))) for i, x in enumerate((text or "").split("\n")) if words(x)]
-        reach = []
         for i in range(len(lines)):
-            n = next((n for n in range(1, len(lines) - i + 1) if sum(w for *_, w in lines[i : i + n]) >= least), None)
-            reach.append(n)
-        seen.append((d, lines, reach))
-    for d, lines, reach in seen:
-        for i, n in enumerate(reach):
-            if n:
-                tail = lines[i + n : i + n + ((reach[i + n] or len(lines)) if i + n < len(lines) else 0)]
-                key, hashes = tuple(x for _, x, _ in lines[i : i + n]), [x for _, x, _ in tail]
-                if key not in first:
-                    first[key] = hashes
-                    continue
-                same = next((k for k, (a, b) in enumerate(zip(hashes, first[key])) if a != b), min(len(hashes), len(first[key])))
-                gone.setdefault(d, set()).update(j for j, *_ in [*lines[i : i + n], *tail[:same]])
+            for end in range(i + 1, len(lines) + 1):
+                if sum(w for *_, w in lines[i:end]) >= least:
+                    key = tuple(x for _, x, _ in lines[i:end])
+                    if key in seen:
+                        gone.setdefault(d, set()).update(j for j, *_ in lines[i:end])
+                    seen.add(key)
     return {d: sorted(v) for d, v in gone.items()}
 
 
@@ -146,7 +138,7 @@ def test_line_dedup_matches_brute_force(make):
         parts = [pool[k] for k in rng.integers(0, 43, 5)] + runs[int(rng.integers(0, 6))] + [f"own line {i}"] + runs[int(rng.integers(0, 6))][: int(rng.integers(1, 7))]
         docs.append((i, "\n".join(parts)))
     found = dedup_lines(make(*docs), words=30, gram_words=10).collect()
-    expected = winnowed(docs, 30)
+    expected = repeated(docs, 30)
     texts = dict(docs)
     assert {r["doc_id"]: list(r["removed"]) for r in found if r["removed"]} == expected
     for r in found:
@@ -155,21 +147,6 @@ def test_line_dedup_matches_brute_force(make):
         assert r["n_lines"] == len(lines)
 
 
-def repeated(docs, least):
-    """Line numbers to remove per document, by the definition: all runs that an earlier place has."""
-    seen, gone = set(), {}
-    for d, text in sorted(docs):
-        lines = [(i, x, len(words(x))) for i, x in enumerate((text or "").split("\n")) if words(x)]
-        for i in range(len(lines)):
-            for end in range(i + 1, len(lines) + 1):
-                if sum(w for *_, w in lines[i:end]) >= least:
-                    key = tuple(x for _, x, _ in lines[i:end])
-                    if key in seen:
-                        gone.setdefault(d, set()).update(j for j, *_ in lines[i:end])
-                    seen.add(key)
-    return {d: sorted(v) for d, v in gone.items()}
-
-
 def test_line_dedup_extends_against_every_earlier_place(spark, make):
     import corpus_pipeline
 
@@ -177,12 +154,12 @@ def test_line_dedup_extends_against_every_earlier_place(spark, make):
     few = [(1, x), (2, f"{x}\n{y}"), (3, f"{x}\n{y}\nend"), (4, f"{x}\n{y}\nend")]
     assert repeated(few, 50) == {2: [0], 3: [0, 1], 4: [0, 1, 2]}
     kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, make(*few), "").collect()}
-    assert kept == {1: x, 2: y, 3: "end", 4: ""}
+    assert kept == {1: x, 2: y, 3: "end"}  # nothing of the last one is its own
     rng = np.random.default_rng(13)
     pool = [prose(int(rng.integers(1, 30)), 100 + k) for k in range(12)] + [" ", prose(70, 999)]
     docs = [(i, "\n".join(pool[k] for k in rng.integers(0, 14, 14))) for i in range(60)]
-    found = dedup_lines(make(*docs), words=30, gram_words=10, every_place=True).collect()
-    assert {r["doc_id"]: list(r["removed"]) for r in found if r["removed"]} == repeated(docs, 30) != winnowed(docs, 30)
+    found = dedup_lines(make(*docs), words=30, gram_words=10).collect()
+    assert {r["doc_id"]: list(r["removed"]) for r in found if r["removed"]} == repeated(docs, 30)
 
 
 def test_line_dedup_odd_rows(make):
