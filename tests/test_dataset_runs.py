@@ -248,3 +248,15 @@ def test_attention_grid_of_the_first_nodes(spark):
     assert runs.attention_grid(df).count() == 6
     shown = runs.attention_grid(df, k=2).collect()
     assert sorted((r.node_idx, r.col, round(r.heat, 6)) for r in shown) == [(0, 0, 0.25), (0, 1, 1.0), (1, 0, 0.25), (1, 1, 1.0)]
+
+
+def test_pairwise_cosine_multiplies_blocks(spark):
+    """Two blocks meet in one call; null vectors have no similarity, unlike lengths no value."""
+    rows = [(0, 1, [3.0, 4.0]), (0, 2, None), (0, 3, [1.0, None]), (0, 4, [1.0]), (0, 5, [4.0, 3.0]), (1, None, [2.0]), (1, 7, [])]
+    df = spark.createDataFrame(rows, "page int, k int, embedding array<double>")
+    found = vec.pairwise_cosine(df, "page", "k")
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    got = {(r.page, r.k): (r.others, r.cosine) for r in found.collect()}
+    assert got[0, 1] == ([1, 2, 3, 4, 5], [1.0, 0.0, 0.0, None, pytest.approx(0.96)])
+    assert got[0, 2][1] == got[0, 3][1] == [0.0] * 5 and got[0, 4][1] == [None, 0.0, 0.0, 1.0, None]
+    assert got[1, None] == ([None, 7], [1.0, 0.0]) and got[1, 7][1] == [0.0, 0.0]
