@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,9 +122,86 @@ def parse_meta(files: DataFrame) -> DataFrame:
     )
 
 
-def _nesting(text: Column) -> Column:
-    """How deep the arrays of a JSON text are nested: a bound on the depth of its tree."""
+#: Spark's JSON parser takes no text that is nested deeper.
+PARSED_NESTING = 1000
+TREE_NODES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField(IDX, T.IntegerType()),
+            T.StructField("parent_idx", T.IntegerType()),
+            *[T.StructField(f, T.StringType()) for f in ("type", "content", "style")],
+            T.StructField("bbox", T.ArrayType(T.DoubleType())),
+        ]
+    )
+)
+_TOKEN = re.compile(r'[ \t\r\n]*([\[\]{},:]|"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)')
+
+
+def _parsed(text: str):
+    """The value of a JSON text nested to any depth, without recursion; None if it is no JSON."""
+    root, above, state, key, at = [], [], "value", "", 0
+    into = root
+    while token := _TOKEN.match(text, at):
+        at, mark = token.end(), token[1]
+        if state in ("value", "item") and mark not in (",", ":", "}", "]"):
+            value = [] if mark == "[" else {} if mark == "{" else json.loads(mark)
+            if isinstance(into, dict):
+                into[key] = value
+            else:
+                into.append(value)
+            state = {"[": "item", "{": "key"}.get(mark, "next")
+            if state != "next":
+                above.append(into)
+                into = value
+        elif state in ("key", "name") and mark[0] == '"' and (key := json.loads(mark)) not in into:
+            state = "colon"
+        elif state == "colon" and mark == ":":
+            state = "value"
+        elif state == "next" and mark == ",":
+            state = "name" if isinstance(into, dict) else "value"
+        elif state in ("next", "item", "key") and mark == ("}" if isinstance(into, dict) else "]"):
+            into = above.pop()
+            state = "next"
+        else:
+            return None
+        if into is root:
+            return root[0]
+    return None
+
+
+@F.udf(TREE_NODES)
+def _deep_tree(text):
+    """Nodes of a box tree in document order, as ``_in_document_order`` has them."""
+    def words(value):
+        return value if value is None or isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+    def numbers(value):
+        try:
+            return [None if x is None else float(x) for x in value] if isinstance(value, list) else None
+        except (TypeError, ValueError):
+            return None
+
+    if text is None:
+        return None
+    try:
+        waiting, found = [(_parsed(text), -1)], []
+    except ValueError:
+        return []
+    while waiting:
+        node, up = waiting.pop()
+        if isinstance(node, dict) and node.get("type") is not None:
+            at = len(found)
+            found.append((at, up, *[words(node.get(f)) for f in ("type", "content", "style")], numbers(node.get("bbox"))))
+            children = node.get("children")
+            waiting.extend((c, at) for c in (reversed(children) if isinstance(children, list) else ()))
+    return found
+
+
+def _nesting(text: Column, kinds: str = "[]") -> Column:
+    """How deep the arrays of a JSON text are nested: a bound on the depth of its tree; with ``[]{}``
+    its arrays and objects."""
     quoted = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
+    quoted = F.translate(quoted, "{}", "[]") if kinds == "[]{}" else quoted
     brackets = F.split(F.regexp_replace(quoted, r"[^\[\]]", ""), "")
 
     def step(s: Column, c: Column) -> Column:
@@ -188,12 +268,17 @@ def explode_bbox_tree(meta: DataFrame) -> DataFrame:
 
     A tree is one text of one row, so it is taken apart inside the row: no job or shuffle per level.
     Sorting the nodes by their paths restores document order.  Children of a node without a type
-    are left out with it; a text that is no JSON has no nodes.
+    are left out with it; a text that is no JSON has no nodes.  Texts nested too deep for Spark's
+    parser are read by a helper of their own.
     """
-    trees = meta.where(F.col("bbox").isNotNull() & (F.col("bbox") != "")).select(
-        SID, _flat_tree(F.try_parse_json("bbox"), _nesting(F.col("bbox"))).alias("_found")
+    held = meta.where(F.col("bbox").isNotNull() & (F.col("bbox") != ""))
+    deep = _nesting(F.col("bbox"), "[]{}") > PARSED_NESTING
+    trees = held.select(SID, "bbox", F.when(deep, F.col("bbox")).alias("_deep")).select(
+        SID,
+        _deep_tree("_deep").alias("_read"),
+        _flat_tree(F.try_parse_json(F.when(F.col("_deep").isNull(), F.col("bbox"))), _nesting(F.col("bbox"))).alias("_found"),
     )
-    rows = trees.select(SID, F.inline(_in_document_order(F.col("_found"))))
+    rows = trees.select(SID, F.inline(F.coalesce("_read", _in_document_order(F.col("_found")))))
     corner = [F.get("bbox", F.lit(i)) for i in range(4)]
     edges = scale_box((corner[0], corner[1], corner[0] + corner[2], corner[1] + corner[3]))
     return rows.select(

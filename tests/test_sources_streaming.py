@@ -198,3 +198,22 @@ def test_odd_box_trees(spark):
         found.setdefault(r.sample_id, []).append((r.tag, r.parent_idx))
     assert found == {3: [("a]b[", -1)], 6: [("x", i - 1) for i in range(60)], 7: [("r", -1), ("kept", 0)]}
     assert got.where("sample_id = 3").first().inner_text == '"[[['
+
+
+def test_box_trees_nested_deeper_than_the_parser(spark):
+    """Chains around the parser's limit and far above it, the same nodes either way; no JSON gives none."""
+    def chain(n):
+        return '{"type":"x","bbox":[1,2,3,4],"children":[{"type":"\\"]}","content":"a\\u00e4"},' * n + '{"type":"end"}' + "]}" * n
+
+    texts = {n: chain(n) for n in (3, 499, 500, 501, 20000)}
+    broken = {-1: chain(600)[:-1], -2: "[" * 2000, -3: chain(600).replace('"end"', "end"), -4: chain(600).replace('"x"', "null", 1)}
+    got = readers.explode_bbox_tree(spark.createDataFrame(list({**texts, **broken}.items()), "sample_id int, bbox string"))
+    found = {}
+    for r in got.where("sample_id < 1000").orderBy("sample_id", "node_idx").collect():
+        found.setdefault(r.sample_id, []).append((r.node_idx, r.parent_idx, r.tag, r.inner_text, r.x1))
+    assert set(found) == {3, 499, 500, 501}
+    for n, rows in found.items():
+        assert len(rows) == 2 * n + 1 and rows[-1][:3] == (2 * n, 2 * n - 2, "end")
+        assert all(r[1] == (r[0] - 1 if r[0] % 2 else max(r[0] - 2, -1)) for r in rows[:-1])
+    assert found[501][:7] == found[3][:6] + [found[501][6]] and found[501][1][2:4] == ('"]}', "a\u00e4")
+    assert got.where("sample_id = 20000").count() == 40001
