@@ -302,7 +302,11 @@ def run_comparison(spark, sf_dir):
     return runs.run_comparison(_run_table(spark, sf_dir))
 
 
-_DETAILS = (("type_acc", "avg(value) / 100"), ("parent_p", "min(value) / 90"), ("tree_edit", "max(value)"), ("cls_display_acc", "avg(value) / 200"))
+# engines add up floats in their own order: means are taken to nine decimals, so that a tie of the third is one in both
+_DETAILS = (
+    ("type_acc", "round(avg(value) / 100, 9)"), ("parent_p", "min(value) / 90"), ("tree_edit", "max(value)"),
+    ("cls_display_acc", "round(avg(value) / 200, 9)"),
+)
 
 
 @query("run_details", f"""WITH m AS (
@@ -311,7 +315,8 @@ SELECT CAST(user_id AS VARCHAR) AS run, {', '.join(f'{e} AS {c}' for c, e in _DE
 def run_details(spark, sf_dir):
     """Of the nine metrics of the detail table each run has three or four, and one that is not listed."""
     sums = t.table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("v"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    values = {"type_acc": F.col("v") / 100, "tree_edit": F.col("hi"), "cls_display_acc": F.col("v") / 200, "other": F.col("lo")}
+    mean = {"type_acc": F.round(F.col("v") / 100, 9), "cls_display_acc": F.round(F.col("v") / 200, 9)}
+    values = {**mean, "tree_edit": F.col("hi"), "other": F.col("lo")}
     base = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
     low = F.col("lo") / 90
     held = F.when(low < 0.05, F.map_concat(base, F.create_map(F.lit("parent_p"), low))).otherwise(base)

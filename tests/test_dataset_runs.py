@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pagetree.operators import dataset as ds
 from pagetree.operators import design, ranks, runs
 from pagetree.operators import vectors as vec
@@ -260,3 +261,14 @@ def test_pairwise_cosine_multiplies_blocks(spark):
     assert got[0, 1] == ([1, 2, 3, 4, 5], [1.0, 0.0, 0.0, None, pytest.approx(0.96)])
     assert got[0, 2][1] == got[0, 3][1] == [0.0] * 5 and got[0, 4][1] == [None, 0.0, 0.0, 1.0, None]
     assert got[1, None] == ([None, 7], [1.0, 0.0]) and got[1, 7][1] == [0.0, 0.0]
+
+
+def test_run_details_in_any_order(spark, tmp_path):
+    """A mean at a tie of the third decimal: the order of adding up must not decide it."""
+    values = [553.41, 252.48, 496.74, 583.44, 275.63, 26.54, 169.69, 335.27]
+    found = []
+    for name, order in (("a", values), ("b", values[::-1])):
+        events = spark.createDataFrame([(7, v) for v in order], "user_id long, value double").coalesce(1)
+        events.write.parquet(str(tmp_path / name / "events.parquet"))
+        found.append({r.metric: r.value for r in entry.queries()["run_details"](spark, str(tmp_path / name)).collect()})
+    assert found[0] == found[1] and set(found[0]) == {"type_acc", "tree_edit", "cls_display_acc"}
