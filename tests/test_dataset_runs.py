@@ -272,3 +272,16 @@ def test_run_details_in_any_order(spark, tmp_path):
         events.write.parquet(str(tmp_path / name / "events.parquet"))
         found.append({r.metric: r.value for r in entry.queries()["run_details"](spark, str(tmp_path / name)).collect()})
     assert found[0] == found[1] and set(found[0]) == {"type_acc", "tree_edit", "cls_display_acc"}
+
+
+def test_heat_sums_are_those_of_the_grid(spark):
+    """Summed a batch at a time: nulls, empty rows, unlike lengths, logits."""
+    sims = [[1.0, 4.0, None] + [2.0] * 13, [0.0] * 3, [], None, [None, None], [-1.0, 0.5, 3.0, None]]
+    df = spark.createDataFrame([(0, i, s) for i, s in enumerate(sims)], "sample_id int, node_idx int, sim array<double>").repartition(3)
+    for logits in (False, True):
+        shown = df.withColumn("sim", F.transform("sim", lambda x: 1 / (1 + F.exp(-x)))) if logits else df
+        want = runs.attention_grid(shown).groupBy("row", "col").agg(F.count("*").alias("n"), F.sum("heat").alias("heat"))
+        got = {(r.row, r.col): (r.n, r.heat) for r in runs.heat_sums(df, logits=logits).collect()}
+        assert got == {(r.row, r.col): (r.n, r.heat and pytest.approx(r.heat)) for r in want.collect()} and len(got) == 16
+    plan = entry.queries()["attention_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Generate" not in plan
