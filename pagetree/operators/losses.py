@@ -5,6 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,16 +103,31 @@ def infonce(
 ) -> DataFrame:
     """Mean of log-sum-exp minus the score of the first positive patch; 0 without positives.
 
-    A node's scores are one short array, so its loss is computed inside the row and nothing is
-    grouped by node.  A node without positives has a null loss, which the mean leaves out.
+    A node's scores are one short array, so its loss is computed from the row alone, for a batch of rows
+    at once, and nothing is grouped by node.  A node without positives has a null loss, which the mean
+    leaves out.
     """
-    def loss(scores: Column, top: Column) -> Column:
-        total = F.aggregate(
-            scores, F.lit(0.0), lambda acc, x: acc + F.exp((x - top) / temperature)
-        )
-        return F.log(total) + (top - F.get(scores, F.array_min(positives))) / temperature
-
-    per_node = let(F.col(sim), lambda s: let(F.array_max(s), lambda top: loss(s, top)))
+    @F.arrow_udf("double")
+    def loss(scores: pa.Array, first: pa.Array) -> pa.Array:
+        listed = scores.flatten()
+        flat = listed.to_numpy(zero_copy_only=False)
+        n = pc.list_value_length(scores).fill_null(0).to_numpy(zero_copy_only=False)
+        at = first.fill_null(-1).to_numpy(zero_copy_only=False)
+        known = (at >= 0) & (at < n)
+        if not known.any():
+            return pa.nulls(len(n), pa.float64())
+        starts = np.cumsum(n) - n
+        filled = starts[n > 0]
+        top = np.maximum.reduceat(flat, filled)
+        total = np.add.reduceat(np.exp((flat - np.repeat(top, n[n > 0])) / temperature), filled)
+        found = np.full(len(n), np.nan)
+        found[n > 0] = np.log(total) + top / temperature
+        found[known] -= flat[(starts + at)[known]] / temperature
+        if listed.null_count:  # a null score leaves no loss
+            known[n > 0] &= np.logical_and.reduceat(listed.is_valid().to_numpy(zero_copy_only=False), filled)
+        return pa.array(found, mask=~known)
+
+    per_node = loss(F.col(sim).cast("array<double>"), F.array_min(positives))
     return nodes.agg(F.coalesce(F.avg(per_node), F.lit(0.0)).alias("align_nce"))
 
 

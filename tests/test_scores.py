@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetree.operators import decode, losses, metrics
+from pagetree.plans import tables as t
 
 SCORES = "sample_id int, node_idx int, cand_idx int, score double"
 
@@ -209,3 +210,23 @@ def test_structure_metrics(spark, limit):
     for mode, parent in (("one", "a"), ("two", "b")):
         want = metrics.full_metrics(df, pred_parent=parent, styles=False)
         assert {tuple(r) for r in got.where(F.col("mode") == mode).select(*columns).collect()} == {tuple(r) for r in want.select(*columns).collect()}
+
+
+def test_infonce_of_whole_batches(spark):
+    """Null scores, rows without scores and places outside them leave no loss; no lambda runs per score."""
+    rows = [([1.0, 2.0], [1]), ([1.0, None], [0]), (None, [0]), ([], [0]), ([3.0], [1]), ([0.5, 0.5, 0.0], [2, 0]), ([2.0], None)]
+    df = spark.createDataFrame(rows, "sim array<double>, positives array<int>")
+    found = losses.infonce(df, temperature=1.0)
+    assert "ArrowEvalPython" in found._jdf.queryExecution().toString()
+    want = [math.log(math.exp(1) + math.exp(2)) - 2, math.log(2 * math.exp(0.5) + 1) - 0.5]
+    assert found.first().align_nce == pytest.approx(sum(want) / 2)
+
+
+def test_patch_logits_are_a_stretch_of_one_list(spark, tmp_path):
+    """Also of negative ids, as the SQL's remainder has them."""
+    lines = [(k, n, 7 * n, 3 + n, 1.0, 5.0, "A") for k in (-500, -3, 0, 5, 101, 10**12) for n in (1, 2, 3)]
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string"
+    spark.createDataFrame(lines, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for r in t.patch_scores(spark, str(tmp_path)).collect():
+        start = r.node_idx * 31 + r.sample_id
+        assert r.sim == [math.fmod(start + 17 * p, 101) / 10 - 5 for p in range(196)]
