@@ -112,3 +112,15 @@ def test_select_structure(spark):
     df = spark.createDataFrame([(1, 2, 0.5), (1, 2, 0.1)], "model_parent int, box_parent int, confidence double")
     for mode, want in (("model", [1, 1]), ("heuristic", [2, 2]), ("hybrid", [1, 2])):
         assert [r.parent_idx for r in boxes.select_structure(df, mode).collect()] == want
+
+
+def test_containers_are_not_sorted_by_box(spark):
+    """The least container is kept in a hash table, with texts and numbers beside it; ties and nulls as before."""
+    boxes_ = [(0, 0, 9, 9), (0, 0, 9, 9), (1, 1, 4, 5), (1, 1, 5, 4), (2, 2, 3, 3), (None, 0, 1, 1), (2, 2, 1, 1)]
+    rows = [(0, i, f"n{i}" if i else None, *[None if e is None else float(e) for e in b], [i]) for i, b in enumerate(boxes_)]
+    df = spark.createDataFrame(rows, "sample_id int, node_idx int, t string, x1 double, y1 double, x2 double, y2 double, l array<int>")
+    for mode, want in (("strict", [-1, 0, 0, 0, 2, -1, -1]), ("reference", [1, 0, 0, 0, 2, -1, -1])):
+        found = boxes.parent_by_containment(df, mode).orderBy("node_idx").collect()
+        assert [r.box_parent for r in found] == want and [tuple(r)[:-1] for r in found] == rows
+        plan = boxes.parent_by_containment(df.drop("l"), mode)._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
