@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -124,3 +125,18 @@ def test_containers_are_not_sorted_by_box(spark):
         assert [r.box_parent for r in found] == want and [tuple(r)[:-1] for r in found] == rows
         plan = boxes.parent_by_containment(df.drop("l"), mode)._jdf.queryExecution().executedPlan().toString()
         assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_order_of_area_and_index_as_one_number(spark):
+    """Neighbouring floats keep their order; on large pages no container is sorted either."""
+    rnd = random.Random(5)
+    areas = [0.0, 1.0, 2.0**-900, 2.0**900]
+    for _ in range(300):
+        x = rnd.choice([rnd.uniform(0, 5e4), 2.0 ** rnd.randint(-900, 900), float(rnd.randint(0, 50000))])
+        areas += [x, math.nextafter(x, math.inf), abs(math.nextafter(x, 0))]
+    rows = [(a, rnd.randint(0, 2**31 - 1)) for a in areas]
+    df = spark.createDataFrame(rows, "a double, i int").select("a", "i", boxes._smallest_first(F.col("a"), F.col("i")).alias("o"))
+    assert [(r.a, r.i) for r in df.orderBy("o").collect()] == sorted(rows)
+    nodes = spark.createDataFrame(random_boxes("whole"), SCHEMA)
+    plan = boxes.parent_by_containment(nodes, page_limit=2)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
