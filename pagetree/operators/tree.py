@@ -25,55 +25,114 @@ def page_links(parent: str) -> Column:
 
 
 def valid_links(nodes: DataFrame, parent: str = PARENT, out: str = "link") -> DataFrame:
-    """(sample_id, node_idx, link): the parent where it is a node of the page, else -1."""
-    mine = nodes.select(SID, IDX, F.coalesce(F.col(parent).cast("int"), F.lit(-1)).alias(out))
-    here = nodes.select(SID, F.col(IDX).alias(out), F.lit(True).alias("_known"))
-    linked = mine.where(F.col(out) >= 0).join(here, [SID, out], "left")
-    return mine.where(F.col(out) < 0).unionByName(
-        linked.select(SID, IDX, F.when(F.col("_known"), F.col(out)).otherwise(-1).alias(out))
-    )
+    """(sample_id, node_idx, link, kids): the parent where it is a node of the page, else -1, and the
+    number of nodes that link to this one.
+
+    Nodes meet the parents asked for, one row each.  A parent without a node is left over on its side;
+    only if there is one are the links joined again.  The table is written out.
+    """
+    link = F.greatest(F.coalesce(F.col(parent).cast("int"), F.lit(-1)), F.lit(-1))
+    mine = nodes.select(SID, IDX, link.alias(out))
+    asked = mine.where(F.col(out) >= 0).groupBy(SID, F.col(out).alias(IDX)).agg(F.count("*").alias("kids"))
+    met = cut(mine.join(asked, [SID, IDX], "full").withColumn("kids", F.coalesce("kids", F.lit(0))))
+    missing = met.where(F.col(out).isNull()).select(SID, F.col(IDX).alias(out), F.lit(True).alias("_missing"))
+    links = met.where(F.col(out).isNotNull())
+    if missing.isEmpty():
+        return links
+    known = links.join(missing, [SID, out], "left")
+    return cut(known.select(SID, IDX, F.when(F.col("_missing"), -1).otherwise(F.col(out)).alias(out), "kids"))
+
+
+def peel(links: DataFrame) -> tuple[DataFrame, int]:
+    """Links with ``layer`` and ``s``, and the number of layers.
+
+    A layer holds the nodes that nobody links to once the layers before are gone; ``s`` is the size of
+    the subtree below such a node.  Peeling goes on while a layer is a quarter of what is left, so it
+    ends after a number of rounds that grows with the logarithm of the nodes, and a node is sent as
+    often as it outlives a layer.  What is left (chains, cycles) has the last number as its layer, and
+    in ``s`` what was peeled off it.
+    """
+    state = links.withColumn("s", F.lit(1).cast("long"))
+    left, layers = state.count(), []
+    while left:
+        outer, inner = state.where("kids = 0"), state.where("kids > 0")
+        n = inner.count()
+        if n > left * 0.75:
+            break
+        layers.append(outer)
+        gained = outer.where("up >= 0").groupBy(SID, F.col("up").alias(IDX)).agg(
+            F.count("*").alias("_kids"), F.sum("s").alias("_s")
+        )
+        state, left = inner, n
+        if n:
+            state = cut(
+                inner.join(gained, [SID, IDX], "left").select(
+                    SID, IDX, "up", (F.col("kids") - F.coalesce("_kids", F.lit(0))).alias("kids"),
+                    (F.col("s") + F.coalesce("_s", F.lit(0))).alias("s"),
+                )
+            )
+    numbered = state.withColumn("layer", F.lit(len(layers)))
+    for i, layer in enumerate(layers):
+        numbered = numbered.unionByName(layer.withColumn("layer", F.lit(i)))
+    return numbered.drop("kids"), len(layers)
 
 
-def climb(state: DataFrame, merge: dict[str, Callable], stop: str | None = None) -> DataFrame:
-    """Pointer doubling over rows: every round joins each node to the node its pointer shows.
+def climb(state: DataFrame, layers: int, merge: dict[str, Callable], stop: str | None = None) -> DataFrame:
+    """Walk every pointer up to where it rests.
 
-    ``state`` holds (sample_id, node_idx, up, …payload).  ``merge`` maps a payload column to a
-    function (mine, other) -> Column.  ``stop`` names a flag column saying that the pointer rests
-    where it shows.  Rounds end when no pointer moves, after log2(longest chain) of them; a pointer
-    that still moves after log2(largest page) rounds runs on a cycle.  A node with many children
-    is a hot join key with one row on its other side, which adaptive execution splits.  Each round
-    is written out, so a lost executor costs one round.
+    ``state`` holds (sample_id, node_idx, up, layer, …payload), layers as ``peel`` numbers them.
+    ``merge`` maps a payload column to a function (mine, other) -> Column.  ``stop`` names a flag
+    column saying that the pointer rests where it shows.  What no layer holds goes by pointer doubling;
+    then each layer, the last one first, reads the ends of the nodes it shows at.  A node with many
+    children is a hot join key with one row on its other side, which adaptive execution splits.  Each
+    round is written out, so a lost executor costs one round.
     """
-    state = cut(state)
-    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    largest = state.groupBy(SID).count().agg(F.max("count")).first()[0] or 1
+    columns = [SID, IDX, "up", *([stop] if stop else []), *merge]
+    state = cut(state.select(*columns, "layer"))
     moves = F.col("up") >= 0
     if stop:
         moves = moves & ~F.col(stop)
-    for _ in range(math.ceil(math.log2(largest + 1)) + 1):
-        moving = state.where(moves)
-        if moving.isEmpty():
-            break
-        shown = state.select(
-            SID,
-            F.col(IDX).alias("up"),
-            *[F.col(c).alias(f"_{c}") for c in ("up", *([stop] if stop else []), *merge)],
-        )
-        moved = moving.join(shown, [SID, "up"]).select(
+
+    def step(moving: DataFrame, shown: DataFrame) -> DataFrame:
+        shown = shown.select(SID, F.col(IDX).alias("up"), *[F.col(c).alias(f"_{c}") for c in columns if c not in (SID, IDX)])
+        return moving.join(shown, [SID, "up"]).select(
             SID,
             IDX,
             F.col("_up").alias("up"),
             *([F.col(f"_{stop}").alias(stop)] if stop else []),
             *[fn(F.col(c), F.col(f"_{c}")).alias(c) for c, fn in merge.items()],
         )
+
+    done = _double(state.where(F.col("layer") == layers).select(*columns), moves, step)
+    for i in range(layers - 1, -1, -1):
+        layer = state.where(F.col("layer") == i).select(*columns)
+        # only nodes of the layers above are shown at, and nobody shows at a node of this one yet
+        ended = layer.where(~moves).unionByName(step(layer.where(moves), done))
+        done = done.unionByName(cut(ended) if i else ended)
+    return done
+
+
+def _double(state: DataFrame, moves: Column, step: Callable) -> DataFrame:
+    """Pointer doubling over rows: every round joins each node to the node its pointer shows.
+
+    Rounds end when no pointer moves, after log2(longest chain) of them; a pointer that still moves
+    after log2(largest page) rounds runs on a cycle.
+    """
+    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    largest = state.groupBy(SID).count().agg(F.max("count")).first()[0] or 1
+    for _ in range(math.ceil(math.log2(largest + 1)) + 1):
+        moving = state.where(moves)
+        if moving.isEmpty():
+            break
         # joins that keep their partitions would double the number of these in each round
-        state = cut(state.where(~moves).unionByName(moved).coalesce(parts))
+        state = cut(state.where(~moves).unionByName(step(moving, state)).coalesce(parts))
     return state
 
 
 def _large_depths(nodes: DataFrame, parent: str) -> DataFrame:
-    start = valid_links(nodes, parent, "up").withColumn("d", (F.col("up") >= 0).cast("int"))
-    return climb(start, {"d": lambda a, b: a + b}).select(
+    links, layers = peel(valid_links(nodes, parent, "up"))
+    start = links.withColumn("d", (F.col("up") >= 0).cast("int"))
+    return climb(start, layers, {"d": lambda a, b: a + b}).select(
         SID, IDX, F.when(F.col("up") < 0, F.col("d")).alias("_depth")
     )
 
@@ -226,10 +285,11 @@ def nearest_kept_ancestor(
         flags = part.select(
             SID, F.col(IDX).alias("up"), F.coalesce(keep, F.lit(False)).alias("up_rests")
         )
-        start = valid_links(part, parent, "up").join(flags, [SID, "up"], "left").withColumn(
-            "up_rests", F.coalesce("up_rests", F.lit(True))
+        links, layers = peel(valid_links(part, parent, "up"))
+        start = links.where("up < 0").withColumn("up_rests", F.lit(True)).unionByName(
+            links.where("up >= 0").join(flags, [SID, "up"])
         )
-        found = climb(start, {}, stop="up_rests").select(
+        found = climb(start, layers, {}, stop="up_rests").select(
             SID, IDX, F.when(F.col("up_rests"), F.col("up")).otherwise(F.lit(-1)).alias(out)
         )
         return part.join(found, [SID, IDX])
@@ -257,35 +317,48 @@ def subtree_size(
         )
 
     def large(part: DataFrame) -> DataFrame:
-        return _large_sizes(cut(valid_links(part, parent, "up")))
+        return _large_sizes(*peel(valid_links(part, parent, "up"))).select(SID, IDX, F.col("s").alias("subtree_size"))
 
     return by_page_size(narrow, small, large, page_limit, large_ids)
 
 
-def _large_sizes(links: DataFrame) -> DataFrame:
-    """(sample_id, node_idx, subtree_size) of the nodes off cycles from (sample_id, node_idx, up).
+def _large_sizes(links: DataFrame, layers: int) -> DataFrame:
+    """(sample_id, node_idx, up, layer, s) of the nodes off cycles, ``s`` being their subtrees' sizes.
 
-    ``s`` holds the descendants within reach; a round adds those of the nodes 2^k below.
+    Peeled nodes have theirs, unless they are peeled off a cycle.  For what is left, ``s`` holds the
+    descendants within reach; a round adds those of the nodes 2^k below.
     """
-    state = cut(links.withColumn("s", F.lit(1).cast("long")))
+    core = links.where(F.col("layer") == layers).select(SID, IDX, "up", "s")
+    if core.isEmpty():
+        return links
+    state = core.withColumn("to", F.col("up"))
     largest = state.groupBy(SID).count().agg(F.max("count")).first()[0] or 1
     for _ in range(math.ceil(math.log2(largest + 1)) + 1):
-        moving = state.where(F.col("up") >= 0)
+        moving = state.where(F.col("to") >= 0)
         if moving.isEmpty():
             break
-        gained = moving.groupBy(SID, F.col("up").alias(IDX)).agg(F.sum("s").alias("_gain"))
-        above = state.select(SID, F.col(IDX).alias("up"), F.col("up").alias("_up"))
+        gained = moving.groupBy(SID, F.col("to").alias(IDX)).agg(F.sum("s").alias("_gain"))
+        above = state.select(SID, F.col(IDX).alias("to"), F.col("to").alias("_to"))
         state = cut(
             state.join(gained, [SID, IDX], "left")
-            .join(above, [SID, "up"], "left")
+            .join(above, [SID, "to"], "left")
             .select(
                 SID,
                 IDX,
-                F.coalesce("_up", F.lit(-1)).alias("up"),
+                "up",
+                F.coalesce("_to", F.lit(-1)).alias("to"),
                 (F.col("s") + F.coalesce("_gain", F.lit(0))).alias("s"),
             )
         )
-    return state.where(F.col("up") < 0).select(SID, IDX, F.col("s").alias("subtree_size"))
+    sized = links.where(F.col("layer") < layers).unionByName(
+        state.where(F.col("to") < 0).drop("to").withColumn("layer", F.lit(layers))
+    )
+    cyclic = state.where(F.col("to") >= 0)
+    if cyclic.isEmpty():
+        return sized
+    # nodes that hang on a cycle are peeled as well, but belong to no tree
+    hanging = climb(links, layers, {}).where(F.col("up") >= 0).select(SID, IDX)
+    return sized.join(hanging, [SID, IDX], "left_anti")
 
 
 _STRETCH = 1 << 16
@@ -317,13 +390,12 @@ def preorder(nodes: DataFrame, parent: str = PARENT) -> DataFrame:
     ancestors by doubling again: about twice the logarithm of the longest chain in rounds.  Among the
     nodes of one depth, preorder is breadth-first order.
     """
-    links = cut(valid_links(nodes, parent, "up"))
-    sized = links.join(_large_sizes(links), [SID, IDX])
-    step = _sum_before(sized, [SID, "up"], IDX, "subtree_size", "before")
+    links, layers = peel(valid_links(nodes, parent, "up"))
+    step = _sum_before(_large_sizes(links, layers), [SID, "up"], IDX, "s", "before")
     below = (F.col("up") >= 0).cast("int")
-    start = step.select(SID, IDX, "up", (F.col("before") + below).alias("w"), below.alias("d"))
+    start = step.select(SID, IDX, "up", "layer", (F.col("before") + below).alias("w"), below.alias("d"))
     add = lambda a, b: a + b
-    return climb(start, {"w": add, "d": add}).select(SID, IDX, F.col("d").alias("depth"), F.col("w").alias("preorder"))
+    return climb(start, layers, {"w": add, "d": add}).select(SID, IDX, F.col("d").alias("depth"), F.col("w").alias("preorder"))
 
 
 def tree_size(nodes: DataFrame) -> DataFrame:
@@ -509,11 +581,11 @@ def tree_edit_distance(
         )
 
     def large(part: DataFrame) -> DataFrame:
-        both = cut(
-            valid_links(part, gold, "g").join(valid_links(part, pred, "p"), [SID, IDX])
-        )
-        start = both.select(SID, IDX, F.col("g").alias("up"), (F.col("g") == F.col("p")).alias("ok"))
-        alike = climb(start, {"ok": lambda a, b: a & b}).where(
+        links, layers = peel(valid_links(part, gold, "up"))
+        other = valid_links(part, pred, "p").select(SID, IDX, "p")
+        both = cut(links.withColumnRenamed("up", "g").join(other, [SID, IDX]))
+        start = both.select(SID, IDX, F.col("g").alias("up"), "layer", (F.col("g") == F.col("p")).alias("ok"))
+        alike = climb(start, layers, {"ok": lambda a, b: a & b}).where(
             (F.col("up") < 0) & F.col("ok")
         ).select(SID, IDX)
         differs = both.where(F.col("g") != F.col("p"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagetree.operators import metrics, tree
 from pagetree.operators.pages import cut as pages_cut
+from pagetree.operators.ranks import rank_within
 
 SCHEMA = "sample_id int, node_idx int, parent_idx int, pred_parent int, keep boolean"
 # 10000: every page is gathered; 12: larger pages go through joins; 0: all pages do
@@ -245,3 +246,39 @@ def test_preorder_against_a_walk(spark, cyclic):
             number += 1
             stack += [(c, depth + 1) for c in reversed(range(len(rows))) if parents[c] == i]
     assert collect(tree.preorder(df), "sample_id", "node_idx", "depth", "preorder") == want
+
+
+def rows_shuffled(spark, run):
+    """Rows that the stages of a run have written for others to read."""
+    sc = spark.sparkContext
+    listed = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    before = {listed().apply(i).stageId() for i in range(listed().size())}
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = listed()
+    return sum(s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size())) if s.stageId() not in before)
+
+
+def test_large_pages_send_their_nodes_a_few_times(spark):
+    """2,000 nodes with random parents: a node is sent only as long as others hang on it, and ranks
+    within a key take one exchange."""
+    rnd = random.Random(4)
+    rows = [(s, i, rnd.randrange(i) if i and rnd.random() < 0.85 else -1) for s in range(4) for i in range(500)]
+    df = pages_cut(spark.createDataFrame(rows, "sample_id int, node_idx int, parent_idx int"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = rows_shuffled(spark, lambda: tree.preorder(df).write.format("noop").mode("overwrite").save())
+        ranked = rows_shuffled(spark, lambda: rank_within(df, ["sample_id"], ["node_idx"], "r", True).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert cut < 16 * len(rows)
+    assert ranked < 1.2 * len(rows)
+
+
+def test_ranks_run_on_across_partitions(spark):
+    """One key holds most rows, so it fills several partitions; null is a key too."""
+    rows = [(k, o) for k, n in ((None, 3), (1, 2), (2, 5000), (3, 1)) for o in range(n)]
+    df = spark.createDataFrame(rows, "k int, o int").repartition(7)
+    assert collect(rank_within(df, ["k"], ["o"], "r", True).where("r <> o"), "k", "o", "r") == set()
+    assert rank_within(df, ["k"], ["o"], "r", True).count() == len(rows)
