@@ -368,15 +368,18 @@ def _sum_before(df: DataFrame, keys: list[str], order: str, value: str, out: str
     """Sum of ``value`` over the rows of the same keys with a lower ``order``.
 
     A key may hold most of the rows: sums are taken inside stretches of 65,536 places, and over the
-    sums of the stretches before.
+    sums of the stretches before, if any row is past the first stretch.
     """
     rows = df.withColumn("_stretch", F.floor(F.col(order) / _STRETCH))
+    alone = rows.where("_stretch <> 0").isEmpty()
     inside = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    if alone:
+        return rows.withColumn(out, own).drop("_stretch")
     stretches = rows.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum")).select(
         *keys, "_stretch", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
     )
-    own = F.coalesce(F.sum(value).over(inside), F.lit(0))
     return rows.withColumn("_own", own).join(stretches, [*keys, "_stretch"]).withColumn(
         out, F.col("_own") + F.col("_before")
     ).drop("_own", "_before", "_stretch")
