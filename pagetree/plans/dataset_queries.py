@@ -174,8 +174,7 @@ SELECT sample_id, count(*)::INT AS num_nodes, string_agg(new_parent::VARCHAR, ',
 FROM placed GROUP BY sample_id""")
 def training_samples(spark, sf_dir):
     """Everything that a trainer takes of a page, cut at four nodes, in sums."""
-    texts = t.texts(spark, sf_dir).select(SID, IDX, "node_text")
-    nodes = t.styles(spark, sf_dir).select(SID, IDX, "gold_parent", "x1", "y1", "x2", "y2", "style").join(texts, [SID, IDX])
+    nodes = t.with_text(t.styles(spark, sf_dir)).select(SID, IDX, "gold_parent", "x1", "y1", "x2", "y2", "style", "node_text")
     found = ds.training_samples(nodes, 4, "gold_parent", **t.page_sizes(spark, sf_dir))
 
     def total(values):

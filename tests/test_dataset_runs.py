@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pagetree.plans import dataset_queries, tables as node_tables  # noqa: F401
+from pagetree.plans.registry import QUERIES
 from pagetree.operators import dataset as ds
 from pagetree.operators import design, ranks, runs
 from pagetree.operators import vectors as vec
@@ -285,3 +287,19 @@ def test_heat_sums_are_those_of_the_grid(spark):
         assert got == {(r.row, r.col): (r.n, r.heat and pytest.approx(r.heat)) for r in want.collect()} and len(got) == 16
     plan = entry.queries()["attention_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Generate" not in plan
+
+
+def test_node_view_keeps_tasks_small(spark, monkeypatch):
+    """More lines than a task should take make more partitions, not larger ones; rows stay the same."""
+    folder = "/root/testdata/sf0.001"
+    want = node_tables.nodes(spark, folder)
+    monkeypatch.setattr(node_tables, "TASK_ROWS", 100)
+    got = node_tables.nodes(spark, folder)
+    lines = node_tables.table(spark, folder, "lineitem").count()
+    assert got.rdd.getNumPartitions() == -(-lines // 100)
+    assert got.exceptAll(want).count() == 0 and got.count() == lines
+
+
+def test_training_samples_read_the_lines_once(spark):
+    plan = QUERIES["training_samples"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
