@@ -13,7 +13,7 @@ from ..functions.constants import MAX_NODES, MIN_PAGE_CHARS, OVERLAP_THRESHOLD,
 from ..functions.geometry import box
 from .boxes import EDGES, positive_patches
 from .html import page_nodes
-from .pages import IDX, SID
+from .pages import IDX, SID, cut
 from .ranks import global_rank
 from .tree import bfs_truncate
 
@@ -83,9 +83,10 @@ def prefix_split(
 ) -> DataFrame:
     """(id, split): the first floor(n·ratio) ids in order are ``train``, the others ``val``.
 
-    Only ids are ranked, by range partitioning.
+    Only ids are ranked, by range partitioning.  They are written first, so that counting, finding the
+    ranges and ranking do not each derive them anew.
     """
-    ids = samples.select(key)
+    ids = cut(samples.select(key))
     n_train = math.floor(ids.count() * ratio)
     if at_least_one:
         n_train = max(1, n_train)

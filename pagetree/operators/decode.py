@@ -2,7 +2,7 @@
 
 A model emits one array per node: the scores of nodes 0 to n-1 of its page as parent, then that of
 the root (sample_id, node_idx, scores).  The ``*_rows`` functions work on these: what they need of the
-other nodes of a page is one flag each, joined on the page id, and no score is ever a row of its own.
+other nodes of a page is one flag each, and no score is ever a row of its own.
 
 Sparse scores come as a long table (sample_id, node_idx, cand_idx, score) with cand_idx = -1 for the
 root.  ``types`` is (sample_id, node_idx, type_idx).  Ties go to the lower candidate, root last.
@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pagearrays as pa
 from ..functions.binding import let
 from ..functions.constants import LEAF_TYPES, MASKED_SCORE, MIN_CONFIDENCE, NODE_TYPES
 from ..functions.style import argmax
-from .pages import CHECK, IDX, SID, by_page_size, cut
+from .pages import CHECK, IDX, PAGE_LIMIT, SID, by_page_size, cut
 
 CAND, SCORE, TYPE = "cand_idx", "score", "type_idx"
 #: A page of so many nodes has up to 262,144 scores in its row.
@@ -45,6 +45,24 @@ def page_flags(nodes: DataFrame, flag: Column, out: str) -> DataFrame:
     return nodes.groupBy(SID).agg(listed.alias(out)).select(SID, F.col(out)["f"].alias(out))
 
 
+def _flagged(rows: DataFrame, flag: Column, out: str) -> DataFrame:
+    """``rows`` with the flags of all nodes of their page in node order, from a window in which they
+    already lie: only for pages within the limit."""
+    page = Window.partitionBy(SID).orderBy(IDX).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumn(out, F.collect_list(F.struct(flag.alias("f"))).over(page)).withColumn(out, F.col(out)["f"])
+
+
+def _allows(i: Column, leaf_prior: bool = True) -> Column:
+    other = i != F.col(IDX)
+    if leaf_prior:
+        other = other & ~F.coalesce(F.get("_leaves", i), F.lit(True))
+    return (i == F.size("scores") - 1) | other
+
+
+def _own_leaf() -> Column:
+    return F.coalesce(F.get("_leaves", F.col(IDX)), F.lit(False))
+
+
 def mask_rows(rows: DataFrame, types: DataFrame, leaf_prior: bool = True) -> DataFrame:
     """``rows`` with masked ``scores``, the array ``allowed`` and ``leaf``, whether the node is one.
 
@@ -52,19 +70,11 @@ def mask_rows(rows: DataFrame, types: DataFrame, leaf_prior: bool = True) -> Dat
     prior, not of a leaf type; the scores of others become -10000.
     """
     flagged = rows.join(page_flags(types, is_leaf(F.col(TYPE)), "_leaves"), SID)
-    last = F.size("scores") - 1
-
-    def allows(s: Column, i: Column) -> Column:
-        other = i != F.col(IDX)
-        if leaf_prior:
-            other = other & ~F.coalesce(F.get("_leaves", i), F.lit(True))
-        return (i == last) | other
-
-    allowed = F.transform("scores", allows)
+    allowed = F.transform("scores", lambda s, i: _allows(i, leaf_prior))
     return (
         flagged.withColumn("allowed", allowed)
         .withColumn("scores", F.zip_with("scores", "allowed", lambda s, a: F.when(a, s).otherwise(F.lit(MASKED_SCORE))))
-        .withColumn("leaf", F.coalesce(F.get("_leaves", F.col(IDX)), F.lit(False)))
+        .withColumn("leaf", _own_leaf())
         .drop("_leaves")
     )
 
@@ -73,6 +83,20 @@ def _nodes_of(scores: str = "scores") -> Column:
     return F.slice(scores, F.lit(1), F.size(scores) - 1)
 
 
+def _root_first() -> Column:
+    return let(
+        F.array_max(_nodes_of()),
+        lambda top: F.coalesce(top.isNull() | (F.element_at("scores", -1) > top), F.lit(False)),
+    )
+
+
+def _hosted() -> Column:
+    """The best-scoring host, the root without one or where the root ranks first."""
+    hosted = F.zip_with(_nodes_of(), "_hosts", lambda s, h: F.when(h, s))
+    best = let(hosted, lambda h: F.coalesce(F.array_position(h, F.array_max(h)), F.lit(0)) - 1)
+    return F.when(F.col("_first"), F.lit(-1)).otherwise(best).cast("int")
+
+
 def decode_rows(masked: DataFrame, out: str = "model_parent") -> DataFrame:
     """Parent per node of ``mask_rows``: root where it ranks first, else the best-scoring root that is
     not of a leaf type, else root.
@@ -80,16 +104,9 @@ def decode_rows(masked: DataFrame, out: str = "model_parent") -> DataFrame:
     Scanning every ranked candidate layer by layer comes to the same: the first layer already offers
     each open node some root, so depth never exceeds one.
     """
-    first = F.coalesce(F.array_max(_nodes_of()).isNull() | (F.element_at("scores", -1) > F.array_max(_nodes_of())), F.lit(False))
-    ranked = masked.withColumn("_first", first)
+    ranked = masked.withColumn("_first", _root_first())
     hosts = page_flags(ranked.select(SID, IDX, "_first", "leaf"), F.col("_first") & ~F.col("leaf"), "_hosts")
-    hosted = F.zip_with(_nodes_of(), "_hosts", lambda s, h: F.when(h, s))
-    best = let(hosted, lambda h: F.coalesce(F.array_position(h, F.array_max(h)), F.lit(0)) - 1)
-    return (
-        ranked.join(hosts, SID)
-        .withColumn(out, F.when(F.col("_first"), F.lit(-1)).otherwise(best).cast("int"))
-        .drop("_first", "_hosts")
-    )
+    return ranked.join(hosts, SID).withColumn(out, _hosted()).drop("_first", "_hosts")
 
 
 def confidence_of(scores: str = "scores") -> Column:
@@ -99,17 +116,30 @@ def confidence_of(scores: str = "scores") -> Column:
 
 
 def hybrid_rows(
-    rows: DataFrame, types: DataFrame, heuristic: DataFrame, min_confidence: float = MIN_CONFIDENCE, out: str = "parent_idx"
+    rows: DataFrame, min_confidence: float = MIN_CONFIDENCE, out: str = "parent_idx", page_limit: int = PAGE_LIMIT, large_ids=CHECK
 ) -> DataFrame:
     """Decoded parent where the model is confident, else the containment parent.
 
-    ``heuristic`` is (sample_id, node_idx, box_parent).
+    ``rows`` have ``scores``, ``type_idx`` and ``box_parent``; ``model_parent``, ``confidence`` and ``out``
+    come in place of the scores.  The nodes of a page within the limit are placed once and read the
+    flags of the others there; those of a larger one go through joins, which need not hold a page.
     """
-    decoded = decode_rows(mask_rows(rows, types)).select(SID, IDX, "model_parent", confidence_of().alias("confidence"))
-    sure = F.col("confidence") >= min_confidence
-    return heuristic.select(SID, IDX, "box_parent").join(decoded, [SID, IDX]).withColumn(
-        out, F.when(sure, F.col("model_parent")).otherwise(F.col("box_parent")).cast("int")
-    )
+    def chosen(decoded: DataFrame) -> DataFrame:
+        sure = F.col("confidence") >= min_confidence
+        return decoded.withColumn("confidence", confidence_of()).select(
+            *[c for c in rows.columns if c != "scores"], "model_parent", "confidence",
+            F.when(sure, F.col("model_parent")).otherwise(F.col("box_parent")).cast("int").alias(out),
+        )
+
+    def small(part: DataFrame) -> DataFrame:
+        masked = F.transform("scores", lambda s, i: F.when(_allows(i), s).otherwise(F.lit(MASKED_SCORE)))
+        ranked = _flagged(part, is_leaf(F.col(TYPE)), "_leaves").withColumn("scores", masked).withColumn("_first", _root_first())
+        return chosen(_flagged(ranked, F.col("_first") & ~_own_leaf(), "_hosts").withColumn("model_parent", _hosted()))
+
+    def large(part: DataFrame) -> DataFrame:
+        return chosen(decode_rows(mask_rows(part, part.select(SID, IDX, TYPE))))
+
+    return by_page_size(rows, small, large, page_limit, large_ids)
 
 
 # ---------------------------------------------------------------- one row per candidate

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as arrow
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import pagearrays as pa
+from ..functions import pagebatches as pb
 from ..functions.constants import NODE_TYPES, STYLE_CHOICES
 from .pages import CHECK, IDX, PAGE_LIMIT, SID, by_page_size
 from .tree import tree_edit_distance
@@ -199,22 +203,22 @@ def structure_metrics(
     """(sample_id, mode, parent_p, parent_r, parent_f1, tree_edit): each predicted structure of a page
     against the true one.
 
-    ``modes`` names a parent column per mode.  A page within the limit is gathered once, with all its
-    structures; the nodes of a larger one are walked once per mode.
+    ``modes`` names a parent column per mode.  Pages within the limit are placed once, sorted, and rated
+    a batch of nodes at a time; the nodes of a larger one are walked once per mode.
     """
     def rated(share: Column, edits: Column) -> list[Column]:
         return [share.alias("parent_p"), share.alias("parent_r"), f1(share, share).alias("parent_f1"), edits.alias("tree_edit")]
 
     def small(part: DataFrame) -> DataFrame:
-        page = F.sort_array(F.collect_list(F.struct(IDX, F.col(gold).alias("gold"), *[F.col(c).alias(m) for m, c in modes.items()])))
-        shares = [_ratio(_hits(gold, c), F.count("*")).alias(f"_share_{m}") for m, c in modes.items()]
-        grouped = part.groupBy(SID).agg(page.alias("_page"), *shares)
-        linked = grouped.withColumns({f"_{k}": pa.links(F.col("_page")[IDX], F.col("_page")[k]) for k in ("gold", *modes)})
-        each = [
-            F.struct(F.lit(m).alias("mode"), *rated(F.col(f"_share_{m}"), pa.tree_edit_distance(F.col("_gold"), F.col(f"_{m}")).cast("long")))
-            for m in modes
-        ]
-        return linked.select(SID, F.inline(F.array(*each)))
+        parents = [F.col(c).cast("int").alias(m) for m, c in modes.items()]
+        nodes = part.select(SID, F.col(IDX).cast("int").alias(IDX), F.col(gold).cast("int").alias("_gold"), *parents)
+        placed = nodes.repartition(SID).sortWithinPartitions(*nodes.columns)
+        schema = T.StructType([
+            part.schema[SID], T.StructField("mode", T.StringType()),
+            T.StructField("_share", T.DoubleType()), T.StructField("_edits", T.LongType()),
+        ])
+        found = placed.mapInArrow(_rate(tuple(modes)), schema)
+        return found.select(SID, "mode", *rated(F.col("_share"), F.col("_edits")))
 
     def large(part: DataFrame) -> DataFrame:
         found = None
@@ -228,6 +232,26 @@ def structure_metrics(
     return by_page_size(nodes, small, large, page_limit, large_ids)
 
 
+def _rate(modes: tuple[str, ...]):
+    """Share of right parents and edit distance of each page and mode, from nodes sorted by page."""
+
+    def rate(batches):
+        for nodes in pb.whole_pages(batches, SID):
+            page, starts = pb.pages(nodes[SID])
+            idx, gold = (pb.numbers(nodes[c]) for c in (IDX, "_gold"))
+            sizes = pb.per_page(page, page >= 0)
+            links = pb.links(page, starts, idx, gold)
+            for mode in modes:
+                right = pc.fill_null(pc.equal(nodes["_gold"], nodes[mode]), False).to_numpy(zero_copy_only=False)
+                edits = pb.tree_edits(page, links, pb.links(page, starts, idx, pb.numbers(nodes[mode])))
+                yield arrow.RecordBatch.from_arrays(
+                    [nodes[SID].take(arrow.array(starts)), arrow.array([mode] * len(starts)), arrow.array(pb.per_page(page, right) / sizes), arrow.array(edits)],
+                    names=[SID, "mode", "_share", "_edits"],
+                )
+
+    return rate
+
+
 def macro_average(per_page: DataFrame, *metrics: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean of the per-page values."""
     metrics = metrics or tuple(c for c in per_page.columns if c not in (SID, "n_nodes", *by))

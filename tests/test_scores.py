@@ -230,3 +230,56 @@ def test_patch_logits_are_a_stretch_of_one_list(spark, tmp_path):
     for r in t.patch_scores(spark, str(tmp_path)).collect():
         start = r.node_idx * 31 + r.sample_id
         assert r.sim == [math.fmod(start + 17 * p, 101) / 10 - 5 for p in range(196)]
+
+
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_hybrid_rows(spark, limit):
+    """As from one row per candidate, from flags of a window or of joins; pages within the limit join nothing."""
+    rnd = random.Random(3)
+    sizes = [rnd.randint(1, 8) for _ in range(12)]
+    rows = [
+        (s, i, rnd.randint(-1, n - 1), rnd.randint(0, 8), [float(rnd.randint(0, 9)) for _ in range(n + 1)])
+        for s, n in enumerate(sizes) for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, "sample_id int, node_idx int, box_parent int, type_idx int, scores array<double>")
+    long = df.select("sample_id", "node_idx", F.size("scores").alias("n"), F.posexplode("scores").alias("c", "score")).selectExpr(
+        "sample_id", "node_idx", "IF(c = n - 1, -1, c) AS cand_idx", "score"
+    )
+    want = decode.hybrid_parents(long, df.select("sample_id", "node_idx", "type_idx"), df, 0.9).select("sample_id", "node_idx", "parent_idx")
+    got = decode.hybrid_rows(df, 0.9, page_limit=limit)
+    assert {tuple(r) for r in got.select("sample_id", "node_idx", "parent_idx").collect()} == {tuple(r) for r in want.collect()}
+    assert len({r.parent_idx == r.model_parent for r in got.collect()}) == 2
+    if limit == 1000:
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_structure_metrics_of_odd_links(spark):
+    """Cycles, null and missing parents and indices with gaps, in pages that lie across batches; no page is gathered in a row."""
+    rnd = random.Random(4)
+    rows = []
+    for s in (None, *range(30)):
+        ids = rnd.sample(range(12), rnd.randint(1, 9))
+        rows += [(s, i, *[rnd.choice([None, -1, -5, 99, *ids, *ids]) for _ in range(3)], 0, 0) for i in ids]
+    df = spark.createDataFrame(rows, "sample_id int, node_idx int, gold_parent int, a int, b int, gold_type int, pred_type int")
+    columns = ("sample_id", "parent_p", "parent_r", "parent_f1", "tree_edit")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = metrics.structure_metrics(df, {"one": "a", "two": "b"}, page_limit=1000)
+        found = got.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert len(found) == 62
+    for mode, parent in (("one", "a"), ("two", "b")):
+        want = metrics.full_metrics(df, pred_parent=parent, styles=False, page_limit=1000)
+        assert {tuple(r[c] for c in columns) for r in found if r["mode"] == mode} == {tuple(r) for r in want.select(*columns).collect()}
+
+
+def test_structure_evaluation_reads_the_nodes_twice(spark):
+    """For the boxes and what lies around them; the split reads ids."""
+    from pagetree.plans import score_queries
+
+    plan = score_queries.structure_evaluation(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "l_partkey" in line]
+    assert len(scans) == 2
