@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,48 +51,74 @@ def style_default(value: Column, default, falsy_zero: bool = False) -> Column:
     return F.coalesce(value, F.lit(float(default)))
 
 
+def hex_number(code: Column) -> Column:
+    """``#RGB`` or ``#RRGGBB`` as one number; null when there is no such colour.
+
+    No lambda: runs in generated code.  ``code`` is read several times, so it should be a column.
+    """
+    digits = F.ltrim(code, F.lit("#"))
+    doubled = F.concat(*[F.substring(digits, i, 1) for i in (1, 1, 2, 2, 3, 3)])
+    # of five digits the last is a channel of its own
+    last = F.concat(F.left(digits, F.lit(4)), F.lit("0"), F.substring(digits, 5, 1))
+    six = (
+        F.when(digits.rlike("^[0-9a-fA-F]{6}"), F.left(digits, F.lit(6)))
+        .when(digits.rlike("^[0-9a-fA-F]{5}"), last)
+        .when(digits.rlike(r"^[0-9a-fA-F]{3}\z"), doubled)
+    )
+    return F.conv(six, 16, 10).cast("long")
+
+
+def number_to_rgba(number: Column) -> Column:
+    """A colour's number to [r, g, b, 1.0]."""
+    channels = [F.shiftright(number, bits).bitwiseAND(F.lit(255)) / F.lit(255.0) for bits in (16, 8, 0)]
+    return F.when(number.isNotNull(), F.array(*channels, F.lit(1.0)))
+
+
 def hex_to_rgba(code: Column) -> Column:
     """``#RGB`` or ``#RRGGBB`` to [r, g, b, 1.0]."""
-    digits = F.ltrim(code, F.lit("#"))
-    doubled = F.regexp_replace(digits, "(.)", "$1$1")
+    return let(let(code, hex_number), number_to_rgba)
+
 
-    def rgba(full: Column) -> Column:
-        def channel(start: int) -> Column:
-            return F.conv(F.substring(full, start, 2), 16, 10).cast("double") / 255
+def _inline_hex(node_text: Column) -> Column:
+    # only texts with the sign that such a colour has are searched for it
+    code = F.nullif(F.regexp_extract(node_text, INLINE_HEX, 1), F.lit(""))
+    return F.when(F.contains(node_text, F.lit("#")), code)
 
-        return F.when(
-            full.rlike("^[0-9a-fA-F]{5}"), F.array(channel(1), channel(3), channel(5), F.lit(1.0))
-        )
 
-    return let(F.when(F.length(digits) == 3, doubled).otherwise(digits), rgba)
+def _inline_rgb(node_text: Column) -> Column:
+    parts = [F.regexp_extract(node_text, INLINE_RGB, i) for i in (1, 2, 3)]
+    rgba = F.array(*[p.try_cast("double") / 255 for p in parts], F.lit(1.0))
+    return F.when(F.contains(node_text, F.lit("rgb(")) & (parts[0] != ""), rgba)
 
 
 def inline_color(node_text: Column) -> Column:
     """First inline hex colour of a node, else its first inline rgb colour, else null."""
-    by_hex = hex_to_rgba(F.nullif(F.regexp_extract(node_text, INLINE_HEX, 1), F.lit("")))
-    parts = F.array(*[F.regexp_extract(node_text, INLINE_RGB, i) for i in (1, 2, 3)])
-    by_rgb = let(
-        parts,
-        lambda p: F.when(
-            F.get(p, F.lit(0)) != "",
-            F.concat(F.transform(p, lambda v: v.try_cast("double") / 255), F.array(F.lit(1.0))),
-        ),
-    )
-    return F.coalesce(by_hex, by_rgb)
+    return F.coalesce(hex_to_rgba(_inline_hex(node_text)), _inline_rgb(node_text))
+
+
+_RGBA = "struct<r: double, g: double, b: double, a: double>"
+
+
+def _channels(color: Column) -> Column:
+    return F.struct(*[F.get(color, F.lit(i)).alias(n) for i, n in enumerate("rgba")])
 
 
 def rgba_struct(color: Column) -> Column:
-    return let(
-        color, lambda c: F.struct(*[F.get(c, F.lit(i)).alias(n) for i, n in enumerate("rgba")])
-    )
+    return let(color, _channels)
+
+
+def no_paints() -> Column:
+    return F.array().cast(f"array<struct<type: string, color: {_RGBA}>>")
 
 
 def paints(color: Column, shown: Callable[[Column], Column]) -> Column:
     """A SOLID paint where the colour is to be shown, else an empty list."""
-    listed = F.filter(F.array(color), lambda c: F.coalesce(shown(c), F.lit(False)))
-    return F.transform(
-        listed, lambda c: F.struct(F.lit("SOLID").alias("type"), rgba_struct(c).alias("color"))
-    )
+    return let(color, lambda c: _listed(c, F.coalesce(shown(c), F.lit(False))))
+
+
+def _listed(color: Column, shown: Column) -> Column:
+    solid = F.array(F.struct(F.lit("SOLID").alias("type"), _channels(color).alias("color")))
+    return F.when(shown, solid).otherwise(no_paints())
 
 
 def inline_fill(node_text: Column) -> Column:
@@ -100,6 +126,24 @@ def inline_fill(node_text: Column) -> Column:
     return paints(inline_color(node_text), lambda c: c.isNotNull())
 
 
+def with_inline_color(nodes: DataFrame, out: str = "color") -> DataFrame:
+    """Nodes with the ``inline_color`` of their ``node_text``, one step a projection: no lambda runs."""
+    steps = {
+        "_code": _inline_hex(F.col("node_text")),
+        "_number": hex_number(F.col("_code")),
+        out: F.coalesce(number_to_rgba(F.col("_number")), _inline_rgb(F.col("node_text"))),
+    }
+    for name, value in steps.items():
+        nodes = nodes.withColumn(name, value)
+    return nodes.drop("_code", "_number")
+
+
+def with_inline_fill(nodes: DataFrame, out: str = "fills") -> DataFrame:
+    """Nodes with the ``inline_fill`` of their ``node_text``, likewise."""
+    colored = with_inline_color(nodes, "_color")
+    return colored.withColumn(out, _listed(F.col("_color"), F.col("_color").isNotNull())).drop("_color")
+
+
 def fills_strokes(background: Column, border: Column) -> tuple[Column, Column]:
     """Background and border paints, shown above an alpha of 0.05."""
     def shown(c: Column) -> Column:

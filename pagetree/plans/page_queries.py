@@ -216,9 +216,8 @@ SELECT sample_id, node_idx, CAST(CASE WHEN h <> '' OR c.r <> '' THEN 1 ELSE 0 EN
   round(CASE WHEN h <> '' THEN CAST('0x' || x[5:6] AS INT) / 255 ELSE TRY_CAST(c.b AS DOUBLE) / 255 END, 6) AS b
 FROM full_hex""")
 def inline_fill(spark, sf_dir):
-    fills = st.inline_fill(F.col("node_text"))
     first = F.get("fills", F.lit(0))["color"]
-    return t.texts(spark, sf_dir).select(SID, IDX, fills.alias("fills")).select(
+    return st.with_inline_fill(t.texts(spark, sf_dir).select(SID, IDX, "node_text")).select(
         SID, IDX, F.size("fills").alias("n_fills"), *[r6(first[c], c) for c in "rgb"]
     )
 
@@ -254,10 +253,12 @@ def hex_to_rgba(spark, sf_dir):
     def two(c: str):
         return F.lpad(F.hex(F.round(F.col(c) * 255).cast("int")), 2, "0")
 
-    long = st.hex_to_rgba(F.concat(F.lit("#"), two("r"), two("g"), two("b")))
+    long = F.concat(F.lit("#"), two("r"), two("g"), two("b"))
     digit = F.lower(F.hex((F.col("x1") % 16).cast("int")))
-    short = st.hex_to_rgba(F.concat(F.lit("#"), digit, F.lit("00")))
-    return t.nodes(spark, sf_dir).select(SID, IDX, long.alias("c"), short.alias("s")).select(
+    short = F.concat(F.lit("#"), digit, F.lit("00"))
+    codes = t.nodes(spark, sf_dir).select(SID, IDX, long.alias("c"), short.alias("s"))
+    numbers = codes.select(SID, IDX, *[st.hex_number(F.col(c)).alias(c) for c in "cs"])
+    return numbers.select(SID, IDX, *[st.number_to_rgba(F.col(c)).alias(c) for c in "cs"]).select(
         SID, IDX, *[r6(F.get("c", F.lit(i)), n) for i, n in enumerate("rgb")], r6(F.get("s", F.lit(0)), "short_r")
     )
 

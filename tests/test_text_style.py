@@ -105,3 +105,45 @@ def test_pick_html_skips_empty_and_null(spark):
     df = spark.createDataFrame([("", None, "c"), (None, "b", "c"), ("a", "b", "c")], "t string, h string, c string")
     got = df.select(tx.pick_html(F.col("t"), F.col("h"), F.col("c")).alias("r")).collect()
     assert [r.r for r in got] == ["c", "b", "a"]
+
+
+CODES = ("#fff", "#0a8", "#12345", "#12345z", "#1234", "#123456", "#1234567", "#12345678", "##abc", "abc", "#AbCdEf", "#gggggg", "#ab\n", "#abc\n",
+         "#1", "", "#", "#abcé", "#é00", "#00000", "#a\nb", "#12345 ", None)
+
+
+def _rgba(code):
+    """By the rules: signs off the front, three characters doubled, five digits needed, pairs from the left."""
+    if code is None:
+        return None
+    digits = code.lstrip("#")
+    if len(digits) == 3:
+        digits = "".join(c if c == "\n" else c + c for c in digits)
+    hexes = "0123456789abcdefABCDEF"
+    if len(digits) < 5 or any(c not in hexes for c in digits[:5]):
+        return None
+    last = digits[4:6] if digits[5:6] and digits[5] in hexes else digits[4]
+    return [int(digits[0:2], 16) / 255, int(digits[2:4], 16) / 255, int(last, 16) / 255, 1.0]
+
+
+def test_hex_numbers_in_generated_code(spark):
+    """The colour of a code in steps without a lambda, as in one expression."""
+    df = spark.createDataFrame([(c,) for c in CODES], "c string")
+    steps = df.select("c", st.hex_number(F.col("c")).alias("n")).select("c", "n", st.number_to_rgba(F.col("n")).alias("rgba"))
+    assert "lambda" not in steps._jdf.queryExecution().toString()
+    for r in steps.withColumn("one", st.hex_to_rgba(F.col("c"))).collect():
+        assert r.rgba == r.one == _rgba(r.c), r.c
+
+
+TEXTS = ('<a style="color:#333">', '<a style="color:#12345">', '<a style="color:#1234">', '<a style="color: rgb(1,2,300)">', "color:rgb(1,2)", "#fff",
+         '<a style="color:#1; color:rgb(9, 8, 7)">', '<a style="background : #abcdef; color:rgb(9, 8, 7)">', "rgb(1,2,3)", "", None)
+
+
+def test_inline_fills_without_lambdas(spark):
+    """Fills of a column of texts in steps, as in one expression."""
+    df = spark.createDataFrame([(t,) for t in TEXTS], "node_text string")
+    steps = st.with_inline_fill(df)
+    assert "lambda" not in steps._jdf.queryExecution().toString()
+    found = steps.withColumn("one", st.inline_fill(F.col("node_text"))).collect()
+    assert [r.fills for r in found] == [r.one for r in found]
+    assert [len(r.fills) for r in found] == [1, 1, 0, 1, 0, 0, 1, 1, 0, 0, 0]
+    assert found[6].fills[0].color.r == pytest.approx(9 / 255) and found[3].fills[0].color.b == pytest.approx(300 / 255)
