@@ -95,7 +95,9 @@ def node_type_name(index: Column) -> Column:
 def _attribute(node_text: Column, name: str, mode: str) -> Column:
     # reference mode accepts a match after any word boundary (so data-id= counts as id=)
     lead = r"\b" if mode == "reference" else r"\s"
-    return F.regexp_extract(node_text, lead + name + NAME_ATTRIBUTE, 1)
+    found = F.regexp_extract(node_text, lead + name + NAME_ATTRIBUTE, 1)
+    # most texts lack most attributes: a plain search finds that sooner than the pattern
+    return F.when(~F.contains(node_text, F.lit(f"{name}=")), "").otherwise(found)
 
 
 def node_name(node_text: Column, type_name: Column, mode: str = "strict") -> Column:

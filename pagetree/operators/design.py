@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..functions import style as st
@@ -43,8 +45,9 @@ def design_nodes(nodes: DataFrame, mode: str = "strict") -> DataFrame:
         fills, strokes = st.fills_strokes(background, border)
         style.append(st.rgba_struct(front).alias("fontColor"))
     else:
-        fills = st.inline_fill(F.coalesce("node_text", F.lit("")))
-        strokes = F.slice(fills, 1, 0)
+        nodes = st.with_inline_color(nodes, "_color")
+        # the lambda in here keeps the row's many expressions out of one generated method that is too large to compile
+        fills, strokes = st.paints(F.col("_color"), lambda c: c.isNotNull()), st.no_paints()
     for key, choices in STYLE_CHOICES.items():
         if f"scores_{key}" in have:
             style.append(st.argmax_style_class(F.col(f"scores_{key}"), choices).alias(key))
@@ -108,21 +111,41 @@ def read_design_tree(trees: DataFrame) -> DataFrame:
     ``parent`` is the id of the node above, null for a root; ``place`` counts among its children.
     """
 
-    @F.pandas_udf("array<struct<id: string, name: string, type: string, parent: string, place: int>>")
-    def flatten(documents: pd.Series) -> pd.Series:
-        def rows(text):
-            out, todo = [], [(None, json.loads(text))]
+    texts = [T.StructField(c, T.StringType()) for c in ("id", "name", "type", "parent")]
+    schema = T.StructType([trees.schema[SID], *texts, T.StructField("place", T.IntegerType())])
+    return trees.select(SID, "design").mapInArrow(_flatten, schema)
+
+
+READ_ROWS = 10_000
+
+
+def _flatten(batches):
+    """The nodes of a batch of documents as columns, some ``READ_ROWS`` at a time."""
+    names = ("id", "name", "type", "parent", "place")
+
+    def table(ids, at, rows):
+        kinds = [pa.string()] * 4 + [pa.int32()]
+        columns = [pa.array(c, kind) for c, kind in zip(rows, kinds)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *columns], names=[SID, *names])
+
+    for batch in batches:
+        ids, documents = batch.column(0), batch.column(1)
+        at, rows = [], ([], [], [], [], [])
+        for i, text in enumerate(documents):
+            todo = [(None, json.loads(text.as_py()))]
             while todo:
                 parent, nodes = todo.pop()
                 for place, node in enumerate(nodes):
-                    out.append({"id": node.get("id"), "name": node.get("name"), "type": node.get("type"), "parent": parent, "place": place})
+                    at.append(i)
+                    for column, value in zip(rows, (node.get("id"), node.get("name"), node.get("type"), parent, place)):
+                        column.append(value)
                     if "children" in node:
                         todo.append((node.get("id"), node["children"]))
-            return out
-
-        return documents.map(rows)
-
-    return trees.select(SID, F.inline(flatten("design")))
+            if len(at) >= READ_ROWS:
+                yield table(ids, at, rows)
+                at, rows = [], ([], [], [], [], [])
+        if at:
+            yield table(ids, at, rows)
 
 
 def heuristic_predict(

@@ -303,3 +303,31 @@ def test_node_view_keeps_tasks_small(spark, monkeypatch):
 def test_training_samples_read_the_lines_once(spark):
     plan = QUERIES["training_samples"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
+
+
+def test_design_trees_are_read_in_parts(spark, monkeypatch):
+    """Nodes of a batch of documents leave as columns, a bounded number at a time."""
+    import json
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(design, "READ_ROWS", 3)
+    documents = [[{"id": "a", "name": "x", "type": "FRAME", "children": [{"id": "b"}, {"id": "c"}]}, {"id": "d"}], [], [{"id": "e"}, {"id": "f"}], [{"id": "g"}]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, None, 9], pa.int64()), pa.array([json.dumps(d) for d in documents])], names=["sample_id", "design"])
+    parts = list(design._flatten([batch]))
+    assert [p.num_rows for p in parts] == [4, 3]
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert rows[:2] == [(7, "a", "x", "FRAME", None, 0), (7, "d", None, None, None, 1)]
+    assert set(rows[2:4]) == {(7, "b", None, None, "a", 0), (7, "c", None, None, "a", 1)}
+    assert rows[4:] == [(None, "e", None, None, None, 0), (None, "f", None, None, None, 1), (9, "g", None, None, None, 0)]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(documents)], "sample_id int, design string")
+    assert {(r.sample_id, r.id, r.parent, r.place) for r in design.read_design_tree(df).collect()} >= {(0, "b", "a", 0), (2, "f", None, 1)}
+
+
+def test_a_design_row_searches_its_text_once_for_a_color(spark):
+    """Fills are made once, not again for the empty strokes."""
+    rows = [(0, i, t, 0, -1, 0.0, 0.0, 1.0, 1.0) for i, t in enumerate(('<a style="color:#333">', "<a>", None))]
+    df = spark.createDataFrame(rows, "sample_id int, node_idx int, node_text string, type_idx int, parent_idx int, x1 double, y1 double, x2 double, y2 double")
+    flat = design.design_nodes(df)
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("background") <= 8
+    assert [(len(r.fills), r.strokes) for r in flat.orderBy("node_idx").collect()] == [(1, []), (0, []), (0, [])]
