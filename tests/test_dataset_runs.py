@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +266,63 @@ def test_pairwise_cosine_multiplies_blocks(spark):
     assert got[1, None] == ([None, 7], [1.0, 0.0]) and got[1, 7][1] == [0.0, 0.0]
 
 
+def shuffled_records(spark):
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = store.stageList(None, False, False, quantiles, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairwise_cosine_shuffles_a_vector_once(spark):
+    """In a group of 11 or 43 blocks, however many pairs these make."""
+    sent = []
+    for n in (64, 256):
+        df = spark.createDataFrame([(0, k, [1.0, float(k)]) for k in range(n)], "page int, k int, embedding array<double>")
+        before = shuffled_records(spark)
+        found = vec.pairwise_cosine(df, "page", "k", block=8)
+        assert found.select(F.sum(F.size("others"))).first()[0] == n * n
+        sent.append(shuffled_records(spark) - before)
+    assert sent[0] < 4 * 64 and sent[1] < 4 * 256
+
+
+def test_pairwise_cosine_of_small_and_large_groups(spark):
+    """One block or many: the same pairs, also for null keys, groups and vectors and unlike lengths."""
+    rows = [(g, k, [float(k % 5 - 2), float(g), 1.0]) for g, n in ((0, 3), (1, 20), (2, 1)) for k in range(n)]
+    rows += [(1, None, [2.0, 1.0, 0.0]), (1, 90, None), (1, 91, [1.0, None, 2.0]), (1, 92, [1.0]), (1, 93, []), (1, 94, [0.0] * 3), (None, 1, [1.0])]
+    df = spark.createDataFrame(rows, "page int, k int, embedding array<double>")
+    for digits in (None, 6):
+        found = []
+        for block in (1024, 4, 1):
+            pairs = {}
+            for r in vec.pairwise_cosine(df, "page", "k", block=block, digits=digits).collect():
+                for o, c in zip(r.others, r.cosine):
+                    assert (r.page, r.k, o) not in pairs
+                    pairs[r.page, r.k, o] = c
+            found.append(pairs)
+        assert found[0] == found[1] == found[2] and len(found[0]) == 9 + 26 * 26 + 1
+    assert vec.pairwise_cosine(df.limit(0), "page", "k").count() == 0
+
+
+def test_rounded_cosines_are_those_of_sums_in_order():
+    """A matrix product adds up in another order; halves go away from zero."""
+    rng = np.random.default_rng(5)
+
+    def block(rows):
+        norms = np.sqrt(np.array([sum(x * x for x in r) for r in rows]))
+        return rows, np.full(len(rows), rows.shape[1]), norms
+
+    ones, unit = np.ones((1, 16)), np.eye(16)[:1]
+    got = vec._similarities(block(np.vstack([unit, -unit, 0 * unit])), block(ones), 1).to_pylist()
+    assert got == [0.3, -0.3, 0.0] and str(got[2]) == "0.0"
+    for a in (rng.normal(size=(90, 64)), rng.integers(-1, 2, size=(90, 64)).astype(float), rng.normal(size=(90, 7)) * 1e120):
+        left, right = block(a), block(a[::-1])
+        exact = vec._similarities(left, right).to_numpy()
+        for digits in (1, 2, 6, 14):
+            whole = np.trunc(exact * 10.0**digits)
+            whole += np.sign(exact) * (np.abs(exact * 10.0**digits - whole) >= 0.5)
+            assert np.array_equal(vec._similarities(left, right, digits).to_numpy(), whole / 10.0**digits, equal_nan=True)
+
+
 def test_run_details_in_any_order(spark, tmp_path):
     """A mean at a tie of the third decimal: the order of adding up must not decide it."""
     values = [553.41, 252.48, 496.74, 583.44, 275.63, 26.54, 169.69, 335.27]
